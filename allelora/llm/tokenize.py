@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import base64
 import json
-import zlib
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +30,13 @@ from allelora.session import cut
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: The published pre-tokenization pattern of the vocabulary, for Java's regex engine (fixed values).
 WORDS = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+"
+    r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^" + SPACE + r"\p{L}\p{N}]++"
     r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+"
 )
 PAIR = 1 << 16
-PAIR_SLOTS = 100_003
-WORD_SLOTS = 131_071
+#: Buckets of the two literal tables (primes); a bucket holds about six entries.
+PAIR_SLOTS = 8_219
+WORD_SLOTS = 8_209
 
 
 def default_vocab_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -102,75 +103,78 @@ def let(value: Column, body) -> Column:
 
 
 def _buckets(entries, slots: int) -> str:
-    table: list[dict] = [{} for _ in range(slots)]
+    table: list[dict | None] = [None] * slots
     for slot, key, value in entries:
-        table[slot][key] = value
+        bucket = table[slot]
+        if bucket is None:
+            bucket = table[slot] = {}
+        bucket[key] = value
     return json.dumps(table, ensure_ascii=False, separators=(",", ":"))
 
 
 def pair_table(vocab: Vocab) -> Column:
-    """The literal rank map: array of small maps from ``left * 65536 + right`` to the merged id."""
+    """The literal rank map: small maps from ``left * 65536 + right`` to the merged id, hashed into slots."""
     text = _buckets(((k % PAIR_SLOTS, k, m) for (a, b), m in vocab.merges.items() for k in [a * PAIR + b]), PAIR_SLOTS)
     return F.from_json(F.lit(text), "array<map<string,int>>").cast("array<map<bigint,int>>")
 
 
 def word_table(words: dict[str, list[int]]) -> Column:
-    """A literal map from words to their ids, hashed by CRC-32."""
-    text = _buckets(((zlib.crc32(w.encode()) % WORD_SLOTS, w, ids) for w, ids in words.items()), WORD_SLOTS)
+    """A literal map from words to their ids, hashed into slots."""
+    text = _buckets(((_slot(w), w, ids) for w, ids in words.items()), WORD_SLOTS)
     return F.from_json(F.lit(text), "array<map<string,array<int>>>")
 
 
+def _slot(word: str) -> int:
+    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+    return (h - (1 << 64) if h >= 1 << 63 else h) % WORD_SLOTS
+
+
+def lookup(words: Column, word: Column) -> Column:
+    """Ids of ``word`` in a word table, or null."""
+    return F.get(words, F.pmod(F.xxhash64(word), F.lit(WORD_SLOTS)))[word]
+
+
 def fold_merges(word: Column, vocab: Vocab) -> Column:
-    """Ids of one word (string column) by folding ranked merges over its bytes."""
+    """Ids of one word (string column) by folding ranked merges over its bytes.
+
+    The folded state is the array of ids and, beside it, the rank of each adjacent pair; a step merges the
+    leftmost pair of lowest rank and looks up the two ranks that changed. The order of steps is the same
+    as when all places of that pair are merged at once.
+    """
     ranks = pair_table(vocab)
     byte_ids = F.split(F.lit(" ".join(str(vocab.ids[bytes([b])]) for b in range(256))), " ").cast("array<bigint>")
+    none = F.lit(None).cast("bigint")
 
     def rank(left: Column, right: Column) -> Column:
-        return let(left * F.lit(PAIR) + right, lambda k: F.get(ranks, (k % F.lit(PAIR_SLOTS)).cast("int"))[k])
-
-    def replaced(a: Column, left: Column, right: Column, new: Column) -> Column:
-        apart = F.filter(
-            F.transform(
-                a,
-                lambda x, i: F.when((x == left) & (F.get(a, i + 1) == right), new)
-                .when((x == right) & (F.get(a, i - 1) == left), F.lit(-1))
-                .otherwise(x),
-            ),
-            lambda x: x >= 0,
-        )
-        # A pair of equal ids can overlap itself: written as text, the leftmost ones are replaced.
-        as_text = F.concat(F.lit(" "), F.array_join(F.transform(a, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
-        pair = F.concat(F.lit("<"), left, F.lit("><"), right, F.lit(">"))
-        done = F.replace(as_text, pair, F.concat(F.lit("<"), new, F.lit(">")))
-        equal = F.transform(F.regexp_extract_all(done, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("bigint"))
-        return F.when(left == right, equal).otherwise(apart)
+        key = left * F.lit(PAIR) + right
+        return F.get(ranks, key % F.lit(PAIR_SLOTS))[key].cast("bigint")
+
+    def merged(a: Column, r: Column, m: Column, p: Column) -> Column:
+        # p: the pair's left place, from 1. Beyond either end, ids and so ranks are null.
+        before = F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0)))
+        left = F.when(p > 1, F.array(rank(F.get(a, p - 2), m))).otherwise(F.array().cast("array<bigint>"))
+        right = F.when(p + 1 < F.size(a), F.array(rank(m, F.get(a, p + 1)))).otherwise(F.array().cast("array<bigint>"))
+        ids = F.concat(F.slice(a, F.lit(1), p - 1), F.array(m), F.slice(a, p + 2, F.size(a)))
+        return F.struct(ids.alias("a"), F.concat(before, left, right, F.slice(r, p + 2, F.size(a))).alias("r"))
 
     def step(state: Column, _: Column) -> Column:
-        a = state["a"]
-        found = F.transform(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), lambda x, i: rank(F.get(a, i), x))
-        merged = let(
-            found,
-            lambda r: let(
-                F.array_min(r),
-                lambda m: F.when(
-                    m.isNotNull(),
-                    let(
-                        F.array_position(r, m).cast("int"),
-                        lambda p: F.struct(replaced(a, F.get(a, p - 1), F.get(a, p), m.cast("bigint")).alias("a"), F.lit(True).alias("go")),
-                    ),
-                ).otherwise(F.struct(a.alias("a"), F.lit(False).alias("go"))),
-            ),
-        )
-        return F.when(state["go"], merged).otherwise(state)
+        best = F.array_min(state["r"])
+        once = F.transform(F.array(best), lambda m: F.transform(F.array(F.array_position(state["r"], m).cast("int")), lambda p: merged(state["a"], state["r"], m, p)))
+        return F.when(best.isNull(), state).otherwise(F.get(F.get(once, F.lit(0)), F.lit(0)))
 
     hexed = F.hex(word)
+    n = F.octet_length(word)
     first = F.transform(
-        F.when(F.octet_length(word) > 0, F.sequence(F.lit(1), F.octet_length(word))).otherwise(F.array().cast("array<int>")),
+        F.when(n > 0, F.sequence(F.lit(1), n)),
         lambda i: F.get(byte_ids, F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int")),
     )
-    start = F.struct(first.alias("a"), F.lit(True).alias("go"))
-    folded = F.aggregate(F.slice(first, F.lit(2), F.greatest(F.octet_length(word), F.lit(0))), start, step, lambda s: s["a"])
-    return folded.cast("array<int>")
+
+    def folded(a: Column) -> Column:
+        pairs = F.transform(a, lambda x, i: F.when(i > 0, rank(F.get(a, i - 1), x)).otherwise(none))
+        start = F.struct(a.alias("a"), F.slice(pairs, F.lit(2), F.size(a)).alias("r"))
+        return F.aggregate(F.slice(a, F.lit(2), F.size(a)), start, step, lambda s: s["a"])
+
+    return F.coalesce(let(first, folded), F.array().cast("array<bigint>")).cast("array<int>")
 
 
 def split_words(text: Column) -> Column:
@@ -205,19 +209,31 @@ def encode(
     hot = words.where(F.col("n") >= min_hot).orderBy(F.desc("n"), "word").limit(hot_words).collect()
     known = word_table({w: [i] for w, i in vocab.whole.items()} | {r["word"]: list(r["word_ids"]) for r in hot})
 
-    coded = base.select("__id", F.transform("__words", lambda w: let(lookup(known, w), lambda c: F.struct(c.alias("c"), F.when(c.isNull(), w).alias("w")))).alias("__coded"))
-    left = coded.select("__id", F.explode(F.array_distinct(F.filter(F.transform("__coded", lambda x: x["w"]), lambda w: w.isNotNull()))).alias("word"))
+    marked = base.select("__id", "__words", F.transform("__words", lambda w: lookup(known, w)).alias("__known"))
+    places = marked.select(
+        "__id",
+        "__words",
+        "__known",
+        F.filter(F.transform("__known", lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull()).alias("__at"),
+    )
+    known_from = lambda start, end: F.flatten(F.slice("__known", start + 1, end - start))
+    segments = F.transform(
+        F.array_insert("__at", 1, F.lit(-1)),
+        lambda i, j: known_from(i + 1, F.coalesce(F.get("__at", j), F.size("__words"))),
+    )
+    coded = places.select("__id", segments.alias("__segments"), F.transform("__at", lambda i: F.get("__words", i)).alias("__left"))
     found = (
-        left.join(words.select("word", "word_ids"), "word")
+        coded.select("__id", F.posexplode("__left").alias("at", "word"))
+        .join(words.select("word", "word_ids"), "word")
         .groupBy("__id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "word_ids"))).alias("__rest"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "word_ids"))).alias("__rest"))
     )
-    ids = F.flatten(F.transform("__coded", lambda x: F.coalesce(x["c"], F.col("__rest")[x["w"]])))
-    return coded.join(found, "__id", "left").select(F.col("__id").alias(id_col), ids.alias("ids"))
-
-
-def lookup(words: Column, word: Column) -> Column:
-    return F.get(words, (F.crc32(word.cast("binary")) % F.lit(WORD_SLOTS)).cast("int"))[word]
+    # Known stretches and the rare words between them, in turn.
+    whole = F.transform(
+        "__segments",
+        lambda s, j: F.when(j == 0, s).otherwise(F.concat(F.get("__rest", j - 1)["word_ids"], s)),
+    )
+    return coded.drop("__left").join(found, "__id", "left").select(F.col("__id").alias(id_col), F.flatten(whole).alias("ids"))
 
 
 def decode(ids: Column, vocab: Vocab) -> Column:
