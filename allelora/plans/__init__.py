@@ -1 +1,21 @@
-"""allelora.plans"""
+"""The library's queries over the test tables, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from allelora.plans import pipeline
+
+
+def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return pipeline.QUERIES
+
+
+def oracle() -> dict[str, str]:
+    return pipeline.SQL
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.QUERIES["p2_found"](spark, d)
