@@ -7,9 +7,8 @@ Plan
 2. Each distinct word is encoded once: its bytes become an array of token ids, and a fold merges the
    adjacent pair of lowest rank, in all its places, until no pair has a rank. Ranks come from a
    literal rank map, hashed into buckets so that a lookup is O(1).
-3. Words that are tokens themselves, and the ``hot_words`` most frequent others, go into a literal word
-   map of fixed size. Texts are encoded from it in place. Only the remaining, rare words are joined
-   with the word table, by shuffle.
+3. The ``hot_words`` most frequent words go into a literal word map of fixed size. Texts are encoded from it
+   in place. Only the remaining, rare words are joined with the word table, by shuffle.
 
 Defined results: a null text gives null ids; an empty text gives an empty array.
 """
@@ -35,7 +34,7 @@ WORDS = (
 )
 PAIR = 1 << 16
 #: Buckets of the two literal tables (primes); a bucket holds about six entries.
-PAIR_SLOTS = 8_219
+PAIR_SLOTS = 16_411
 WORD_SLOTS = 8_209
 
 
@@ -51,7 +50,6 @@ class Vocab:
 
     ids: dict[bytes, int]
     merges: dict[tuple[int, int], int]
-    whole: dict[str, int]
 
     @classmethod
     def load(cls, path: str) -> "Vocab":
@@ -60,18 +58,11 @@ class Vocab:
         if max(ids.values()) >= PAIR:
             raise ValueError("ids must be below 65536")
         merges: dict[tuple[int, int], int] = {}
-        whole: dict[str, int] = {}
         for token, rank in sorted(ids.items(), key=lambda x: x[1]):
             parts = merge(ids, merges, token)
             if len(parts) == 2:
                 merges[parts[0], parts[1]] = rank
-                parts = [rank]
-            if parts == [rank]:
-                try:
-                    whole[token.decode()] = rank
-                except UnicodeDecodeError:
-                    pass
-        return cls(ids, merges, whole)
+        return cls(ids, merges)
 
     def encode_word(self, word: bytes) -> list[int]:
         return merge(self.ids, self.merges, word)
@@ -141,7 +132,10 @@ def fold_merges(word: Column, vocab: Vocab) -> Column:
     leftmost pair of lowest rank and looks up the two ranks that changed. The order of steps is the same
     as when all places of that pair are merged at once.
     """
-    ranks = pair_table(vocab)
+    return let(pair_table(vocab), lambda ranks: _folded(word, vocab, ranks))
+
+
+def _folded(word: Column, vocab: Vocab, ranks: Column) -> Column:
     byte_ids = F.split(F.lit(" ".join(str(vocab.ids[bytes([b])]) for b in range(256))), " ").cast("array<bigint>")
     none = F.lit(None).cast("bigint")
 
@@ -187,14 +181,14 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     vocab_path: str | None = None,
-    hot_words: int = 16_384,
+    hot_words: int = 32_768,
     min_hot: int = 3,
 ) -> DataFrame:
     """Token ids of every text: rows (``id_col``, ids array<int>), one for each row of ``df``.
 
     ``id_col`` must be unique. A null text has null ids, an empty text an empty array; a text of
-    any length is encoded whole. ``hot_words`` bounds the words (besides the vocabulary's own) that
-    travel as a literal to every task: those seen at least ``min_hot`` times, most frequent first.
+    any length is encoded whole. ``hot_words`` bounds the words that travel as a literal to every task: those
+    seen at least ``min_hot`` times, most frequent first; the bound changes the plan, not the result.
     Other columns of ``df`` are ignored.
     """
     vocab = Vocab.load(vocab_path or default_vocab_path())
@@ -202,12 +196,9 @@ def encode(
     base = texts.select("__id", split_words(F.col("__text")).alias("__words"))
 
     counted = base.select(F.explode("__words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    own = word_table({w: [i] for w, i in vocab.whole.items()})
-    rare = counted.where(lookup(own, F.col("word")).isNull())
-    words = cut(rare.select("word", "n", fold_merges(F.col("word"), vocab).alias("word_ids")))
-
+    words = cut(counted.select("word", "n", fold_merges(F.col("word"), vocab).alias("word_ids")))
     hot = words.where(F.col("n") >= min_hot).orderBy(F.desc("n"), "word").limit(hot_words).collect()
-    known = word_table({w: [i] for w, i in vocab.whole.items()} | {r["word"]: list(r["word_ids"]) for r in hot})
+    known = word_table({r["word"]: list(r["word_ids"]) for r in hot})
 
     marked = base.select("__id", "__words", F.transform("__words", lambda w: lookup(known, w)).alias("__known"))
     places = marked.select(
