@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from allelora.session import cut
 
 
-def range_partitioned(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows of ``df`` in range partitions of (key, order...), sorted, with the partition's number ``part`` and
-    the row's number ``at`` among the rows of its key in that partition, from 0.
+def range_partitioned(df: DataFrame, key: str, order: list[str], partitions: int | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``df`` in range partitions of (key, order...), sorted, with the partition's number ``part``, the row's number
+    ``at`` among the rows of its key in that partition, from 0, and for each of ``sums`` (bigint columns without
+    nulls) ``at_<name>``, its sum over the rows of its key before it in that partition.
 
     The bounds are quantiles of a sample that Spark draws from the composite key, so a heavy key gets as many
     partitions as its share of rows. ``order`` should end with a unique column; else equal keys stay together.
@@ -27,24 +29,36 @@ def range_partitioned(df: DataFrame, key: str, order: list[str], partitions: int
     """
     n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-    place = ranged.columns.index(key)
-    schema = ranged.select("*", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("at")).schema
+    place, places = ranged.columns.index(key), [ranged.columns.index(s) for s in sums]
+    added = ["at", *(f"at_{s}" for s in sums)]
+    schema = ranged.select("*", F.lit(0).alias("part"), *(F.lit(0).cast("bigint").alias(a) for a in added)).schema
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, last, seen, first = TaskContext.get().partitionId(), None, 0, True
+        part, last, first = TaskContext.get().partitionId(), None, True
+        carried = np.zeros(len(added), np.int64)
         for batch in batches:
-            ends = pc.run_end_encode(batch.column(place))
-            at, begin = [], 0
-            for value, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
-                seen = 0 if first or value != last else seen
-                at.append(pa.array(range(seen, seen + end - begin), pa.int64()))
-                first, last, seen, begin = False, value, seen + end - begin, end
-            if begin:
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.concat_arrays(at)], names=[*batch.schema.names, "part", "at"]
-                )
+            if not batch.num_rows:
+                continue
+            values = [np.ones(batch.num_rows, np.int64), *(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in places)]
+            before = [np.cumsum(v) - v for v in values]
+            totals = np.array([b[-1] + v[-1] for b, v in zip(before, values)])
+            runs = pc.run_end_encode(batch.column(place))
+            ends = np.array(runs.run_ends.to_pylist())
+            begins = np.concatenate([[0], ends[:-1]])
+            keys = runs.values.to_pylist()
+            out = []
+            for c, b in enumerate(before):
+                base = b[begins].copy()
+                if not first and keys[0] == last:
+                    base[0] -= carried[c]
+                out.append(pa.array(b - np.repeat(base, ends - begins), pa.int64()))
+            start = begins[-1]
+            continues = len(keys) == 1 and not first and keys[0] == last
+            carried = totals - np.array([b[start] for b in before]) + (carried if continues else 0)
+            first, last = False, keys[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), *out], names=[*batch.schema.names, "part", *added])
 
     return cut(ranged.mapInArrow(number, schema))
 
@@ -54,21 +68,23 @@ def states(ranged: DataFrame, key: str, **values: Column) -> DataFrame:
     return ranged.groupBy("part", key).agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in values.items()))
 
 
-def rank_in_key(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
-    """``df`` with ``rank``, the row's number within its key by ``order``, from 0, without sending a key to one task.
+def running(df: DataFrame, key: str, order: list[str], sums: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` with ``rank``, the row's number within its key by ``order``, from 0, and ``before_<name>``, the sum of each of
+    ``sums`` over the rows before it, without sending a key to one task.
 
     Only keys that cross a partition boundary need stitching; those are fewer than the partitions, so
     the offsets that are broadcast have that bound. Null keys are a key of their own; an empty table stays empty.
     """
-    ranged = range_partitioned(df, key, order, partitions)
-    parts = states(ranged, key)
-    crossing = parts.groupBy(key).agg(F.collect_list(F.struct("part", "n")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    before = F.transform(
-        "s", lambda x: F.struct(x["part"].alias("part"), F.aggregate(F.filter("s", lambda y: y["part"] < x["part"]), F.lit(0).cast("bigint"), lambda a, y: a + y["n"]).alias("offset"))
-    )
-    offsets = crossing.select(F.col(key).alias("__key"), F.explode(before).alias("o")).select("__key", F.col("o.part").alias("__part"), F.col("o.offset").alias("__offset"))
-    joined = ranged.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__part")), "left")
-    return joined.withColumn("rank", F.col("at") + F.coalesce("__offset", F.lit(0))).drop("__key", "__part", "__offset", "part", "at")
+    ranged = range_partitioned(df, key, order, partitions, sums)
+    names = ["n", *(f"s_{s}" for s in sums)]
+    parts = states(ranged, key, **{f"s_{s}": F.sum(s) for s in sums})
+    crossing = parts.groupBy(key).agg(F.collect_list(F.struct("part", *names)).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    total = lambda x, name: F.aggregate(F.filter("s", lambda y: y["part"] < x["part"]), F.lit(0).cast("bigint"), lambda a, y: a + y[name]).alias(name)
+    before = F.transform("s", lambda x: F.struct(x["part"].alias("part"), *(total(x, name) for name in names)))
+    offsets = crossing.select(F.col(key).alias("__key"), F.explode(before).alias("__o"))
+    joined = ranged.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__o.part")), "left")
+    stitched = {"rank": F.col("at") + F.coalesce("__o.n", F.lit(0))} | {f"before_{s}": F.col(f"at_{s}") + F.coalesce(f"__o.s_{s}", F.lit(0)) for s in sums}
+    return joined.withColumns(stitched).select(*df.columns, *stitched)
 
 
 def key_summary(df: DataFrame, key: str, order: list[str], partitions: int | None = None, **values: Column) -> DataFrame:

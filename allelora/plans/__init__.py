@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelora.plans import pipeline
+from allelora.plans import pipeline, variants
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return pipeline.QUERIES
+    return variants.QUERIES | pipeline.QUERIES
 
 
 def oracle() -> dict[str, str]:
-    return pipeline.SQL
+    return variants.SQL | pipeline.SQL
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.QUERIES["p2_found"](spark, d)
+    return variants.export_pipeline(spark, d)

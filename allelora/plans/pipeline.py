@@ -1,13 +1,36 @@
-"""Queries of the data-quality operators (problems 1 to 5)."""
+"""Queries of the data-quality operators (problems 1 to 5) over the test tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelora.operators import skew
+from allelora.operators import badrows, diff, drift, profile, skew
 from allelora.session import table
 
+#: The enforced target schema of info, by consistent names.
+TARGET = {"NS": "bigint", "DP": "bigint", "AF": "array<double>", "AC": "array<bigint>", "AN": "bigint", "R2": "double", "LOD": "double", "BQ": "double", "DB": "boolean", "H2": "boolean", "AA": "string"}
+PANEL_FIELDS = ["pos", "ref", "alts", "qual", "gt"]
+SLOTS_PER_SAMPLE = 2
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    headers = table(spark, d, "headers")
+    found = drift.changes(headers, table(spark, d, "callset_files"))
+    return found.unionByName(drift.undeclared(table(spark, d, "variants"), headers))
+
+
+def p1_sites(spark: SparkSession, d: str) -> DataFrame:
+    """All files' sites in one table: target fields typed, everything else rescued."""
+    sites = table(spark, d, "variants").select("row_idx", "file_id", "chrom", "pos", "info")
+    return drift.ingest(sites, drift.consistent_names(table(spark, d, "headers")), TARGET)
+
+
+def p1_promoted(spark: SparkSession, d: str) -> DataFrame:
+    """The same table with MQ promoted from the rescued values."""
+    names = drift.consistent_names(table(spark, d, "headers"))
+    return drift.replay(p1_sites(spark, d), names, "MQ", "double").select("row_idx", "MQ", "rescued")
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Each chrom with at least 5 % of all rows."""
@@ -16,5 +39,198 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return per_key.where(F.col("n") * 20 >= total).select("chrom")
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
-SQL = {"p2_found": "SELECT chrom FROM variants GROUP BY chrom HAVING count(*) * 20 >= (SELECT count(*) FROM variants)"}
+def p2_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """Per contig: rows, first and last position, called alleles."""
+    sites = table(spark, d, "variants").select("chrom", "pos", "row_idx", F.coalesce(F.size(F.filter("gt", lambda x: x >= 0)), F.lit(0)).alias("called"))
+    return skew.key_summary(sites, "chrom", ["pos", "row_idx"], min_pos=F.min("pos"), max_pos=F.max("pos"), sum_called=F.sum("called"))
+
+
+def p2_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Each row's place among its contig's rows by position, and the called alleles before it."""
+    sites = table(spark, d, "variants").select("chrom", "pos", "row_idx", F.coalesce(F.size(F.filter("gt", lambda x: x >= 0)), F.lit(0)).cast("bigint").alias("called"))
+    return skew.running(sites, "chrom", ["pos", "row_idx"], ("called",)).select("row_idx", "rank", "before_called")
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    slots = SLOTS_PER_SAMPLE * table(spark, d, "sample_list").count()
+    return profile.checked(table(spark, d, "variants"), table(spark, d, "headers"), slots)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _checked(spark, d)
+    return profile.bad_values(rows).unionByName(profile.drifted_loads(profile.load_profile(rows), table(spark, d, "load_baseline")))
+
+
+def p3_loads(spark: SparkSession, d: str) -> DataFrame:
+    rates = profile.load_profile(_checked(spark, d))
+    return rates.select("load_id", "field", F.round("null_rate", 6).alias("null_rate"), F.round("mean_value", 4).alias("mean_value"))
+
+
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profile.profile(table(spark, d, "variants"))
+
+
+def p3_masks(spark: SparkSession, d: str) -> DataFrame:
+    return profile.mask_counts(table(spark, d, "variants").select("chrom", "id", "ref", "qual", "info", "gt"))
+
+
+def p3_rare(spark: SparkSession, d: str) -> DataFrame:
+    return profile.rare_masks(table(spark, d, "variants").select("chrom", "id", "ref", "qual", "info", "gt"))
+
+
+def p3_dominant(spark: SparkSession, d: str) -> DataFrame:
+    return profile.dominant_masks(table(spark, d, "variants").select("chrom", "id", "ref", "qual", "info", "gt"))
+
+
+def p3_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return profile.mask_divergence(table(spark, d, "variants").select("load_id", "qual", "info", "gt"), "load_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    _, failed = badrows.split(badrows.vcf_rows(table(spark, d, "vcf_lines")), badrows.vcf_rules())
+    return failed.select("line_id", F.get("errors", F.lit(0)).alias("reason"))
+
+
+def p4_sites(spark: SparkSession, d: str) -> DataFrame:
+    valid, _ = badrows.split(badrows.vcf_rows(table(spark, d, "vcf_lines")), badrows.vcf_rules())
+    return badrows.vcf_sites(valid).drop("qual", "info", "filters")
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """All reasons of all failed lines, not the first alone, counted."""
+    _, failed = badrows.split(badrows.vcf_rows(table(spark, d, "vcf_lines")), badrows.vcf_rules())
+    return failed.select(F.explode("errors").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p5_differences(spark: SparkSession, d: str) -> DataFrame:
+    fields = ["chrom", *PANEL_FIELDS]
+    return diff.differences(table(spark, d, "panel_a"), table(spark, d, "panel_b"), "site_id", fields)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = diff.differences(table(spark, d, "panel_a"), table(spark, d, "panel_b"), "site_id", PANEL_FIELDS)
+    return found.where(~F.col("field").isin("extra_in_a", "extra_in_b")).select("site_id", "field")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_sites, p1_promoted, p2_found, p2_contigs, p2_ranks, p3_found, p3_loads, p3_profile, p3_masks, p3_rare, p3_dominant,
+        p3_divergence, p4_found, p4_sites, p4_reasons, p5_found, p5_differences,
+    )
+}
+
+_ATTR = r"""regexp_extract(regexp_replace(value, '"(\\.|[^"\\])*"', '""', 'g'), '[<,]\s*{0}\s*=\s*([^,>]*)', 1)"""
+_DECL = f"""
+decl AS (
+  SELECT file_id, key AS section, id, arg_min(type, seq) AS type, arg_min(number, seq) AS number, arg_min(same, seq) AS same
+  FROM (SELECT file_id, seq, key, {_ATTR.format("ID")} AS id, {_ATTR.format("Type")} AS type, {_ATTR.format("Number")} AS number,
+    lower(regexp_replace(regexp_extract(value, 'Description\\s*=\\s*"((\\\\.|[^"\\\\])*)"', 1), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS same
+    FROM headers WHERE key IN ('INFO', 'FORMAT')) GROUP BY ALL)
+"""
+_CHECKED = f"""
+WITH {_DECL},
+n AS (SELECT 2 * count(*) AS slots FROM sample_list),
+entries AS (
+  SELECT row_idx, k, v, d.type FROM (SELECT row_idx, file_id, unnest(map_keys(info)) AS k, unnest(map_values(info)) AS v FROM variants) e
+  JOIN decl d ON d.file_id = e.file_id AND d.section = 'INFO' AND d.id = e.k),
+bad_info AS (
+  SELECT DISTINCT row_idx FROM (SELECT row_idx, k, type, unnest(string_split(v, ',')) AS x FROM entries WHERE type IN ('Integer', 'Float'))
+  WHERE x <> '.' AND (
+    (type = 'Integer' AND NOT regexp_full_match(x, '-?[0-9]+'))
+    OR (type = 'Float' AND NOT regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'))
+    OR (type = 'Float' AND k = 'AF' AND (TRY_CAST(x AS DOUBLE) < 0 OR TRY_CAST(x AS DOUBLE) > 1))
+    OR (type = 'Integer' AND k = 'DP' AND TRY_CAST(x AS DOUBLE) < 0))),
+checked AS (
+  SELECT v.row_idx, load_id, qual, info, gt,
+    coalesce(isnan(qual) OR isinf(qual) OR qual < 0 OR qual > 10000, false) AS bad_qual,
+    v.row_idx IN (SELECT row_idx FROM bad_info) AS bad_info,
+    coalesce(len(gt) <> slots OR len(list_filter(gt, lambda x: x <> -2147483647 AND (x < -1 OR x > coalesce(len(alts), 0)))) > 0, false) AS bad_gt
+  FROM variants v, n),
+prof AS (
+  SELECT load_id, avg(CASE WHEN qual IS NULL THEN 1.0 ELSE 0.0 END) AS qn, avg(CAST(CASE WHEN NOT bad_qual THEN qual END AS DOUBLE)) AS qm,
+    avg(CASE WHEN info IS NULL THEN 1.0 ELSE 0.0 END) AS fn, avg(cardinality(info)) AS fm,
+    sum(CASE WHEN NOT bad_gt THEN len(list_filter(gt, lambda x: x = -1)) END) / nullif(sum(CASE WHEN NOT bad_gt THEN len(list_filter(gt, lambda x: x <> -2147483647)) END), 0) AS gn,
+    sum(CASE WHEN NOT bad_gt THEN list_sum(list_filter(gt, lambda x: x >= 0)) END) / nullif(sum(CASE WHEN NOT bad_gt THEN len(list_filter(gt, lambda x: x >= 0)) END), 0) AS gm
+  FROM checked GROUP BY load_id),
+loads AS (SELECT load_id, 'qual' AS field, qn AS null_rate, qm AS mean_value FROM prof UNION ALL SELECT load_id, 'info', fn, fm FROM prof UNION ALL SELECT load_id, 'gt', gn, gm FROM prof)
+"""
+_MASK = r"regexp_replace(translate(regexp_replace(regexp_replace(v, '[0-9]+', '9', 'g'), '[a-df-zA-DF-Z]+', 'a', 'g'), 'E', 'e'), '\s+', ' ', 'g')"
+_VALUES = """
+SELECT load_id, 'gt' AS "column", CAST(x AS VARCHAR) AS v FROM (SELECT load_id, unnest(gt) AS x FROM variants)
+UNION ALL SELECT load_id, 'info.' || k, v FROM (SELECT load_id, unnest(map_keys(info)) AS k, unnest(map_values(info)) AS v FROM variants)
+"""
+_MASKS = f"""
+WITH v AS ({_VALUES} UNION ALL SELECT load_id, 'chrom', chrom FROM variants UNION ALL SELECT load_id, 'id', id FROM variants
+  UNION ALL SELECT load_id, 'ref', ref FROM variants UNION ALL SELECT load_id, 'qual', CASE WHEN isnan(qual) THEN 'nan' WHEN qual = 'inf' THEN 'inf' WHEN qual = '-inf' THEN '-inf' ELSE printf('%.6g', CAST(qual AS DOUBLE)) END FROM variants),
+m AS (SELECT "column", {_MASK} AS mask, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL)
+"""
+_LINES = r"""
+WITH clean AS (SELECT line_id, file_no, line_no, regexp_replace(line, '\r$', '') AS line FROM vcf_lines),
+heads AS (SELECT file_no, arg_min(len(string_split(line, chr(9))), line_no) AS width FROM clean WHERE line LIKE '#CHROM%' GROUP BY file_no),
+cells AS (SELECT line_id, c.file_no, line, string_split(line, chr(9)) AS f, width FROM clean c LEFT JOIN heads USING (file_no) WHERE line IS NULL OR line NOT LIKE '#CHROM%'),
+errs AS (
+  SELECT *, [
+    coalesce(len(f) <> width, true),
+    coalesce((length(replace(line, '\"', '')) - length(replace(replace(line, '\"', ''), '"', ''))) % 2 = 1, false),
+    NOT coalesce(regexp_full_match(f[2], '[0-9]+') AND TRY_CAST(f[2] AS HUGEINT) BETWEEN 1 AND 2147483647, false),
+    len(list_filter(f[10:], lambda c: NOT (regexp_full_match(split_part(c, ':', 1), '(\.|[0-9]+)([/|](\.|[0-9]+))?')
+      AND len(list_filter(string_split_regex(split_part(c, ':', 1), '[/|]'), lambda a: a <> '.' AND coalesce(TRY_CAST(a AS HUGEINT), 999999999) > CASE WHEN f[5] = '.' THEN 0 ELSE len(string_split(f[5], ',')) END)) = 0))) > 0
+  ] AS e FROM cells)
+"""
+_PANELS = """
+WITH a AS (SELECT DISTINCT site_id, chrom, pos, ref, alts, qual, gt FROM panel_a), b AS (SELECT DISTINCT site_id, chrom, pos, ref, alts, qual, gt FROM panel_b),
+j AS (SELECT coalesce(a.site_id, b.site_id) AS site_id, a.site_id AS x, b.site_id AS y, {0} FROM a FULL JOIN b ON a.site_id = b.site_id)
+SELECT site_id, 'missing_in_b' AS field FROM j WHERE y IS NULL UNION ALL SELECT site_id, 'missing_in_a' FROM j WHERE x IS NULL
+"""
+
+
+def _panels(fields: list[str]) -> str:
+    text = _PANELS.format(", ".join(f"a.{f} IS DISTINCT FROM b.{f} AS d_{f}" for f in fields))
+    return text + "".join(f" UNION ALL SELECT site_id, '{f}' FROM j WHERE x IS NOT NULL AND y IS NOT NULL AND d_{f}" for f in fields)
+
+
+SQL = {
+    "p1_found": f"""
+WITH {_DECL},
+pairs AS (SELECT file_id, before FROM (SELECT file_id, lag(file_id) OVER (PARTITION BY callset ORDER BY made_at, file_id) AS before FROM callset_files) WHERE before IS NOT NULL),
+new AS (SELECT p.file_id, d.section, d.id, d.type, d.number, d.same FROM pairs p JOIN decl d ON d.file_id = p.file_id),
+old AS (SELECT p.file_id, d.section, d.id, d.type, d.number, d.same FROM pairs p JOIN decl d ON d.file_id = p.before),
+added AS (SELECT * FROM new ANTI JOIN old USING (file_id, section, id)),
+gone AS (SELECT * FROM old ANTI JOIN new USING (file_id, section, id)),
+moved AS (SELECT a.file_id, a.section, a.id, g.id AS was, a.type <> g.type OR a.number <> g.number AS differs FROM added a JOIN gone g USING (file_id, section, same) WHERE same <> '')
+SELECT DISTINCT file_id, section, id AS field, 'renamed' AS change FROM moved
+UNION ALL SELECT DISTINCT file_id, section, id, 'type_changed' FROM moved WHERE differs
+UNION ALL SELECT n.file_id, n.section, n.id, 'type_changed' FROM new n JOIN old o USING (file_id, section, id) WHERE n.type <> o.type OR n.number <> o.number
+UNION ALL SELECT file_id, section, id, 'added' FROM added ANTI JOIN moved USING (file_id, section, id)
+UNION ALL SELECT file_id, section, id, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.file_id = g.file_id AND m.section = g.section AND m.was = g.id)
+UNION ALL SELECT DISTINCT file_id, 'INFO', k, 'undeclared' FROM (SELECT file_id, unnest(map_keys(info)) AS k FROM variants) v
+  WHERE NOT EXISTS (SELECT 1 FROM decl d WHERE d.file_id = v.file_id AND d.section = 'INFO' AND d.id = v.k)
+""",
+    "p2_found": "SELECT chrom FROM variants GROUP BY chrom HAVING count(*) * 20 >= (SELECT count(*) FROM variants)",
+    "p2_contigs": "SELECT chrom, count(*) AS n, min(pos) AS min_pos, max(pos) AS max_pos, CAST(sum(coalesce(len(list_filter(gt, lambda x: x >= 0)), 0)) AS BIGINT) AS sum_called FROM variants GROUP BY chrom",
+    "p2_ranks": "SELECT row_idx, row_number() OVER w - 1 AS rank, CAST(sum(c) OVER w - c AS BIGINT) AS before_called FROM (SELECT chrom, pos, row_idx, coalesce(len(list_filter(gt, lambda x: x >= 0)), 0) AS c FROM variants) WINDOW w AS (PARTITION BY chrom ORDER BY pos NULLS FIRST, row_idx)",
+    "p3_found": _CHECKED
+    + """SELECT 'row' AS scope, row_idx AS ref_id, 'qual' AS field FROM checked WHERE bad_qual UNION ALL SELECT 'row', row_idx, 'info' FROM checked WHERE bad_info
+UNION ALL SELECT 'row', row_idx, 'gt' FROM checked WHERE bad_gt UNION ALL SELECT 'load', load_id, field FROM loads l JOIN load_baseline b USING (field)
+WHERE abs(l.null_rate - b.null_rate) > 0.1 OR abs(l.mean_value - b.mean_value) > 0.25 * abs(b.mean_value)""",
+    "p3_loads": _CHECKED + "SELECT load_id, field, round(null_rate, 6) AS null_rate, round(mean_value, 4) AS mean_value FROM loads",
+    "p3_masks": _MASKS + 'SELECT "column", mask, n FROM m',
+    "p3_rare": _MASKS + 'SELECT "column", mask, n, CAST(total AS BIGINT) AS total FROM (SELECT *, sum(n) OVER (PARTITION BY "column") AS total FROM m) WHERE total >= 1000 AND n < 0.001 * total',
+    "p3_dominant": _MASKS + 'SELECT "column", mask, n FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, mask) AS r FROM m) WHERE r = 1',
+    "p3_divergence": f"""
+WITH v AS ({_VALUES} UNION ALL SELECT load_id, 'qual', CASE WHEN isnan(qual) THEN 'nan' WHEN qual = 'inf' THEN 'inf' WHEN qual = '-inf' THEN '-inf' ELSE printf('%.6g', CAST(qual AS DOUBLE)) END FROM variants),
+m AS (SELECT load_id, "column", {_MASK} AS mask, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL),
+s AS (SELECT load_id, "column", n / sum(n) OVER (PARTITION BY load_id, "column") AS p, sum(n) OVER (PARTITION BY "column", mask) / sum(n) OVER (PARTITION BY "column") AS q, n FROM m)
+SELECT load_id, "column", CAST(sum(n) AS BIGINT) AS n, round((sum(abs(p - q)) + 1 - sum(q)) / 2, 6) AS divergence FROM s GROUP BY load_id, "column"
+""",
+    "p4_found": _LINES + "SELECT line_id, CASE WHEN e[1] THEN 'column_count' WHEN e[2] THEN 'quoting' WHEN e[3] THEN 'bad_pos' ELSE 'bad_gt' END AS reason FROM errs WHERE e[1] OR e[2] OR e[3] OR e[4]",
+    "p4_sites": _LINES
+    + """SELECT line_id, file_no, f[1] AS chrom, CAST(f[2] AS INTEGER) AS pos, f[3] AS id, f[4] AS ref, CASE WHEN f[5] = '.' THEN [] ELSE string_split(f[5], ',') END AS alts,
+flatten(list_transform(f[10:], lambda c: [CASE WHEN a = '.' THEN -1 WHEN a = '' THEN -2147483647 ELSE CAST(a AS INTEGER) END FOR a IN [split_part(translate(split_part(c, ':', 1), '|', '/'), '/', 1), split_part(translate(split_part(c, ':', 1), '|', '/'), '/', 2)]])) AS gt
+FROM errs WHERE NOT (e[1] OR e[2] OR e[3] OR e[4])""",
+    "p4_reasons": _LINES + "SELECT reason, count(*) AS n FROM (SELECT unnest(['column_count', 'quoting', 'bad_pos', 'bad_gt']) AS reason, unnest(e) AS x FROM errs) WHERE x GROUP BY reason",
+    "p5_found": _panels(PANEL_FIELDS),
+    "p5_differences": None,
+}
+SQL = {k: v for k, v in SQL.items() if v}
