@@ -41,14 +41,27 @@ def info_types(headers: DataFrame) -> DataFrame:
 
 
 def checked(variants: DataFrame, headers: DataFrame, slots: int) -> DataFrame:
-    """(row_idx, load_id, qual, info, gt) with the verdicts bad_qual, bad_info and bad_gt, each true or false.
+    """Per row its verdicts bad_qual, bad_info and bad_gt, each true or false, and the numbers that ``load_profile`` sums:
 
-    Null qual, info and gt are not bad. ``slots`` is the length that a gt vector must have.
+    (row_idx, load_id, qual, bad_qual, n_info, bad_info, bad_gt, n_slots, n_missing, n_called, called). Null qual, info and gt
+    are not bad; n_info is null for a null info, the gt numbers for a null or bad gt. ``slots`` is the length
+    that a gt vector must have. Vectors are reduced before the join with the files' types, so they aren't shuffled.
     """
-    rows = variants.select("row_idx", "file_id", "load_id", "qual", "info", "gt", F.coalesce(F.size("alts"), F.lit(0)).alias("n_alt"))
-    typed = rows.join(info_types(headers), "file_id", "left")
-    q = F.col("qual")
+    q, n_alt = F.col("qual"), F.coalesce(F.size("alts"), F.lit(0))
     bad_qual = F.isnan(q) | (F.abs(q) == float("inf")) | (q < 0) | (q > 10000)
+    bad_gt = (F.size("gt") != slots) | F.exists("gt", lambda x: (x != EOV) & ((x < -1) | (x > F.col("n_alt"))))
+    false = F.lit(False)
+    flat = variants.select("row_idx", "file_id", "load_id", "qual", "info", "gt", n_alt.alias("n_alt")).select(
+        "row_idx", "file_id", "load_id", "qual", "info", "gt", F.coalesce(bad_qual, false).alias("bad_qual"), F.coalesce(bad_gt, false).alias("bad_gt")
+    )
+    good = F.when(~F.col("bad_gt"), F.col("gt"))
+    size = lambda cond: F.when(good.isNotNull(), F.size(F.filter(good, cond)))
+    narrow = flat.select(
+        "row_idx", "file_id", "load_id", "qual", "bad_qual", "bad_gt", "info",
+        size(lambda x: x != EOV).alias("n_slots"), size(lambda x: x == -1).alias("n_missing"), size(lambda x: x >= 0).alias("n_called"),
+        F.aggregate(F.filter(good, lambda x: x >= 0), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("called"),
+    )
+    typed = narrow.join(info_types(headers), "file_id", "left")
 
     def bad_entry(key: Column, value: Column) -> Column:
         kind = F.col("types")[key]
@@ -57,12 +70,10 @@ def checked(variants: DataFrame, headers: DataFrame, slots: int) -> DataFrame:
         limits = F.when((key == "AF") & (kind == "Float"), low | high).when((key == "DP") & (kind == "Integer"), low).otherwise(False)
         return F.when(kind.isNull() | value.isNull(), False).otherwise(~fits_type(value, kind) | F.coalesce(limits, F.lit(False)))
 
-    bad_info = F.exists(F.map_entries("info"), lambda e: bad_entry(e["key"], e["value"].cast("string")))
-    bad_gt = (F.size("gt") != slots) | F.exists("gt", lambda x: (x != EOV) & ((x < -1) | (x > F.col("n_alt"))))
-    false = F.lit(False)
+    bad_info = F.exists(F.map_entries("info"), lambda e: bad_entry(e["key"], e["value"]))
     return typed.select(
-        "row_idx", "load_id", "qual", "info", "gt",
-        F.coalesce(bad_qual, false).alias("bad_qual"), F.coalesce(bad_info, false).alias("bad_info"), F.coalesce(bad_gt, false).alias("bad_gt"),
+        "row_idx", "load_id", "qual", "bad_qual", F.when(F.col("info").isNotNull(), F.size("info")).alias("n_info"),
+        F.coalesce(bad_info, false).alias("bad_info"), "bad_gt", "n_slots", "n_missing", "n_called", "called",
     )
 
 
@@ -74,19 +85,15 @@ def bad_values(rows: DataFrame) -> DataFrame:
 
 def load_profile(rows: DataFrame) -> DataFrame:
     """(load_id, field, null_rate, mean_value) of ``checked`` rows; means are null where there is nothing to average."""
-    called = F.col("gt").isNotNull() & ~F.col("bad_gt")
-    count = lambda cond: F.when(called, F.size(F.filter("gt", cond)))
-    slots, missing, known = count(lambda x: x != EOV), count(lambda x: x == -1), count(lambda x: x >= 0)
-    total = F.when(called, F.aggregate(F.filter("gt", lambda x: x >= 0), F.lit(0).cast("bigint"), lambda a, x: a + x))
     ratio = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     grouped = rows.groupBy("load_id").agg(
         share(F.col("qual").isNull()).alias("qual_null"),
         F.avg(F.when(~F.col("bad_qual"), F.col("qual").cast("double"))).alias("qual_mean"),
-        share(F.col("info").isNull()).alias("info_null"),
-        F.avg(F.when(F.col("info").isNotNull(), F.size("info"))).alias("info_mean"),
-        ratio(missing, slots).alias("gt_null"),
-        ratio(total, known).alias("gt_mean"),
+        share(F.col("n_info").isNull()).alias("info_null"),
+        F.avg("n_info").alias("info_mean"),
+        ratio("n_missing", "n_slots").alias("gt_null"),
+        ratio("called", "n_called").alias("gt_mean"),
     )
     per_field = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_null").alias("null_rate"), F.col(f"{f}_mean").alias("mean_value")) for f in ("qual", "info", "gt")))
     return grouped.select("load_id", F.inline(per_field))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelora.operators import badrows, diff, drift, profile, skew
-from allelora.session import table
+from allelora.session import cut, table
 
 #: The enforced target schema of info, by consistent names.
 TARGET = {"NS": "bigint", "DP": "bigint", "AF": "array<double>", "AC": "array<bigint>", "AN": "bigint", "R2": "double", "LOD": "double", "BQ": "double", "DB": "boolean", "H2": "boolean", "AA": "string"}
@@ -57,7 +57,7 @@ def _checked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _checked(spark, d)
+    rows = cut(_checked(spark, d))
     return profile.bad_values(rows).unionByName(profile.drifted_loads(profile.load_profile(rows), table(spark, d, "load_baseline")))
 
 
