@@ -24,7 +24,7 @@ def g6(x: Column) -> Column:
     mantissa, power = F.substring_index(sci, "e", 1), F.substring_index(sci, "e", -1).try_cast("int")
     strip = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
     fixed = strip(sci.try_cast("decimal(38,10)").cast("string"))
-    wide = F.concat(strip(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    wide = F.concat(strip(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
     number = F.when(x == 0, "0").when((power >= -4) & (power < 6), fixed).otherwise(wide)
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))

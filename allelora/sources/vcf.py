@@ -60,7 +60,9 @@ def variants(lines: DataFrame, ploidy: int = 2, numeric: dict[str, str] | None =
     width = len(sample_ids(lines)) + 9
     cells = F.split("value", "\t")
     cell = lambda i: F.get("cells", F.lit(i))
-    checked = rows.select("line_no", F.when((F.size(cells) == width) | ((F.size(cells) == 8) & F.lit(width == 9)), cells).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), "value"))).alias("cells"))
+    # Spark may evaluate the check before the condition on rows, so it passes over other lines itself.
+    no_record = F.col("value").startswith("#") | (F.col("value") == "")
+    checked = rows.select("line_no", F.when(no_record, F.lit(None).cast("array<string>")).when((F.size(cells) == width) | ((F.size(cells) == 8) & F.lit(width == 9)), cells).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), "value"))).alias("cells"))
     keys = F.split(cell(8), ":")
     samples = F.slice("cells", F.lit(10), F.greatest(F.size("cells") - 9, F.lit(0)))
 
