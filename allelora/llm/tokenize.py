@@ -214,7 +214,8 @@ def encode(
     )
     coded = places.select("__id", segments.alias("__segments"), F.transform("__at", lambda i: F.get("__words", i)).alias("__left"))
     found = (
-        coded.select("__id", F.posexplode("__left").alias("at", "word"))
+        # The outer form keeps Spark from inferring a condition that would evaluate the words once more, below.
+        coded.select("__id", F.posexplode_outer("__left").alias("at", "word"))
         .join(words.select("word", "word_ids"), "word")
         .groupBy("__id")
         .agg(F.array_sort(F.collect_list(F.struct("at", "word_ids"))).alias("__rest"))
