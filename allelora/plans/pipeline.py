@@ -190,6 +190,40 @@ def _panels(fields: list[str]) -> str:
     return text + "".join(f" UNION ALL SELECT site_id, '{f}' FROM j WHERE x IS NOT NULL AND y IS NOT NULL AND d_{f}" for f in fields)
 
 
+def _copies(fields: list[str]) -> str:
+    """Differences where a key has one distinct row on a side, with numbers of copies."""
+    side = lambda t: f"(SELECT site_id, {', '.join(fields)}, count(*) AS n FROM {t} GROUP BY ALL)"
+    text = f"WITH j AS (SELECT coalesce(a.site_id, b.site_id) AS site_id, a.n AS x, b.n AS y, {', '.join(f'a.{f} IS DISTINCT FROM b.{f} AS d_{f}' for f in fields)} FROM {side('panel_a')} a FULL JOIN {side('panel_b')} b ON a.site_id = b.site_id) "
+    text += "SELECT site_id, 'missing_in_b' AS field, x AS copies FROM j WHERE y IS NULL UNION ALL SELECT site_id, 'missing_in_a', y FROM j WHERE x IS NULL"
+    text += " UNION ALL SELECT site_id, 'extra_in_a', x - y FROM j WHERE x > y UNION ALL SELECT site_id, 'extra_in_b', y - x FROM j WHERE y > x"
+    return text + "".join(f" UNION ALL SELECT site_id, '{f}', least(x, y) FROM j WHERE x IS NOT NULL AND y IS NOT NULL AND d_{f}" for f in fields)
+
+
+def _typed(field: tuple[str, str]) -> str:
+    name, kind = field
+    if kind == "boolean":
+        return f"w.\"{name}\" IN ('.', '1', '')"
+    one = lambda v, t: f"TRY_CAST(CASE WHEN {v} <> '.' THEN {v} END AS {t})"
+    base = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}[kind.removeprefix("array<").removesuffix(">")]
+    return f"list_transform(string_split(w.\"{name}\", ','), lambda x: {one('x', base)})" if kind.startswith("array") else one(f'w."{name}"', base)
+
+
+_ONE = {"bigint": r"(\.|[+-]?[0-9]{1,18})", "double": r"(\.|[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)", "string": "[^,]*", "boolean": r"(\.|1|0|)"}
+_FITS = {k: (rf"{_ONE[k[6:-1]]}(,{_ONE[k[6:-1]]})*" if k.startswith("array") else _ONE[k]) for k in TARGET.values()}
+_SITES = f"""
+WITH {_DECL},
+ids AS (SELECT file_id, id, coalesce(nullif(same, ''), chr(1) || id) AS same FROM decl WHERE section = 'INFO'),
+best AS (SELECT same, id AS name FROM (SELECT same, id, row_number() OVER (PARTITION BY same ORDER BY count(*) DESC, id) AS r FROM ids GROUP BY same, id) WHERE r = 1),
+names AS (SELECT file_id, id, name FROM ids JOIN best USING (same)),
+target(name, pattern) AS (VALUES {', '.join(f"('{t}', '{_FITS[k]}')" for t, k in TARGET.items())}),
+entries AS (SELECT row_idx, e.k, coalesce(n.name, e.k) AS name, e.val FROM (SELECT row_idx, file_id, unnest(map_keys(info)) AS k, unnest(map_values(info)) AS val FROM variants) e LEFT JOIN names n ON n.file_id = e.file_id AND n.id = e.k),
+marked AS (SELECT e.*, coalesce(regexp_full_match(val, pattern), false) AS ok FROM entries e LEFT JOIN target USING (name)),
+numbered AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY row_idx, name, ok ORDER BY k) END AS r FROM marked),
+wide AS (SELECT row_idx, {', '.join(f"max(CASE WHEN r = 1 AND name = '{t}' THEN val END) AS " + chr(34) + t + chr(34) for t in TARGET)} FROM numbered GROUP BY row_idx),
+left_over AS (SELECT row_idx, k, name, val FROM numbered WHERE r IS DISTINCT FROM 1),
+saved AS (SELECT row_idx, '{{' || string_agg(to_json(k) || ':' || to_json(val), ',' ORDER BY k) || '}}' AS json FROM left_over GROUP BY row_idx)
+"""
+
 SQL = {
     "p1_found": f"""
 WITH {_DECL},
@@ -231,6 +265,13 @@ flatten(list_transform(f[10:], lambda c: [CASE WHEN a = '.' THEN -1 WHEN a = ''
 FROM errs WHERE NOT (e[1] OR e[2] OR e[3] OR e[4])""",
     "p4_reasons": _LINES + "SELECT reason, count(*) AS n FROM (SELECT unnest(['column_count', 'quoting', 'bad_pos', 'bad_gt']) AS reason, unnest(e) AS x FROM errs) WHERE x GROUP BY reason",
     "p5_found": _panels(PANEL_FIELDS),
-    "p5_differences": None,
+    "p5_differences": _copies(["chrom", *PANEL_FIELDS]),
+    "p1_sites": _SITES
+    + "SELECT row_idx, file_id, chrom, pos, "
+    + ", ".join(f"{_typed((t, k))} AS \"{t}\"" for t, k in TARGET.items())
+    + ", (SELECT json FROM saved s WHERE s.row_idx = v.row_idx) AS rescued FROM variants v LEFT JOIN wide w USING (row_idx)",
+    "p1_promoted": _SITES
+    + """, mq AS (SELECT row_idx, arg_min(val, k) AS val, min(k) AS k FROM left_over WHERE name = 'MQ' AND regexp_full_match(val, '\\.|[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') GROUP BY row_idx),
+rest AS (SELECT row_idx, '{' || string_agg(to_json(l.k) || ':' || to_json(l.val), ',' ORDER BY l.k) || '}' AS json FROM left_over l LEFT JOIN mq USING (row_idx) WHERE l.k IS DISTINCT FROM mq.k GROUP BY row_idx)
+SELECT row_idx, TRY_CAST(mq.val AS DOUBLE) AS "MQ", rest.json AS rescued FROM variants LEFT JOIN mq USING (row_idx) LEFT JOIN rest USING (row_idx)""",
 }
-SQL = {k: v for k, v in SQL.items() if v}

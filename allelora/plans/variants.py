@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelora.functions import arrays as A
-from allelora.operators import assoc, filterlang, merge, order, regions, stats
+from allelora.operators import assoc, filterlang, merge, order, pbwt, regions, stats
 from allelora.session import table
 from allelora.sources import headers as H
 from allelora.sources import vcf
@@ -156,6 +156,18 @@ def sparse_roundtrip(spark, d):
     return table(spark, d, "variants").select("row_idx", A.to_dense(A.to_sparse(F.col("gt"))).alias("gt"))
 
 
+@query(f"SELECT row_idx, array_to_string({_OFF}, ',') AS offsets, array_to_string(list_transform({_OFF}, lambda i: gt[i + 1]), ',') AS \"values\" FROM variants WHERE gt IS NOT NULL")
+def sparse_texts(spark, d):
+    s = A.to_sparse(F.col("gt"))
+    rows = table(spark, d, "variants").where("gt IS NOT NULL").select("row_idx", s.alias("s"))
+    return rows.select("row_idx", F.array_join("s.offsets", ",").alias("offsets"), F.array_join("s.values", ",").alias("values"))
+
+
+@query("SELECT row_idx, gt FROM variants")
+def pbwt_roundtrip(spark, d):
+    return pbwt.unsort(pbwt.sort(table(spark, d, "variants")))
+
+
 @query(f"SELECT row_idx, list_filter({_OFF}, lambda o: o // 2 IN (2, 4, 10, 11, 23)) AS kept FROM variants")
 def sparse_subset(spark, d):
     """Offsets of the kept samples' non-zeros, before moving: the subset's offsets moved back."""

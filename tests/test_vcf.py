@@ -110,3 +110,54 @@ def test_stream_windows(spark, tmp_path):
     run = counted.writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted((r["load_id"], r["n"]) for r in spark.table("arrivals").collect()) == [(1, 2), (2, 1)]
+
+
+def test_bcf_round_trip(spark, data, tmp_path):
+    from allelora.sources import bcf
+
+    text = TEXT.split("#CHROM")[0] + '##INFO=<ID=DB,Number=0,Type=Flag,Description="">\n##INFO=<ID=NOTE,Number=1,Type=String,Description="">\n##INFO=<ID=XX,Number=1,Type=Float,Description="">\n'
+    text += "##FILTER=<ID=q10>\n##FILTER=<ID=s50>\n#CHROM" + TEXT.split("#CHROM")[1].split("\n")[0] + "\n"
+    rows = [r.asDict() for r in data.variants.orderBy("row_idx").collect()]
+    (tmp_path / "a.bcf").write_bytes(bcf.encode(text, rows))
+    got = bcf.read(spark, str(tmp_path / "a.bcf"), batch=2).orderBy("row_idx").collect()
+    for a, b in zip(got, rows):
+        assert all(a[k] == b[k] for k in ("chrom", "pos", "id", "ref", "alts", "qual", "filters", "info", "gt", "ph"))
+    assert len(got) == 3
+    whole = bcf.encode(text, rows)
+    import gzip
+
+    with pytest.raises(ValueError):
+        list(bcf.decode(gzip.decompress(whole)[:-5]))
+    with pytest.raises(ValueError):
+        list(bcf.decode(b"VCF"))
+    with pytest.raises(ValueError):
+        bcf.encode(text, [rows[0] | {"info": {"no": "1"}}])
+
+
+def test_positional_order(spark):
+    import random
+
+    from allelora.operators import pbwt
+
+    rng = random.Random(6)
+    rows = [(i, None if i % 7 == 0 else [rng.randrange(-1, 3) for _ in range(6 if i % 5 else 4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_idx bigint, gt array<int>")
+    laid = pbwt.sort(df, block=16)
+    assert {r["row_idx"]: r["gt"] for r in pbwt.unsort(laid, block=16).collect()} == dict(rows)
+    two = spark.createDataFrame([(0, [1, 0, 1, 0]), (1, [5, 6, 7, 8])], "row_idx bigint, gt array<int>")
+    assert {r["row_idx"]: r["gt"] for r in pbwt.sort(two).collect()} == {0: [1, 0, 1, 0], 1: [6, 8, 5, 7]}
+    assert pbwt.sort(df.limit(0)).count() == 0
+
+
+def test_varints():
+    from allelora.functions import varint
+
+    for bits in range(8):
+        for value in (0, 1, 5, 127, 128, 300, 2**21, 2**40 + 7):
+            prefix = (1 << bits) - 1
+            data = varint.encode(value, prefix, bits)
+            assert varint.decode(b"x" + data + b"y", 1, bits) == (value, prefix, 1 + len(data))
+    with pytest.raises(ValueError):
+        varint.decode(b"\x80")
+    with pytest.raises(ValueError):
+        varint.encode(1, 2, 1)
