@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelora.functions.arrays import EOV
+from allelora.functions.batches import dosage_blocks
 from allelora.functions.tdist import two_sided
 
 
@@ -67,6 +69,33 @@ def moments(x: Column, y: dict[int, float]) -> Column:
     return F.aggregate(pairs, start, step)
 
 
+def site_moments(df: DataFrame, y: dict[int, float], n_samples: int, keep: tuple[str, ...] = ("row_idx", "chrom", "pos")) -> DataFrame:
+    """``keep`` columns and m, the ``moments`` of each site's dosages, one matrix product per Arrow batch.
+
+    A site without a usable vector has n = 0. The same numbers as ``moments(dosages(n_samples), y)``.
+    """
+    used = sorted(i for i in y if i < n_samples)
+    response = np.array([y[i] for i in used])
+    weights = np.column_stack([np.ones(len(used)), response, response * response])
+    names = ("n", "sx", "sy", "sxx", "sxy", "syy")
+    schema = df.select(*keep, F.struct(*(F.lit(0.0).alias(k) for k in names)).alias("m")).schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 6))
+            for rows, ds in dosage_blocks(batch.column(len(keep)), n_samples):
+                x = ds[:, used]
+                known = ~np.isnan(x)
+                x = np.where(known, x, 0)
+                n, sy, syy = (known @ weights).T
+                sx, sxy, _ = (x @ weights).T
+                out[rows] = np.column_stack([n, sx, sy, (x * x).sum(axis=1), sxy, syy])
+            m = pa.StructArray.from_arrays([pa.array(c) for c in out.T.copy()], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], m], names=[*keep, "m"])
+
+    return df.select(*keep, "gt").mapInArrow(scan, schema)
+
+
 def sparse_moments(s: Column, y: dict[int, float]) -> Column:
     """``moments`` from a sparse dosage vector without missing elements: only non-zeros are touched."""
     top = max(y, default=-1) + 1
@@ -109,7 +138,7 @@ def minor_counts(m: str = "m", ploidy: int = 2) -> tuple[Column, Column]:
 
 def associate(df: DataFrame, y: dict[int, float], n_samples: int, min_mac: float = 1.0) -> DataFrame:
     """(row_idx, chrom, pos, maf, mac, beta, se, t, pval) of each site with mac of at least ``min_mac``."""
-    sites = df.select("row_idx", "chrom", "pos", moments(dosages(n_samples), y).alias("m"))
+    sites = site_moments(df, y, n_samples)
     mac, maf = minor_counts()
     kept = sites.withColumn("mac", mac).withColumn("maf", maf).where(F.col("mac") >= min_mac)
     return with_p(regression(kept)).select("row_idx", "chrom", "pos", "maf", "mac", "beta", "se", "t", "pval")

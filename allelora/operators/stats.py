@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelora.functions.arrays import EOV, allele_counts, to_sparse
+from allelora.functions.arrays import allele_counts, to_sparse
+from allelora.functions.batches import dosage_blocks
 from allelora.operators.regions import end_pos
 
 #: Effects that change the protein, and those that don't (fixed values: labels of the annotation format, in natural order).
@@ -90,16 +95,21 @@ def per_sample(df: DataFrame, n_samples: int, ann: str = "ANN") -> DataFrame:
     """(sample_idx, n_het, n_hom, n_snp, n_indel, n_syn, n_nonsyn).
 
     g is a sample's sum of alleles, end-of-vector elements left out; samples with a missing allele are skipped; n_snp and so
-    on add g; n_het counts g = 1, n_hom g > 1. Only samples with an alternative allele travel, summed before the shuffle.
+    on add g; n_het counts g = 1, n_hom g > 1. Each task sums its rows as matrices and sends one row per sample.
     """
-    ploidy = F.floor(F.size("gt") / n_samples).cast("int")
-    part = lambda i: F.filter(F.slice("gt", i * ploidy + 1, ploidy), lambda x: x != EOV)
-    g = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.when(~F.exists(part(i), lambda x: x < 0), F.aggregate(part(i), F.lit(0), lambda a, x: a + x)))
-    sites = df.where(F.size("gt") >= n_samples).select(F.posexplode(g).alias("sample_idx", "g"), *(c.alias(k) for k, c in _classes(ann).items()))
-    counted = sites.where("g > 0").groupBy("sample_idx").agg(
-        F.count_if(F.col("g") == 1).alias("n_het"), F.count_if(F.col("g") > 1).alias("n_hom"),
-        *(F.coalesce(F.sum(F.when(F.col(k), F.col("g"))), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in ("snp", "indel", "syn", "nonsyn")),
-    )
+    names = ("n_het", "n_hom", "n_snp", "n_indel", "n_syn", "n_nonsyn")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_samples, len(names)), np.int64)
+        for batch in batches:
+            flags = np.column_stack([np.asarray(batch.column(i), dtype=bool) for i in range(1, 5)]) if batch.num_rows else None
+            for rows, ds in dosage_blocks(batch.column(0), n_samples):
+                g = np.where(np.isnan(ds), 0, ds).astype(np.int64)
+                total += np.column_stack([(g == 1).sum(axis=0), (g > 1).sum(axis=0), g.T @ flags[rows].astype(np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_samples, dtype=np.int32)), *(pa.array(c) for c in total.T.copy())], names=["sample_idx", *names])
+
+    sums = df.select("gt", *(c.alias(k) for k, c in _classes(ann).items())).mapInArrow(scan, "sample_idx int, " + ", ".join(f"{k} bigint" for k in names))
+    counted = sums.groupBy("sample_idx").agg(*(F.sum(k).alias(k) for k in names))
     all_samples = df.sparkSession.range(n_samples).select(F.col("id").cast("int").alias("sample_idx"))
     return all_samples.join(F.broadcast(counted), "sample_idx", "left").na.fill(0)
 

@@ -351,14 +351,15 @@ def assoc_covariates(spark, d):
 
 @query(_REG + ", w AS (SELECT row_idx FROM g GROUP BY row_idx HAVING count(g) = 24) SELECT row_idx, round(beta, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se, 7) + 0.0 END AS se FROM e SEMI JOIN w USING (row_idx)")
 def assoc_sparse(spark, d):
-    ds = table(spark, d, "variants").select("row_idx", assoc.dosages(SAMPLES).alias("ds")).where(~F.exists("ds", lambda x: x.isNull()))
-    rows = ds.select("row_idx", assoc.sparse_moments(A.to_sparse(F.col("ds")), _responses(spark, d)).alias("m"))
-    return assoc.regression(rows).select("row_idx", _NEAR("beta", "beta"), _NEAR("se", "se"))
+    ds = table(spark, d, "variants").select("row_idx", assoc.dosages(SAMPLES).alias("ds"))
+    full = ds.select("row_idx", F.when(~F.exists("ds", lambda x: x.isNull()), F.col("ds")).alias("ds"))
+    rows = full.select("row_idx", assoc.sparse_moments(A.to_sparse(F.col("ds")), _responses(spark, d)).alias("m"))
+    return assoc.regression(rows).where("m IS NOT NULL").select("row_idx", _NEAR("beta", "beta"), _NEAR("se", "se"))
 
 
 @query(_REG + "SELECT row_idx, round((sy - beta * sx) / n, 7) + 0.0 AS intercept, round((n * sxy - sx * sy) * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0), 7) + 0.0 AS r2 FROM e")
 def regr_r2(spark, d):
-    rows = table(spark, d, "variants").select("row_idx", assoc.moments(assoc.dosages(SAMPLES), _responses(spark, d)).alias("m")).where("m.n > 0")
+    rows = assoc.site_moments(table(spark, d, "variants"), _responses(spark, d), SAMPLES, ("row_idx",)).where("m.n > 0")
     return assoc.regression(rows).select("row_idx", _NEAR("intercept", "intercept"), _NEAR("r2", "r2"))
 
 
