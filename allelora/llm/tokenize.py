@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import json
 from dataclasses import dataclass
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,7 @@ class Vocab:
     merges: dict[tuple[int, int], int]
 
     @classmethod
+    @lru_cache(maxsize=2)
     def load(cls, path: str) -> "Vocab":
         with open(path, "rb") as f:
             ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
