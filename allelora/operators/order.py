@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allelora.functions.batches import allele_blocks
 from allelora.session import cut
 
 
@@ -66,7 +71,17 @@ def concat(parts: list[DataFrame], samples: list[int] | None = None) -> DataFram
 
 
 def sample_order(df: DataFrame, n_samples: int) -> list[int]:
-    """Sample indices by number of non-reference alleles, most first, then by index: one row per sample is collected."""
-    per = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.struct(i.alias("s"), F.size(F.filter("gt", lambda x, k: (x > 0) & (F.floor(k * n_samples / F.size("gt")).cast("int") == i))).alias("n")))
-    counts = df.select(F.inline(per)).groupBy("s").agg(F.sum("n").alias("n"))
+    """Sample indices by number of non-reference alleles, most first, then by index.
+
+    Vectors have length div n_samples elements a sample; null and shorter ones are passed over. Each task sends one row per
+    sample, and one row per sample is collected.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_samples, np.int64)
+        for batch in batches:
+            for block in allele_blocks(batch.column(0), n_samples):
+                total += (block > 0).sum(axis=(0, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_samples, dtype=np.int32)), pa.array(total)], names=["s", "n"])
+
+    counts = df.select("gt").mapInArrow(scan, "s int, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
     return [r["s"] for r in counts.orderBy(F.desc("n"), "s").collect()]

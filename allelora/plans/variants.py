@@ -448,10 +448,7 @@ def group_burden(spark, d):
 
 @query(_LONG + "SELECT i AS sample_idx, row_number() OVER (ORDER BY n DESC, i) - 1 AS place FROM (SELECT i, sum(len(list_filter(h, lambda x: x > 0))) AS n FROM h GROUP BY i)")
 def sample_sort(spark, d):
-    rows = table(spark, d, "variants").where(F.size("gt") >= SAMPLES)
-    ploidy = stats.ploidy(SAMPLES)
-    even = rows.select(F.slice("gt", F.lit(1), ploidy * SAMPLES).alias("gt"))
-    found = order.sample_order(even, SAMPLES)
+    found = order.sample_order(table(spark, d, "variants"), SAMPLES)
     return spark.createDataFrame([(s, i) for i, s in enumerate(found)], "sample_idx int, place int")
 
 
