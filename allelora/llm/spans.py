@@ -180,13 +180,12 @@ def shared_stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     laid = _windows(classes, k)
     elsewhere = laid.groupBy("w").agg(F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("w")
     in_class = laid.where("a = b").join(elsewhere, "w", "left_semi").groupBy("cls").agg(F.sort_array(F.collect_set("o")).alias("os"))
-    # Within one super-k-mer: runs of consecutive shared windows.
-    runs = in_class.select(
-        "cls",
-        F.explode(F.filter(F.transform("os", lambda o, i: F.when((i == 0) | (F.get("os", i - 1) < o - 1), o)), lambda o: o.isNotNull())).alias("o"),
-        "os",
-    ).select("cls", "o", F.filter("os", lambda x: (x >= F.col("o")) & ~F.exists("os", lambda y: (y == x + 1))).alias("ends"))
-    runs = runs.select("cls", F.col("o").cast("bigint").alias("o"), F.array_min("ends").cast("bigint").alias("e"))
+    # Within one super-k-mer: runs of consecutive shared windows, from their first and last places.
+    here = lambda cond: F.filter(F.transform("os", lambda o, i: F.when(cond(o, i), o)), lambda o: o.isNotNull())
+    firsts = here(lambda o, i: (i == 0) | (F.get("os", i - 1) < o - 1))
+    lasts = here(lambda o, i: F.coalesce(F.get("os", i + 1) > o + 1, F.lit(True)))
+    pairs = F.zip_with(firsts, lasts, lambda x, y: F.struct(x.cast("bigint").alias("o"), y.cast("bigint").alias("e")))
+    runs = in_class.select("cls", F.inline(pairs))
     whole = classes.where("a < b").select("cls", F.lit(0).cast("bigint").alias("o"), (F.col("n") - 1).alias("e"))
     found = packed.select("cls", "id", "start").join(runs.unionByName(whole), "cls").select("id", (F.col("start") + F.col("o")).alias("b"), (F.col("start") + F.col("e") + k).alias("e"))
     from pyspark.sql import Window as W
