@@ -4,13 +4,14 @@ Rows are compared as multisets. Equal rows cancel by multiplicity in one aggrega
 combining, so copies of one row never meet in a task. What is left of a key on both sides is paired at
 minimum cost, the cost being the number of differing fields; most keys have one row on either side, whose
 pairing is trivial and stays in the JVM. Keys with more rows go through an assignment of their distinct rows
-with multiplicities. Keys with more than ``block`` distinct rows on a side are paired level by level with
-distributed joins: all pairs that differ in no more fields first.
+with multiplicities. Keys with more than ``block`` distinct rows on a side are first paired with distributed joins,
+pairs that differ in one field before the others, and then by exchanges until none lowers the cost.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelora.operators.skew import running
-from allelora.session import cut
+from allelora.session import cut, shared_dir
 
 
 def leftovers(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -79,36 +80,110 @@ def _differing(fields: list[str]) -> Column:
     return F.filter(F.array(*(F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
 
 
-def _by_levels(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Pairing of keys too large for one task: (key, a, b, copies), greedy by number of differing fields.
+def _kept(df: DataFrame) -> DataFrame:
+    """``cut`` by way of Parquet. In a loop of joins over checkpoints each step took about four times as long as the one before."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    For each set of fields, from all but one down to none, rows that agree in them are laid out as intervals of
-    copies on both sides and joined where the intervals overlap. Exact where cost levels don't compete.
+
+def _by_levels(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """A first pairing of keys too large for one task: (k, ha, hb, copies), not yet at minimum cost.
+
+    For each set of all fields but one, and then for none, rows that agree in them are laid out as intervals of
+    copies on both sides and joined where the intervals overlap. ``rows`` is (k, row, hash, n_a, n_b), k not null.
     """
-    state = rows.select(key, "row", "hash", "n_a", "n_b")
+    state = rows.select("k", "row", "hash", "n_a", "n_b")
     out = None
-    for size in range(len(fields) - 1, -1, -1):
+    for size in sorted({len(fields) - 1, 0}, reverse=True):
         for kept in combinations(fields, size):
-            group = F.xxhash64(F.col(key), *(F.col(f"row.{f}") for f in kept), *(F.col(f"row.{f}").isNull() for f in kept))
+            group = F.xxhash64("k", *(F.col(f"row.{f}") for f in kept), *(F.col(f"row.{f}").isNull() for f in kept))
             laid = running(state.withColumn("g", group), "g", ["hash"], ("n_a", "n_b")).withColumnsRenamed({"before_n_a": "from_a", "before_n_b": "from_b"})
-            x = laid.where("n_a > 0").select("g", F.col(key), F.col("row").alias("a"), F.col("hash").alias("ha"), "from_a", (F.col("from_a") + F.col("n_a")).alias("to_a"))
-            y = laid.where("n_b > 0").select(F.col("g").alias("h"), F.col("row").alias("b"), F.col("hash").alias("hb"), "from_b", (F.col("from_b") + F.col("n_b")).alias("to_b"))
+            x = laid.where("n_a > 0").select("g", "k", F.col("hash").alias("ha"), "from_a", (F.col("from_a") + F.col("n_a")).alias("to_a"))
+            y = laid.where("n_b > 0").select(F.col("g").alias("h"), F.col("hash").alias("hb"), "from_b", (F.col("from_b") + F.col("n_b")).alias("to_b"))
             met = x.join(y, (F.col("g") == F.col("h")) & (F.col("from_a") < F.col("to_b")) & (F.col("from_b") < F.col("to_a")))
-            pairs = cut(met.select(key, "a", "b", "ha", "hb", (F.least("to_a", "to_b") - F.greatest("from_a", "from_b")).alias("copies")))
-            used_a = pairs.groupBy(key, F.col("ha").alias("hash")).agg(F.sum("copies").alias("ua"))
-            used_b = pairs.groupBy(key, F.col("hb").alias("hash")).agg(F.sum("copies").alias("ub"))
-            state = cut(
-                state.join(used_a, [key, "hash"], "left").join(used_b, [key, "hash"], "left")
-                .select(key, "row", "hash", (F.col("n_a") - F.coalesce("ua", F.lit(0))).alias("n_a"), (F.col("n_b") - F.coalesce("ub", F.lit(0))).alias("n_b"))
+            pairs = _kept(met.select("k", "ha", "hb", (F.least("to_a", "to_b") - F.greatest("from_a", "from_b")).alias("copies")))
+            used_a = pairs.groupBy("k", F.col("ha").alias("hash")).agg(F.sum("copies").alias("ua"))
+            used_b = pairs.groupBy("k", F.col("hb").alias("hash")).agg(F.sum("copies").alias("ub"))
+            state = _kept(
+                state.join(used_a, ["k", "hash"], "left").join(used_b, ["k", "hash"], "left")
+                .select("k", "row", "hash", (F.col("n_a") - F.coalesce("ua", F.lit(0))).alias("n_a"), (F.col("n_b") - F.coalesce("ub", F.lit(0))).alias("n_b"))
                 .where("n_a > 0 OR n_b > 0")
             )
-            part = pairs.select(key, "a", "b", "copies")
-            out = part if out is None else out.unionByName(part)
-    none = F.lit(None).cast(rows.schema["row"].dataType)
-    rest = state.select(key, F.when(F.col("n_a") > 0, F.col("row")).otherwise(none).alias("a"), F.when(F.col("n_b") > 0, F.col("row")).otherwise(none).alias("b"), (F.col("n_a") + F.col("n_b")).alias("copies"))
+            out = pairs if out is None else out.unionByName(pairs)
+    rest = state.select("k", F.when(F.col("n_a") > 0, F.col("hash")).alias("ha"), F.when(F.col("n_b") > 0, F.col("hash")).alias("hb"), (F.col("n_a") + F.col("n_b")).alias("copies"))
     return out.unionByName(rest)
 
 
+def _cycles(parents: DataFrame) -> DataFrame | None:
+    """(id, parent, amount) of the nodes of ``parents`` (id, parent, copies) on cycles; amount is the least copies of a cycle. None without cycles."""
+    ring = parents
+    n = ring.count()
+    while n:
+        # Nodes that are nobody's parent, or whose parent is gone, aren't on a cycle.
+        heads, ids = ring.select(F.col("parent").alias("id")).distinct(), ring.select(F.col("id").alias("parent"))
+        ring = _kept(ring.join(heads, "id", "left_semi").join(ids, "parent", "left_semi").select("id", "parent", "copies"))
+        left = ring.count()
+        if left == n:
+            break
+        n = left
+    if not n:
+        return None
+    jump, steps = ring.select("id", F.col("parent").alias("to"), F.col("copies").alias("amount")), 1
+    while steps < n:
+        far = jump.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("amount").alias("more"))
+        jump = _kept(jump.join(far, "to").select("id", F.col("next").alias("to"), F.least("amount", "more").alias("amount")))
+        steps *= 2
+        after = jump.select(F.col("id").alias("parent"), F.col("amount").alias("other"))
+        if ring.join(jump.select("id", "amount"), "id").join(after, "parent").where("amount <> other").isEmpty():
+            break
+    return ring.select("id", "parent").join(jump.select("id", "amount"), "id")
+
+
+def _exchanged(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``pairs`` (k, ha, hb, copies) brought to minimum cost by exchanges; ha or hb is null for a row without a partner.
+
+    ``rows`` is (k, hash, f), f the ``width`` hashes of a row's fields. A pair p may pass its row of a on to the row of b of a pair q, which
+    costs that new pair less p's own cost; a pairing is minimal when no cycle of such steps has a negative sum. Cheapest steps
+    are found by Bellman-Ford rounds, through one group for each set of agreeing fields and their values, so that no task sees
+    all rows of a key. Cycles of the parents are negative and have no pair in common: all are cancelled at once.
+    """
+    subsets = [s for size in range(width + 1) for s in combinations(range(width), size)]
+
+    def spots(f: Column) -> Column:
+        return F.array(*(F.struct(F.xxhash64("k", F.lit(i), *(f[j] for j in s)).alias("g"), F.lit(width - len(s)).alias("w")) for i, s in enumerate(subsets)))
+
+    # Any row of b takes what a missing row of a leaves, and any row of a may be left alone, at no cost.
+    alone = lambda i: F.array(F.struct(F.xxhash64("k", F.lit(-i)).alias("g"), F.lit(0).alias("w")))
+    given = F.when(F.col("ha").isNull(), alone(1)).otherwise(F.concat(spots(F.col("fa")), alone(2)))
+    sought = F.when(F.col("hb").isNull(), alone(2)).otherwise(F.concat(spots(F.col("fb")), alone(1)))
+    side = lambda x: rows.select("k", F.col("hash").alias(f"h{x}"), F.col("f").alias(f"f{x}"))
+    cost = F.when(F.col("ha").isNull() | F.col("hb").isNull(), 0).otherwise(F.size(F.filter(F.zip_with("fa", "fb", lambda x, y: x != y), lambda x: x)))
+    while True:
+        merged = pairs.groupBy("k", "ha", "hb").agg(F.sum("copies").alias("copies")).where("copies > 0")
+        ident = F.xxhash64("k", F.coalesce("ha", F.lit("")), F.coalesce("hb", F.lit(""))).alias("id")
+        nodes = _kept(merged.join(side("a"), ["k", "ha"], "left").join(side("b"), ["k", "hb"], "left").select(ident, "k", "ha", "hb", "copies", "fa", "fb", cost.alias("c")))
+        out = _kept(nodes.select("id", "c", F.inline(given)).select("id", "g", (F.col("w") - F.col("c")).alias("w")))
+        into = _kept(nodes.select("id", F.inline(sought)).select("id", "g"))
+        state = nodes.select("id", "copies", F.lit(0).alias("d"), F.lit(None).cast("bigint").alias("parent"))
+        found, rounds = None, 0
+        while found is None:
+            best = out.join(state.select("id", "d"), "id").groupBy("g").agg(F.min(F.struct((F.col("d") + F.col("w")).alias("d"), "id")).alias("m"))
+            step = into.join(best, "g").groupBy("id").agg(F.min("m").alias("m"))
+            nearer = F.col("m.d") < F.col("d")
+            state = _kept(state.join(step, "id").select("id", "copies", F.when(nearer, F.col("m.d")).otherwise(F.col("d")).alias("d"), F.when(nearer, F.col("m.id")).otherwise(F.col("parent")).alias("parent"), nearer.alias("moved")))
+            if state.where("moved").isEmpty():
+                return nodes.select("k", "ha", "hb", "copies")
+            rounds += 1
+            if rounds > 1:
+                found = _cycles(state.where("parent IS NOT NULL").select("id", "parent", "copies"))
+        found = _kept(found)
+        taken = found.join(nodes, "id").select("k", "ha", "hb", (-F.col("amount")).alias("copies"))
+        giver = nodes.select(F.col("id").alias("parent"), "ha")
+        made = found.join(nodes.select("id", "k", "hb"), "id").join(giver, "parent").select("k", "ha", "hb", F.col("amount").alias("copies"))
+        pairs = nodes.select("k", "ha", "hb", "copies").unionByName(taken).unionByName(made)
+
+
 def paired(a: DataFrame, b: DataFrame, key: str, fields: list[str], block: int = 200) -> DataFrame:
     """(key, a, b, copies, in_a, in_b): leftover rows of both copies, paired within each key at minimum cost.
 
@@ -166,9 +241,13 @@ def paired(a: DataFrame, b: DataFrame, key: str, fields: list[str], block: int =
         .select(F.col("k").alias(key), "a", "b", "copies")
     )
     result = both.unionByName(lone).unionByName(matched)
-    big = hashed.where("large").select(key, "row", "hash", "n_a", "n_b")
+    big = hashed.where("large").select(F.to_json(F.struct(key)).alias("k"), key, "row", "hash", F.array(*(f"__f{i}" for i in range(width))).alias("f"), "n_a", "n_b")
     if not big.isEmpty():
-        result = result.unionByName(_by_levels(cut(big), key, fields))
+        big = cut(big)
+        pairs = _exchanged(_by_levels(big.drop(key), fields), big.select("k", "hash", "f"), width)
+        rows = lambda h, alias: big.select("k", F.col("hash").alias(h), F.col("row").alias(alias))
+        named = pairs.join(rows("ha", "a"), ["k", "ha"], "left").join(rows("hb", "b"), ["k", "hb"], "left")
+        result = result.unionByName(named.join(big.select("k", key).distinct(), "k").select(key, "a", "b", "copies"))
     return result.join(keys.select(F.col(key).alias("__key"), "in_a", "in_b"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 

@@ -233,3 +233,26 @@ def test_large_keys_by_levels(spark):
     assert count(small, both) == count(large, both)
     assert count(small, "b IS NULL") == count(large, "b IS NULL") == count(small, both) * 0 + count(small, "b IS NULL")
     assert count(large, "a IS NULL") == count(small, "a IS NULL")
+
+
+def test_large_keys_at_minimum_cost(spark):
+    fields, rng = ["pos", "ref", "alt", "q", "g"], random.Random(5)
+    text = lambda s: (*map(int, s),)
+    draw = lambda n: [tuple(rng.randrange(3) for _ in fields) for _ in range(n)]
+    schema = "id bigint, pos int, ref int, alt int, q int, g int"
+    a = [(1, *text("11111")), (1, *text("21122")), *((2, *r) for r in draw(14)), *((None, *r) for r in draw(9)), (3, *text("11111")), (3, *text("21122"))]
+    b = [(1, *text("21111")), (1, *text("12211")), *((2, *r) for r in draw(10)), *((None, *r) for r in draw(12)), (3, *text("21111")), (3, *text("12211")), (3, *text("12212"))]
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+
+    def costs(block):
+        out = {}
+        for r in diff.paired(x, y, "id", fields, block).collect():
+            c, n = out.get(r["id"], (0, 0))
+            both = r["a"] is not None and r["b"] is not None
+            out[r["id"]] = c + both * r["copies"] * sum(u != v for u, v in zip(r["a"] or (), r["b"] or ())), n + r["copies"] * both
+        return out
+
+    exact, large = costs(200), costs(1)
+    assert exact == large and large[1] == (4, 2)
+    one = lambda block: {(r["field"], r["copies"]) for r in diff.differences(x, y, "id", fields, block).where("id = 1").collect()}
+    assert one(1) == one(200) == {("ref", 1), ("alt", 1), ("q", 1), ("g", 1)}
