@@ -176,18 +176,67 @@ def mask_divergence(df: DataFrame, by: str) -> DataFrame:
     return shares.groupBy(by, "column", F.col("t").alias("n")).agg(F.round(distance, 6).alias("divergence"))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """(column, n_rows, n_null, n_distinct, least, greatest): one pass over all columns.
+def _kind(kind: str) -> str:
+    return "number" if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal") else "text"
+
+
+def value_profile(df: DataFrame) -> DataFrame:
+    """(column, n_rows, n_null, n_nan, n_infinite, n_distinct, least, greatest) of all columns and of what maps and arrays hold.
 
-    n_distinct is a HyperLogLog estimate (5 % standard error). Maps and arrays count as wholes, their extremes are those of
-    their size; other extremes are by the column's own order, written as text. An empty table has n_rows 0 and null extremes.
+    Maps and arrays count as wholes, their extremes are those of their size; ``name[]`` are an array's elements, ``name.key`` a map's values of
+    one key, null in rows without it. Extremes are those of finite numbers, NaN and infinities being counted apart, and
+    otherwise those of the texts; a map's values are numbers if all of them but "." are. n_distinct is exact: values are counted per
+    distinct text (wholes by SHA-256) before columns are. An empty table has n_rows 0 and null extremes for each of its columns.
     """
-    aggs, rows = [F.count(F.lit(1)).alias("rows")], []
-    for i, (name, kind) in enumerate(df.dtypes):
+    entry = lambda name, kind, value, size=None: F.struct(name.alias("column"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), (F.lit(None) if size is None else size).cast("int").alias("size"))
+    parts, plain, names = [], [], []
+    for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        nested = kind.startswith(("map", "array", "struct"))
-        ordered = F.when(c.isNotNull(), F.size(c)) if kind.startswith(("map", "array")) else c.cast("string") if nested else c
-        plain = F.to_json(c) if nested else c
-        aggs += [F.count(c).alias(f"c{i}"), F.approx_count_distinct(plain).alias(f"d{i}"), F.min(ordered).cast("string").alias(f"l{i}"), F.max(ordered).cast("string").alias(f"g{i}")]
-        rows.append(F.struct(F.lit(name).alias("column"), F.col("rows").alias("n_rows"), (F.col("rows") - F.col(f"c{i}")).alias("n_null"), F.col(f"d{i}").alias("n_distinct"), F.col(f"l{i}").alias("least"), F.col(f"g{i}").alias("greatest")))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+        if not kind.startswith(("map", "array", "struct")):
+            plain.append((name, _kind(kind), df.select(c.alias("value"))))
+            names.append((name, _kind(kind), None, None, 0))
+            continue
+        size = None if kind.startswith("struct") else F.when(c.isNotNull(), F.size(c))
+        ordered = F.array_sort(F.map_entries(c)) if kind.startswith("map") else c
+        parts.append(F.array(entry(F.lit(name), "whole", F.when(c.isNotNull(), F.sha2(F.to_json(F.struct(ordered.alias("v"))), 256)), size)))
+        names.append((name, "whole", None, None, 0))
+        if kind.startswith("map"):
+            parts.append(F.transform(F.map_entries(c), lambda e: entry(F.concat(F.lit(f"{name}."), e["key"].cast("string")), "entry", e["value"])))
+        elif kind.startswith("array"):
+            inner = kind[6:-1]
+            nested = inner.startswith(("map", "array", "struct"))
+            elements = F.transform(c, F.to_json) if nested else c
+            plain.append((f"{name}[]", _kind(inner), df.select(F.explode(elements).alias("value"))))
+            names.append((f"{name}[]", _kind(inner), None, None, 0))
+    # One Generate for each part: one array of all values of a row would be built in full before it is laid out.
+    long = None
+    for part in parts:
+        one = df.select(F.inline(part)).groupBy("column", "kind", "value", "size").agg(F.count(F.lit(1)).alias("n"))
+        long = one if long is None else long.unionByName(one)
+    # Values of one type are counted as they are and become texts afterwards.
+    for name, kind, values in plain:
+        one = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(entry(F.lit(name), kind, F.col("value")))), "n")
+        long = one if long is None else long.unionByName(one)
+    none = df.sparkSession.createDataFrame(names, "column string, kind string, value string, size int, n bigint")
+    text = F.col("value")
+    number = F.when((F.col("kind") == "number") | text.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z") | F.lower(text).isin("nan", "inf", "+inf", "-inf", "infinity", "-infinity"), text.try_cast("double"))
+    nan, infinite = F.coalesce(F.isnan("x"), F.lit(False)), F.coalesce(F.abs("x") == float("inf"), F.lit(False))
+    counted = long.unionByName(none).withColumn("x", F.when(F.col("kind").isin("number", "entry"), number))
+    exact = F.when(F.col("x").isNotNull() & ~nan & ~infinite, F.struct("x", F.coalesce(text.try_cast("decimal(38,0)"), F.lit(0)).alias("i"), "value"))
+    sums = counted.groupBy("column", "kind").agg(
+        F.sum("n").alias("all"), F.coalesce(F.sum(F.when(text.isNotNull(), F.col("n"))), F.lit(0)).alias("known"), F.coalesce(F.sum(F.when(nan, F.col("n"))), F.lit(0)).alias("n_nan"),
+        F.coalesce(F.sum(F.when(infinite, F.col("n"))), F.lit(0)).alias("n_infinite"), F.count("value").alias("n_distinct"),
+        F.bool_and(text.isNull() | (F.col("kind") == "entry") & (text == ".") | F.col("x").isNotNull()).alias("numbers"), F.count("x").alias("n_numbers"),
+        F.min(exact).alias("low"), F.max(exact).alias("high"), F.min("value").alias("first"), F.max("value").alias("last"), F.min("size").alias("small"), F.max("size").alias("large"),
+    )
+    rows = F.when(F.col("kind") == "entry", F.col("rows")).otherwise(F.col("all"))
+    numeric = (F.col("kind") == "number") | F.col("numbers") & (F.col("n_numbers") > 0)
+    extreme = lambda number, text, size: F.when(F.col("kind") == "whole", F.col(size).cast("string")).when(numeric, F.col(f"{number}.value")).otherwise(F.col(text))
+    return sums.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("rows")))).select(
+        "column", rows.alias("n_rows"), (rows - F.col("known")).alias("n_null"), "n_nan", "n_infinite", "n_distinct", extreme("low", "first", "small").alias("least"), extreme("high", "last", "large").alias("greatest")
+    )
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """(column, n_rows, n_null, n_distinct, least, greatest) of ``value_profile``."""
+    return value_profile(df).drop("n_nan", "n_infinite")

@@ -67,7 +67,7 @@ def p3_loads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.profile(table(spark, d, "variants"))
+    return profile.value_profile(table(spark, d, "variants"))
 
 
 def p3_masks(spark: SparkSession, d: str) -> DataFrame:

@@ -256,3 +256,17 @@ def test_large_keys_at_minimum_cost(spark):
     assert exact == large and large[1] == (4, 2)
     one = lambda block: {(r["field"], r["copies"]) for r in diff.differences(x, y, "id", fields, block).where("id = 1").collect()}
     assert one(1) == one(200) == {("ref", 1), ("alt", 1), ("q", 1), ("g", 1)}
+
+
+def test_profile_of_values(spark):
+    many = {"DP": "10"}
+    rows = [(i, 5.0 + i % 2, many if i % 2 else {"DP": "9", "AA": "x"}, [0, -9], i) for i in range(2000)] + [(2000, float("nan"), {"DP": "."}, [255], 0), (2001, float("inf"), None, None, 2**60 + 1), (2002, None, {}, [None], 2**60)]
+    df = spark.createDataFrame(rows, "row bigint, qual float, info map<string,string>, gt array<int>, big bigint")
+    got = {r["column"]: tuple(r)[1:] for r in profile.value_profile(df).collect()}
+    assert got["row"] == (2003, 0, 0, 0, 2003, "0", "2002")
+    assert got["qual"] == (2003, 1, 1, 1, 4, "5.0", "6.0")
+    assert got["gt[]"] == (4002, 1, 0, 0, 3, "-9", "255") and got["gt"] == (2003, 1, 0, 0, 3, "1", "2")
+    assert got["info.DP"] == (2003, 2, 0, 0, 3, "9", "10") and got["info.AA"] == (2003, 1003, 0, 0, 1, "x", "x") and got["info"][:2] == (2003, 1)
+    assert got["big"][4:] == (2002, "0", str(2**60 + 1))
+    empty = {r["column"]: tuple(r)[1:] for r in profile.value_profile(df.limit(0)).collect()}
+    assert set(empty) == {"row", "qual", "info", "gt", "gt[]", "big"} and set(empty.values()) == {(0, 0, 0, 0, 0, None, None)}
