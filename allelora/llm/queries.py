@@ -23,6 +23,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from their ids."""
+    vocab = tokenize.Vocab.load(tokenize.default_vocab_path())
+    return tokenize.encode(table(spark, d, "documents")).select("doc_id", tokenize.decode(F.col("ids"), vocab).alias("text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -46,7 +52,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(found, "doc_id", "left").select("doc_id", "chars", F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p7_ids, p8_found, p8_passages, p9_found, p9_stretches, p9_shared)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_groups, p7_ids, p7_decoded, p8_found, p8_passages, p9_found, p9_stretches, p9_shared)}
 
 _CANONICAL = r"""
 WITH typed AS (
@@ -94,6 +100,7 @@ stretches AS (SELECT doc_id, min(i) - 1 AS start, max(i) - min(i) + 320 AS n_cha
 SQL = {
     "p6_found": _CANONICAL + "SELECT first_id, rec_id FROM typed t JOIN grouped g ON t.chrom IS NOT DISTINCT FROM g.chrom AND t.pos IS NOT DISTINCT FROM g.pos AND t.ref IS NOT DISTINCT FROM g.ref AND t.alts IS NOT DISTINCT FROM g.alts AND t.info IS NOT DISTINCT FROM g.info WHERE rec_id > first_id",
     "p6_groups": _CANONICAL + "SELECT first_id, copies FROM grouped",
+    "p7_decoded": "SELECT doc_id, text FROM documents",
     "p8_found": f"SELECT doc_id, item_id FROM ({_LEAKS})",
     "p8_passages": _LEAKS,
     "p9_found": _WINDOWS + "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM windows a JOIN windows b ON a.w = b.w AND a.doc_id < b.doc_id",

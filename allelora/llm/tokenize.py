@@ -2,13 +2,14 @@
 
 Plan
 ----
-1. Texts are cut into words by the tokenizer's pattern; words are counted over the whole corpus
-   (map-side combine, so a word that makes up a third of all words costs no more than others).
-2. Each distinct word is encoded once: its bytes become an array of token ids, and a fold merges the
-   adjacent pair of lowest rank, in all its places, until no pair has a rank. Ranks come from a
-   literal rank map, hashed into buckets so that a lookup is O(1).
-3. The ``hot_words`` most frequent words go into a literal word map of fixed size. Texts are encoded from it
-   in place. Only the remaining, rare words are joined with the word table, by shuffle.
+1. The words of a bounded sample of texts are counted; those seen several times, at most ``hot_words``, are folded and go
+   into a literal word map of bounded size. The sample changes the plan only, not the result.
+2. Each text is cut into words once, by the tokenizer's pattern, and encoded in place as far as the word map goes: stretches of
+   ids, and the rare words between them. This is written to the shared folder.
+3. Each distinct rare word is folded once: its bytes become an array of token ids, and a fold merges the
+   adjacent pair of lowest rank until no pair has a rank. Ranks come from a literal rank map, hashed into buckets.
+4. The rare words' ids are joined back by word, and gathered by text. A word frequent enough to be a hot key is in the
+   word map, so it isn't joined.
 
 Defined results: a null text gives null ids; an empty text gives an empty array.
 """
@@ -19,12 +20,14 @@ import base64
 import json
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
+from uuid import uuid4
 
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelora.session import cut
+from allelora.session import cut, shared_dir
 
 #: Unicode White_Space, the class that ``\s`` means in the tokenizers' regex engines (fixed values).
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -34,9 +37,19 @@ WORDS = (
     r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+"
 )
 PAIR = 1 << 16
-#: Buckets of the two literal tables (primes); a bucket holds about six entries.
-PAIR_SLOTS = 16_411
-WORD_SLOTS = 8_209
+#: Slots of the two literal tables (primes).
+PAIR_SLOTS = 65_537
+WORD_SLOTS = 32_771
+#: A cell of the fold: the rank of the pair that a token forms with the one before it, above these bits, and its id below them.
+CELL = 1 << 32
+ID = CELL - 1
+#: The rank of pairs that aren't merged, above all others.
+NONE = PAIR * CELL
+#: Words of more bytes than LONG are folded in pieces. Pieces overlap by half; where pieces of a length have no token in common, longer ones are tried.
+LONG = 512
+PIECES = (256, 4096)
+#: More than any array holds.
+ALL = 1 << 30
 
 
 def default_vocab_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -95,26 +108,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _buckets(entries, slots: int) -> str:
+def _literal(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
+
+
+def _buckets(entries, slots: int) -> list[dict | None]:
     table: list[dict | None] = [None] * slots
     for slot, key, value in entries:
         bucket = table[slot]
         if bucket is None:
             bucket = table[slot] = {}
         bucket[key] = value
-    return json.dumps(table, ensure_ascii=False, separators=(",", ":"))
+    return table
 
 
 def pair_table(vocab: Vocab) -> Column:
-    """The literal rank map: small maps from ``left * 65536 + right`` to the merged id, hashed into slots."""
-    text = _buckets(((k % PAIR_SLOTS, k, m) for (a, b), m in vocab.merges.items() for k in [a * PAIR + b]), PAIR_SLOTS)
-    return F.from_json(F.lit(text), "array<map<string,int>>").cast("array<map<bigint,int>>")
+    """The literal rank map: small maps from ``left * 65536 + right`` to the merged id as a cell's rank, hashed into slots."""
+    entries = ((k % PAIR_SLOTS, k, m * CELL) for (a, b), m in vocab.merges.items() for k in [a * PAIR + b])
+    return _literal(_buckets(entries, PAIR_SLOTS), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
 def word_table(words: dict[str, list[int]]) -> Column:
     """A literal map from words to their ids, hashed into slots."""
-    text = _buckets(((_slot(w), w, ids) for w, ids in words.items()), WORD_SLOTS)
-    return F.from_json(F.lit(text), "array<map<string,array<int>>>")
+    return _literal(_buckets(((_slot(w), w, ids) for w, ids in words.items()), WORD_SLOTS), "array<map<string,array<int>>>")
 
 
 def _slot(word: str) -> int:
@@ -128,49 +144,90 @@ def lookup(words: Column, word: Column) -> Column:
 
 
 def fold_merges(word: Column, vocab: Vocab) -> Column:
-    """Ids of one word (string column) by folding ranked merges over its bytes.
+    """Ids of one word (string column) by folding ranked merges over its bytes; null for null.
 
-    The folded state is the array of ids and, beside it, the rank of each adjacent pair; a step merges the
-    leftmost pair of lowest rank and looks up the two ranks that changed. The order of steps is the same
-    as when all places of that pair are merged at once.
+    The folded state is an array of cells, one for each token. A step merges the leftmost pair of lowest rank and looks up the
+    two ranks that change; the order is the same as when all places of that pair are merged at once. Words
+    of more than LONG bytes are folded in overlapping pieces, see ``_pieced``, so their cost grows with their length.
     """
-    return let(pair_table(vocab), lambda ranks: _folded(word, vocab, ranks))
+    return let(pair_table(vocab), lambda ranks: _encoded(word, vocab, ranks))
+
 
+def _encoded(word: Column, vocab: Vocab, ranks: Column) -> Column:
+    # Each byte is one character of the text read as Latin 1.
+    codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    size = F.octet_length(word)
+    none = F.array().cast("array<int>")
+    short = F.when(size == 0, none).otherwise(let(codes, lambda b: _folded(b, vocab, ranks)))
+    return F.when(size <= LONG, short).when(size > LONG, let(codes, lambda b: _pieced(b, vocab, ranks)))
 
-def _folded(word: Column, vocab: Vocab, ranks: Column) -> Column:
-    byte_ids = F.split(F.lit(" ".join(str(vocab.ids[bytes([b])]) for b in range(256))), " ").cast("array<bigint>")
-    none = F.lit(None).cast("bigint")
+
+def _folded(codes: Column, vocab: Vocab, ranks: Column) -> Column:
+    """Ids of a non-empty array of bytes."""
+    byte_ids = [vocab.ids[bytes([b])] for b in range(256)]
+    first = _literal([NONE + i for i in byte_ids], "array<bigint>")
+    second = _literal([(vocab.merges.get((a, b), PAIR)) * CELL + b for a in byte_ids for b in byte_ids], "array<bigint>")
+    cell_id = lambda cell: cell.bitwiseAND(F.lit(ID))
+    none = F.lit(NONE)
 
     def rank(left: Column, right: Column) -> Column:
         key = left * F.lit(PAIR) + right
-        return F.get(ranks, key % F.lit(PAIR_SLOTS))[key].cast("bigint")
+        return F.coalesce(F.get(ranks, (key % F.lit(PAIR_SLOTS)).cast("int"))[key], none)
+
+    def merged(cells: Column, low: Column, at: Column) -> Column:
+        # The pair's right token is at place ``at``, from 1; before it come its left token and what that is paired with.
+        m = F.shiftright(low, 32)
+        after = F.get(cells, at)
+        here = F.when(at > 2, rank(cell_id(F.get(cells, at - 3)), m)).otherwise(none) + m
+        both = F.when(after.isNull(), F.array(here)).otherwise(F.array(here, let(cell_id(after), lambda i: rank(m, i) + i)))
+        return F.concat(F.slice(cells, F.lit(1), at - 2), both, F.slice(cells, at + 2, F.lit(ALL)))
+
+    def step(cells: Column, _: Column) -> Column:
+        return let(F.array_min(cells), lambda low: F.when(low >= none, cells).otherwise(let(F.array_position(cells, low).cast("int"), lambda at: merged(cells, low, at))))
 
-    def merged(a: Column, r: Column, m: Column, p: Column) -> Column:
-        # p: the pair's left place, from 1. Beyond either end, ids and so ranks are null.
-        before = F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0)))
-        left = F.when(p > 1, F.array(rank(F.get(a, p - 2), m))).otherwise(F.array().cast("array<bigint>"))
-        right = F.when(p + 1 < F.size(a), F.array(rank(m, F.get(a, p + 1)))).otherwise(F.array().cast("array<bigint>"))
-        ids = F.concat(F.slice(a, F.lit(1), p - 1), F.array(m), F.slice(a, p + 2, F.size(a)))
-        return F.struct(ids.alias("a"), F.concat(before, left, right, F.slice(r, p + 2, F.size(a))).alias("r"))
+    rest = F.slice(codes, F.lit(2), F.lit(ALL))
+    start = F.concat(F.array(F.get(first, F.get(codes, F.lit(0)))), F.transform(rest, lambda x, i: F.get(second, F.get(codes, i) * 256 + x)))
+    return F.aggregate(rest, start, step, lambda cells: F.transform(cells, lambda c: cell_id(c).cast("int")))
+
+
+def _pieced(codes: Column, vocab: Vocab, ranks: Column) -> Column:
+    """Ids of a long word, from those of overlapping pieces.
+
+    A row of tokens is a word's encoding exactly if each two neighbours are the encoding of their bytes. So where two pieces have
+    a token in common, at the same place, the tokens before it may be taken from one and those after it from the other.
+    Where some overlap has none, longer pieces are taken, and in the end the whole word.
+    """
+    top = max(vocab.ids.values()) + 1
+    sizes = [0] * top
+    for token, i in vocab.ids.items():
+        sizes[i] = len(token)
+    return let(_literal(sizes, "array<int>"), lambda n: F.coalesce(*(_stitched(codes, vocab, ranks, n, piece) for piece in PIECES), _folded(codes, vocab, ranks)))
 
-    def step(state: Column, _: Column) -> Column:
-        best = F.array_min(state["r"])
-        once = F.transform(F.array(best), lambda m: F.transform(F.array(F.array_position(state["r"], m).cast("int")), lambda p: merged(state["a"], state["r"], m, p)))
-        return F.when(best.isNull(), state).otherwise(F.get(F.get(once, F.lit(0)), F.lit(0)))
 
-    hexed = F.hex(word)
-    n = F.octet_length(word)
-    first = F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), n)),
-        lambda i: F.get(byte_ids, F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int")),
-    )
+def _stitched(codes: Column, vocab: Vocab, ranks: Column, sizes: Column, piece: int) -> Column:
+    half = piece // 2
 
-    def folded(a: Column) -> Column:
-        pairs = F.transform(a, lambda x, i: F.when(i > 0, rank(F.get(a, i - 1), x)).otherwise(none))
-        start = F.struct(a.alias("a"), F.slice(pairs, F.lit(2), F.size(a)).alias("r"))
-        return F.aggregate(F.slice(a, F.lit(2), F.size(a)), start, step, lambda s: s["a"])
+    def placed(begin: Column) -> Column:
+        # Tokens as begin * 65536 + id, in order.
+        ids = _folded(F.slice(codes, begin + 1, F.lit(piece)), vocab, ranks)
+        state = F.struct(begin.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        add = lambda s, i: F.struct((s["at"] + F.get(sizes, i)).alias("at"), F.array_append(s["out"], s["at"] * PAIR + i).alias("out"))
+        return F.aggregate(ids, state, add, lambda s: s["out"])
 
-    return F.coalesce(let(first, folded), F.array().cast("array<bigint>")).cast("array<int>")
+    last = F.greatest(F.lit(0), F.size(codes) - half - 1)
+    pieces = F.transform(F.sequence(F.lit(0), last, F.lit(half)), placed)
+
+    def joined(p: Column) -> Column:
+        # The first token that each piece has in common with the next one.
+        common = F.transform(F.slice(p, F.lit(2), F.lit(ALL)), lambda x, i: F.array_min(F.array_intersect(F.get(p, i), x)))
+
+        def own(c: Column) -> Column:
+            part = F.transform(p, lambda x, i: F.filter(x, lambda t: (t >= F.coalesce(F.get(c, i - 1), F.lit(0).cast("bigint"))) & (t < F.coalesce(F.get(c, i), F.lit((1 << 63) - 1)))))
+            return F.when(F.forall(c, lambda x: x.isNotNull()), F.transform(F.flatten(part), lambda t: t.bitwiseAND(F.lit(PAIR - 1)).cast("int")))
+
+        return let(common, own)
+
+    return let(pieces, joined)
 
 
 def split_words(text: Column) -> Column:
@@ -178,6 +235,19 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
+def _frequent(texts: DataFrame, vocab: Vocab, sample_texts: int, hot_words: int, min_hot: int) -> dict[str, list[int]]:
+    """The frequent words of a sample of about ``sample_texts`` texts and their ids: at most ``hot_words``, each seen ``min_hot`` times or more."""
+    share = sample_texts / max(1, texts.count())
+    sample = texts.sample(share, seed=7) if share < 1 else texts
+    counted = cut(sample.select(F.explode(split_words(F.col("__text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    # How often a count occurs: as many rows as there are different counts. The least count that keeps within the bound.
+    counts = sorted((r for r in counted.where(F.col("n") >= min_hot).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    within = [n for (n, _), total in zip(counts, accumulate(c for _, c in counts)) if total <= hot_words]
+    if not within:
+        return {}
+    return {r[0]: list(r[1]) for r in counted.where(F.col("n") >= within[-1]).select("word", fold_merges(F.col("word"), vocab).alias("ids")).collect()}
+
+
 def encode(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -185,56 +255,49 @@ def encode(
     vocab_path: str | None = None,
     hot_words: int = 32_768,
     min_hot: int = 3,
+    sample_texts: int = 8_000,
 ) -> DataFrame:
     """Token ids of every text: rows (``id_col``, ids array<int>), one for each row of ``df``.
 
     ``id_col`` must be unique. A null text has null ids, an empty text an empty array; a text of
-    any length is encoded whole. ``hot_words`` bounds the words that travel as a literal to every task: those
-    seen at least ``min_hot`` times, most frequent first; the bound changes the plan, not the result.
+    any length is encoded whole. ``hot_words``, ``min_hot`` and ``sample_texts`` choose the words that travel as a literal to every
+    task: of a sample of about ``sample_texts`` texts, the words seen at least ``min_hot`` times, at most ``hot_words``. They change the plan, not the result.
     Other columns of ``df`` are ignored.
     """
     vocab = Vocab.load(vocab_path or default_vocab_path())
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    base = texts.select("__id", split_words(F.col("__text")).alias("__words"))
-
-    counted = base.select(F.explode("__words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = cut(counted.select("word", "n", fold_merges(F.col("word"), vocab).alias("word_ids")))
-    hot = words.where(F.col("n") >= min_hot).orderBy(F.desc("n"), "word").limit(hot_words).collect()
-    known = word_table({r["word"]: list(r["word_ids"]) for r in hot})
-
-    marked = base.select("__id", "__words", F.transform("__words", lambda w: lookup(known, w)).alias("__known"))
-    places = marked.select(
-        "__id",
-        "__words",
-        "__known",
-        F.filter(F.transform("__known", lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull()).alias("__at"),
-    )
+    known = word_table(_frequent(texts, vocab, sample_texts, hot_words, min_hot))
+    looked = texts.select("__id", split_words(F.col("__text")).alias("__words")).select("__id", "__words", F.transform("__words", lambda w: lookup(known, w)).alias("__known"))
+    places = looked.select("*", F.filter(F.transform("__known", lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull()).alias("__at"))
     known_from = lambda start, end: F.flatten(F.slice("__known", start + 1, end - start))
-    segments = F.transform(
-        F.array_insert("__at", 1, F.lit(-1)),
-        lambda i, j: known_from(i + 1, F.coalesce(F.get("__at", j), F.size("__words"))),
-    )
-    coded = places.select("__id", segments.alias("__segments"), F.transform("__at", lambda i: F.get("__words", i)).alias("__left"))
-    found = (
-        # The outer form keeps Spark from inferring a condition that would evaluate the words once more, below.
-        coded.select("__id", F.posexplode_outer("__left").alias("at", "word"))
-        .join(words.select("word", "word_ids"), "word")
-        .groupBy("__id")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "word_ids"))).alias("__rest"))
-    )
+    segments = F.transform(F.array_insert("__at", 1, F.lit(-1)), lambda i, j: known_from(i + 1, F.coalesce(F.get("__at", j), F.size("__words"))))
+    path = f"{shared_dir(df.sparkSession)}/{uuid4().hex}"
+    places.select("__id", segments.alias("__segments"), F.transform("__at", lambda i: F.get("__words", i)).alias("__rare")).write.option("compression", "zstd").parquet(path)
+    coded = df.sparkSession.read.parquet(path)
+
+    spots = coded.where(F.size("__rare") > 0).select("__id", F.posexplode("__rare").alias("at", "word"))
+    words = spots.groupBy("word").agg(F.lit(0).alias("one")).select("word", fold_merges(F.col("word"), vocab).alias("word_ids"))
+    found = spots.join(words, "word").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("at", "word_ids"))).alias("__found"))
     # Known stretches and the rare words between them, in turn.
-    whole = F.transform(
-        "__segments",
-        lambda s, j: F.when(j == 0, s).otherwise(F.concat(F.get("__rest", j - 1)["word_ids"], s)),
-    )
-    return coded.drop("__left").join(found, "__id", "left").select(F.col("__id").alias(id_col), F.flatten(whole).alias("ids"))
+    whole = F.transform("__segments", lambda s, j: F.when(j == 0, s).otherwise(F.concat(F.get("__found", j - 1)["word_ids"], s)))
+    return coded.select("__id", "__segments").join(found, "__id", "left").select(F.col("__id").alias(id_col), F.flatten(whole).alias("ids"))
 
 
 def decode(ids: Column, vocab: Vocab) -> Column:
-    """Text of an array of ids: the tokens' bytes joined, then read as UTF-8 (null for null ids)."""
-    top = max(vocab.ids.values()) + 1
-    by_id = [""] * top
+    """Text of an array of ids: the tokens' binary pieces, concatenated two by two until one is left, read as UTF-8.
+
+    Null for null ids, empty for none; ids outside the vocabulary stand for nothing. A piece is copied once in each of the about log2(n) rounds.
+    """
+    by_id = [""] * (max(vocab.ids.values()) + 1)
     for token, i in vocab.ids.items():
-        by_id[i] = token.hex()
-    pieces = F.split(F.lit(" ".join(by_id)), " ")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "UTF-8")
+        by_id[i] = base64.b64encode(token).decode()
+    empty = F.lit(b"")
+
+    def halved(parts: Column, _: Column) -> Column:
+        pair = lambda x, i: F.concat(x, F.coalesce(F.get(parts, i * 2 + 1), empty))
+        return F.transform(F.filter(parts, lambda x, i: i % 2 == 0), pair)
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size(ids) + F.lit(1.0))).cast("int") + 1))
+    pieces = lambda tokens: F.transform(ids, lambda i: F.coalesce(F.get(tokens, i), empty))
+    joined = let(_literal(by_id, "array<binary>"), lambda tokens: F.aggregate(rounds, pieces(tokens), halved, lambda p: F.coalesce(F.get(p, F.lit(0)), empty)))
+    return F.when(ids.isNotNull(), F.decode(joined, "UTF-8"))

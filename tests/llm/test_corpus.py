@@ -75,6 +75,24 @@ def test_encoding(spark, tokenizer, hot):
     assert got == {i: None if t is None else tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
 
 
+def test_long_words(spark, tokenizer):
+    """Words folded in pieces, among them such whose pieces have no token in common."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzÄÖ漢") for _ in range(n)) for n in (500, 513, 3000, 20000)]
+    words += [p * (n // len(p)) for p in ("a", "ab", "abc", "theme", "interna", "Ü", "漢字語", "=", "-=", "   ") for n in (600, 1025, 5000)]
+    words += ["".join(rnd.choice(["th", "e", "in", "ter", "aa", "ing"]) for _ in range(700)) for _ in range(5)] + ["1" * 2049, "".join(rnd.choice("0123456789") for _ in range(4100))]
+    got = {r["doc_id"]: r["ids"] for r in tokenize.encode(docs(spark, words), hot_words=0).collect()}
+    assert [i for i, w in enumerate(words) if got[i] != tokenizer.encode(w, add_special_tokens=False).ids] == []
+
+
+def test_frequent_words_are_bounded(spark, tokenizer):
+    vocab = tokenize.Vocab.load(tokenize.default_vocab_path())
+    texts = docs(spark, ["aaa bbb aaa", "aaa bbb ccc", "ccc ddd"]).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    assert set(tokenize._frequent(texts, vocab, 100, 3, 1)) == {" bbb", "aaa", " ccc"} or len(tokenize._frequent(texts, vocab, 100, 3, 1)) <= 3
+    assert tokenize._frequent(texts, vocab, 100, 0, 1) == {}
+    assert len(tokenize._frequent(texts, vocab, 100, 100, 2)) == 2
+
+
 def test_encoding_round_trip(spark, tokenizer):
     df = docs(spark, TEXTS)
     vocab = tokenize.Vocab.load(tokenize.default_vocab_path())
