@@ -21,13 +21,12 @@ import json
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
-from uuid import uuid4
 
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelora.session import cut, shared_dir
+from allelora.session import cut, written
 
 #: Unicode White_Space, the class that ``\s`` means in the tokenizers' regex engines (fixed values).
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -37,14 +36,15 @@ WORDS = (
     r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+"
 )
 PAIR = 1 << 16
-#: Slots of the two literal tables (primes).
-PAIR_SLOTS = 65_537
+#: Slots of the two literal tables (primes); a slot of the rank map holds about three entries.
+PAIR_SLOTS = 16_411
 WORD_SLOTS = 32_771
-#: A cell of the fold: the rank of the pair that a token forms with the one before it, above these bits, and its id below them.
-CELL = 1 << 32
-ID = CELL - 1
+#: A cell of the fold holds, from its high bits down, the rank of the pair that a token forms with the one before it, its place among the
+#: word's bytes, and its id. So cells of a word differ, and the least cell is the leftmost of the lowest rank.
+PLACE_BITS, ID_BITS = 30, 16
+RANK_BITS = PLACE_BITS + ID_BITS
 #: The rank of pairs that aren't merged, above all others.
-NONE = PAIR * CELL
+NONE = PAIR << RANK_BITS
 #: Words of more bytes than LONG are folded in pieces. Pieces overlap by half; where pieces of a length have no token in common, longer ones are tried.
 LONG = 512
 PIECES = (256, 4096)
@@ -124,10 +124,17 @@ def _buckets(entries, slots: int) -> list[dict | None]:
 
 def pair_table(vocab: Vocab) -> Column:
     """The literal rank map: small maps from ``left * 65536 + right`` to the merged id as a cell's rank, hashed into slots."""
-    entries = ((k % PAIR_SLOTS, k, m * CELL) for (a, b), m in vocab.merges.items() for k in [a * PAIR + b])
+    entries = ((k % PAIR_SLOTS, k, m << RANK_BITS) for (a, b), m in vocab.merges.items() for k in [a * PAIR + b])
     return _literal(_buckets(entries, PAIR_SLOTS), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
+def byte_cells(vocab: Vocab) -> tuple[Column, Column]:
+    """Cells without their places: of a first byte, by its value, and of a byte after another one, by 256 times that one's value more."""
+    ids = [vocab.ids[bytes([b])] for b in range(256)]
+    first = _literal([NONE + i for i in ids], "array<bigint>")
+    return first, _literal([(vocab.merges.get((a, b), PAIR) << RANK_BITS) + b for a in ids for b in ids], "array<bigint>")
+
+
 def word_table(words: dict[str, list[int]]) -> Column:
     """A literal map from words to their ids, hashed into slots."""
     return _literal(_buckets(((_slot(w), w, ids) for w, ids in words.items()), WORD_SLOTS), "array<map<string,array<int>>>")
@@ -150,24 +157,23 @@ def fold_merges(word: Column, vocab: Vocab) -> Column:
     two ranks that change; the order is the same as when all places of that pair are merged at once. Words
     of more than LONG bytes are folded in overlapping pieces, see ``_pieced``, so their cost grows with their length.
     """
-    return let(pair_table(vocab), lambda ranks: _encoded(word, vocab, ranks))
-
-
-def _encoded(word: Column, vocab: Vocab, ranks: Column) -> Column:
+    first, second = byte_cells(vocab)
     # Each byte is one character of the text read as Latin 1.
     codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
     size = F.octet_length(word)
-    none = F.array().cast("array<int>")
-    short = F.when(size == 0, none).otherwise(let(codes, lambda b: _folded(b, vocab, ranks)))
-    return F.when(size <= LONG, short).when(size > LONG, let(codes, lambda b: _pieced(b, vocab, ranks)))
 
+    def encoded(b: Column, fold) -> Column:
+        return F.when(size == 0, F.array().cast("array<int>")).when(size <= LONG, fold(b)).otherwise(_pieced(b, vocab, fold))
 
-def _folded(codes: Column, vocab: Vocab, ranks: Column) -> Column:
+    def bound(*tables: Column) -> Column:
+        return let(codes, lambda b: encoded(b, lambda c: _folded(c, *tables)))
+
+    return let(pair_table(vocab), lambda r: let(first, lambda f: let(second, lambda s: F.when(word.isNotNull(), bound(r, f, s)))))
+
+
+def _folded(codes: Column, ranks: Column, first: Column, second: Column) -> Column:
     """Ids of a non-empty array of bytes."""
-    byte_ids = [vocab.ids[bytes([b])] for b in range(256)]
-    first = _literal([NONE + i for i in byte_ids], "array<bigint>")
-    second = _literal([(vocab.merges.get((a, b), PAIR)) * CELL + b for a in byte_ids for b in byte_ids], "array<bigint>")
-    cell_id = lambda cell: cell.bitwiseAND(F.lit(ID))
+    cell_id = lambda cell: cell.bitwiseAND(F.lit(PAIR - 1))
     none = F.lit(NONE)
 
     def rank(left: Column, right: Column) -> Column:
@@ -175,22 +181,26 @@ def _folded(codes: Column, vocab: Vocab, ranks: Column) -> Column:
         return F.coalesce(F.get(ranks, (key % F.lit(PAIR_SLOTS)).cast("int"))[key], none)
 
     def merged(cells: Column, low: Column, at: Column) -> Column:
-        # The pair's right token is at place ``at``, from 1; before it come its left token and what that is paired with.
-        m = F.shiftright(low, 32)
-        after = F.get(cells, at)
-        here = F.when(at > 2, rank(cell_id(F.get(cells, at - 3)), m)).otherwise(none) + m
-        both = F.when(after.isNull(), F.array(here)).otherwise(F.array(here, let(cell_id(after), lambda i: rank(m, i) + i)))
-        return F.concat(F.slice(cells, F.lit(1), at - 2), both, F.slice(cells, at + 2, F.lit(ALL)))
+        # The pair's right token is at place ``at``, from 1, and goes; its left token becomes the merged one. Slices and
+        # concatenations of arrays would cost several times as much as these functions.
+        m = F.shiftright(low, RANK_BITS)
+        before = F.when(at > 2, rank(cell_id(F.get(cells, at - 3)), m)).otherwise(none)
+        here = lambda x: before + x.bitwiseAND(F.lit((1 << RANK_BITS) - PAIR)) + m
+        after = lambda x: rank(m, cell_id(x)) + x.bitwiseAND(F.lit((1 << RANK_BITS) - 1))
+        changed = lambda left: F.transform(F.array_remove(cells, low), lambda x, i: F.when(i == left, here(x)).when(i == left + 1, after(x)).otherwise(x))
+        return let(at - 2, changed)
 
     def step(cells: Column, _: Column) -> Column:
         return let(F.array_min(cells), lambda low: F.when(low >= none, cells).otherwise(let(F.array_position(cells, low).cast("int"), lambda at: merged(cells, low, at))))
 
-    rest = F.slice(codes, F.lit(2), F.lit(ALL))
-    start = F.concat(F.array(F.get(first, F.get(codes, F.lit(0)))), F.transform(rest, lambda x, i: F.get(second, F.get(codes, i) * 256 + x)))
-    return F.aggregate(rest, start, step, lambda cells: F.transform(cells, lambda c: cell_id(c).cast("int")))
+    def cell(x: Column, i: Column) -> Column:
+        plain = F.when(i == 0, F.get(first, x)).otherwise(F.get(second, F.get(codes, i - 1) * 256 + x))
+        return plain + F.shiftleft(i.cast("bigint"), ID_BITS)
+
+    return F.aggregate(F.array_remove(F.transform(codes, lambda x, i: i), 0), F.transform(codes, cell), step, lambda cells: F.transform(cells, lambda c: cell_id(c).cast("int")))
 
 
-def _pieced(codes: Column, vocab: Vocab, ranks: Column) -> Column:
+def _pieced(codes: Column, vocab: Vocab, fold) -> Column:
     """Ids of a long word, from those of overlapping pieces.
 
     A row of tokens is a word's encoding exactly if each two neighbours are the encoding of their bytes. So where two pieces have
@@ -201,15 +211,15 @@ def _pieced(codes: Column, vocab: Vocab, ranks: Column) -> Column:
     sizes = [0] * top
     for token, i in vocab.ids.items():
         sizes[i] = len(token)
-    return let(_literal(sizes, "array<int>"), lambda n: F.coalesce(*(_stitched(codes, vocab, ranks, n, piece) for piece in PIECES), _folded(codes, vocab, ranks)))
+    return let(_literal(sizes, "array<int>"), lambda n: F.coalesce(*(_stitched(codes, fold, n, piece) for piece in PIECES), fold(codes)))
 
 
-def _stitched(codes: Column, vocab: Vocab, ranks: Column, sizes: Column, piece: int) -> Column:
+def _stitched(codes: Column, fold, sizes: Column, piece: int) -> Column:
     half = piece // 2
 
     def placed(begin: Column) -> Column:
         # Tokens as begin * 65536 + id, in order.
-        ids = _folded(F.slice(codes, begin + 1, F.lit(piece)), vocab, ranks)
+        ids = let(F.slice(codes, begin + 1, F.lit(piece)), fold)
         state = F.struct(begin.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
         add = lambda s, i: F.struct((s["at"] + F.get(sizes, i)).alias("at"), F.array_append(s["out"], s["at"] * PAIR + i).alias("out"))
         return F.aggregate(ids, state, add, lambda s: s["out"])
@@ -271,9 +281,7 @@ def encode(
     places = looked.select("*", F.filter(F.transform("__known", lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull()).alias("__at"))
     known_from = lambda start, end: F.flatten(F.slice("__known", start + 1, end - start))
     segments = F.transform(F.array_insert("__at", 1, F.lit(-1)), lambda i, j: known_from(i + 1, F.coalesce(F.get("__at", j), F.size("__words"))))
-    path = f"{shared_dir(df.sparkSession)}/{uuid4().hex}"
-    places.select("__id", segments.alias("__segments"), F.transform("__at", lambda i: F.get("__words", i)).alias("__rare")).write.option("compression", "zstd").parquet(path)
-    coded = df.sparkSession.read.parquet(path)
+    coded = written(places.select("__id", segments.alias("__segments"), F.transform("__at", lambda i: F.get("__words", i)).alias("__rare")))
 
     spots = coded.where(F.size("__rare") > 0).select("__id", F.posexplode("__rare").alias("at", "word"))
     words = spots.groupBy("word").agg(F.lit(0).alias("one")).select("word", fold_merges(F.col("word"), vocab).alias("word_ids"))
