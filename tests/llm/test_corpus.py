@@ -31,7 +31,7 @@ def records(spark):
 EQUAL = [(1, 2), (5, 6), (7, 8), (9, 10), (11, 12)]
 
 
-@pytest.mark.parametrize("digest", [F.md5, lambda c: F.lit("same")])
+@pytest.mark.parametrize("digest", [F.md5, lambda c: F.lit("00"), lambda c: F.substring(F.md5(c), 1, 1)])
 def test_copies(records, digest):
     """With a hash that always collides the result is the same."""
     assert sorted(tuple(r) for r in canonical.later_copies(records, "rec_id", FIELDS, digest).collect()) == EQUAL
