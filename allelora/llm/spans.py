@@ -11,8 +11,10 @@ Scale
   there, before any text moves; the two extreme ids of a bucket are found with map-side combining.
 * Equal super-k-mers become one class before windows are laid out, so a passage that stands in a third of all
   records is one row in its bucket, however often it occurs. Only buckets with several classes lay out windows.
-* Windows and classes are identified by 128-bit hashes of their text; groups with the same members are
-  reduced to one before pairs are made, so a pair isn't made once for each window.
+* A bucket is shuffled once, as packed strings. Its windows are laid out, sorted by their text and counted in place. Buckets of
+  more than ``large`` windows are spread instead: their windows are counted by 128-bit hashes, with map-side combining.
+* Keys that hold many rows (minimisers, classes, windows) are joined by ``join_back``; groups with the same members are
+  reduced to one before pairs are made, and a large group's pairs are made in blocks.
 """
 
 from __future__ import annotations
@@ -22,17 +24,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from allelora.session import cut
+from allelora.operators.skew import join_back
+from allelora.session import written
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters handled at once by a task; longer texts are taken in pieces that overlap by k - 1.
 PIECE = 1 << 20
 
 
-def hash128(*cols: Column) -> Column:
-    return F.struct(F.xxhash64(*cols).alias("x"), F.xxhash64(F.lit(0x5BD1E995), *cols).alias("y"))
+#: Windows of a bucket up to which one task counts it.
+LARGE = 200_000
+#: Members of a group up to which one task makes its pairs.
+BLOCK = 1024
+
+
+def digest(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -112,84 +123,110 @@ def _scan(k: int, m: int):
 
 
 def buckets(df: DataFrame, id_col: str, text_col: str, k: int, m: int) -> DataFrame:
-    """Super-k-mers in buckets of several records: (h, cls, id, start, n, seq), written to the shared folder."""
+    """Super-k-mers in buckets of several records: (h, c, id, start, seq), c the digest of seq; written to the shared folder."""
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     long = texts.where(F.length("text") >= k)
-    spans = long.mapInArrow(_scan(k, m), "h bigint, id bigint, start bigint, n bigint")
-    shared = spans.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
-    kept = spans.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list(F.struct("h", "start", "n")).alias("spans"))
-    packed = long.join(kept, "id").select("id", "text", F.explode("spans").alias("s")).select(
-        F.col("s.h").alias("h"),
-        "id",
-        F.col("s.start").alias("start"),
-        F.col("s.n").alias("n"),
-        F.substring("text", F.col("s.start").cast("int") + 1, F.col("s.n").cast("int") + F.lit(k - 1)).alias("seq"),
-    )
-    return cut(packed.select("h", hash128(F.col("seq")).alias("cls"), "id", "start", "n", "seq"))
-
-
-def _windows(classes: DataFrame, k: int) -> DataFrame:
-    """The windows of all classes in buckets of several classes: (w, cls, o, a, b)."""
-    several = classes.groupBy("h").agg(F.min("cls").alias("c"), F.max("cls").alias("d")).where("c != d").select("h")
-    laid = classes.join(several, "h", "left_semi").select(
-        "cls", "a", "b", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda o: hash128(F.substring("seq", o, F.lit(k))))).alias("o", "w")
-    )
-    return laid
-
-
-def _classes(packed: DataFrame) -> DataFrame:
-    return packed.groupBy("h", "cls").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.first("n").alias("n"), F.first("seq").alias("seq"))
-
-
-def _signature(groups: DataFrame, key: str, member: str) -> DataFrame:
-    """One group for each set of members: (key), the smallest of those with equal members."""
-    member_rows = groups.select(key, member).distinct()
-    signed = member_rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("c"),
-        F.bit_xor(F.xxhash64(member)).alias("x"),
-        F.bit_xor(F.xxhash64(F.lit(11), F.col(member))).alias("y"),
-    )
-    return signed.where("c > 1").groupBy("c", "x", "y").agg(F.min(key).alias(key)).select(key)
-
-
-def shared_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 320, m: int = 128) -> DataFrame:
+    spans = written(long.mapInArrow(_scan(k, m), "h bigint, id bigint, start bigint, n bigint"))
+    counted = spans.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n_spans"))
+    shared = written(counted.where("a < b").select("h", "n_spans"))
+    kept = join_back(spans, shared, "h", "n_spans").where("n_spans IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("h", "start", "n")).alias("spans"))
+    seq = F.substring("text", F.col("s.start").cast("int") + 1, F.col("s.n").cast("int") + F.lit(k - 1))
+    packed = long.join(kept, "id").select("id", "text", F.explode("spans").alias("s")).select(F.col("s.h").alias("h"), "id", F.col("s.start").alias("start"), seq.alias("seq"))
+    return written(packed.select("h", digest(F.col("seq")).alias("c"), "id", "start", "seq"))
+
+
+class _Classes:
+    """The distinct super-k-mers of ``packed``, and those in buckets of several of them: ``small`` buckets, each in one partition, and ``large`` ones."""
+
+    def __init__(self, packed: DataFrame, k: int, large: int):
+        grouped = packed.groupBy("h", "c", "seq").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("copies"))
+        self.all = written(grouped.withColumn("n", F.length("seq") - F.lit(k - 1)))
+        sizes = written(self.all.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("windows")).where("classes > 1"))
+        sized = join_back(self.all, sizes, "h", "classes")
+        self.small = sized.where(F.col("windows") <= large).repartition("h")
+        self.large = None if sizes.where(F.col("windows") > large).isEmpty() else sized.where(F.col("windows") > large)
+        self.k = k
+
+    def texts(self) -> Column:
+        """The windows of a class, in order."""
+        return F.transform(F.sequence(F.lit(1), F.col("n")), lambda o: F.substring("seq", o, F.lit(self.k)))
+
+    def per_class(self, rows: DataFrame, value: Column) -> DataFrame:
+        """(c, copies, v): the set of ``value`` over the rows of each class; it has no more elements than the class has windows and one."""
+        return rows.groupBy("c").agg(F.collect_set(value).alias("v")).join(self.all.select("c", "copies"), "c")
+
+
+def _shared_windows(classes: _Classes) -> DataFrame:
+    """(c, o): places, from 0, of the windows of classes of one record that stand in another record too."""
+    cols = ["h", "c", "a", "b"]
+    w = W.partitionBy("h", "w")
+    laid = classes.small.select(*cols, F.posexplode(classes.texts()).alias("o", "w"))
+    found = laid.select("c", "o", "a", "b", F.min("a").over(w).alias("lo"), F.max("b").over(w).alias("hi")).where("lo < hi AND a = b").select("c", "o")
+    if classes.large is None:
+        return found
+    spread = written(classes.large.select(*cols, F.posexplode(F.transform(classes.texts(), digest)).alias("o", "w")))
+    counted = written(spread.groupBy("w").agg(F.min("a").alias("lo"), F.max("b").alias("hi"), F.count(F.lit(1)).alias("places")).where("lo < hi").select("w", "places"))
+    return found.unionByName(join_back(spread.where("a = b"), counted, "w", "places").where("places IS NOT NULL").select("c", "o"))
+
+
+def _window_groups(classes: _Classes) -> DataFrame:
+    """(g, c): the sets of several classes that share windows, once for each set of classes of a bucket."""
+    sums = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("c")), F.bit_xor(F.xxhash64(F.lit(11), "c"))]
+    names = ["members", "x", "y"]
+    name = lambda: F.md5(F.concat_ws(",", *(F.col(n).cast("string") for n in ("h", *names))).cast("binary")).alias("g")
+    w = W.partitionBy("h", "w")
+    laid = classes.small.select("h", "c", F.explode(F.array_distinct(classes.texts())).alias("w"))
+    found = laid.select("h", "c", *(s.over(w).alias(n) for s, n in zip(sums, names))).where("members > 1").select("h", *names, "c").distinct().select(name(), "c")
+    if classes.large is None:
+        return found
+    spread = written(classes.large.select("h", "c", F.explode(F.array_distinct(F.transform(classes.texts(), digest))).alias("w")))
+    counted = written(spread.groupBy("w").agg(*(s.alias(n) for s, n in zip(sums, names))).where("members > 1"))
+    return found.unionByName(join_back(spread, counted, "w", "members").where("members IS NOT NULL").select("h", *names, "c").distinct().select(name(), "c"))
+
+
+def _pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_a, doc_b) of the distinct rows (g, id, size), size being the group's number of members; groups of more than ``block`` in blocks."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
+    placed = members.select("g", "id", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("b"))
+    one = placed.select("g", F.col("b").alias("i"), F.explode(F.sequence("b", F.col("n") - 1)).alias("j"), F.col("id").alias("x"))
+    other = placed.select("g", F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"), F.col("id").alias("y"))
+    met = one.join(other, ["g", "i", "j"]).where("(i < j AND x != y) OR (i = j AND x < y)")
+    return met.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+
+
+def shared_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 320, m: int = 128, large: int = LARGE) -> DataFrame:
     """Pairs of records whose texts contain a common substring of at least ``k`` characters.
 
     Rows (doc_a, doc_b), doc_a < doc_b, each pair once. Characters are code points. ``id_col`` must be unique.
-    Null and shorter texts have no pairs; copies of a whole text are paired like any others. ``m`` only
-    sets the partitioning, not the result.
+    Null and shorter texts have no pairs; copies of a whole text are paired like any others. ``m`` and ``large`` only
+    set the partitioning, not the result.
     """
     packed = buckets(df, id_col, text_col, k, m)
-    classes = _classes(packed)
-    laid = _windows(classes, k).select("w", "cls")
-    between = _signature(laid, "w", "cls")
-    by_window = laid.join(between, "w").select(F.col("w").alias("g"), "cls").distinct()
-    by_class = classes.where("a < b").select(F.col("cls").alias("g"), "cls")
-    members = by_window.unionByName(by_class).join(packed.select("cls", "id").distinct(), "cls").select("g", "id").distinct()
-    members = cut(members)
-    kept = members.join(_signature(members, "g", "id"), "g", "left_semi")
-    one, other = kept.select("g", F.col("id").alias("doc_a")), kept.select("g", F.col("id").alias("doc_b"))
-    return one.join(other, "g").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
-
-
-def shared_stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 320, m: int = 128) -> DataFrame:
+    classes = _Classes(packed, k, large)
+    by_class = classes.all.where("a < b").select(F.md5("c").alias("g"), "c")
+    per_class = classes.per_class(_window_groups(classes).unionByName(by_class), F.col("g"))
+    members = written(join_back(packed.select("c", "id"), per_class, "c", "copies").select("id", F.explode("v").alias("g")).distinct())
+    # Groups with the same members make the same pairs: one of them is kept.
+    signed = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(11), "id")).alias("y"))
+    kept = written(signed.where("size > 1").groupBy("size", "x", "y").agg(F.min(F.struct("g")).alias("s")).select("s.g", "size"))
+    return _pairs(join_back(members, kept, "g", "size").where("size IS NOT NULL").select("g", "id", "size"))
+
+
+def shared_stretches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 320, m: int = 128, large: int = LARGE) -> DataFrame:
     """The stretches of every record that stand in another record too: (id, start, n_chars), from 0, whole
     stretches without overlaps. Records without any have no rows."""
     packed = buckets(df, id_col, text_col, k, m)
-    classes = _classes(packed)
-    laid = _windows(classes, k)
-    elsewhere = laid.groupBy("w").agg(F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("w")
-    in_class = laid.where("a = b").join(elsewhere, "w", "left_semi").groupBy("cls").agg(F.sort_array(F.collect_set("o")).alias("os"))
+    classes = _Classes(packed, k, large)
+    in_class = _shared_windows(classes).groupBy("c").agg(F.sort_array(F.collect_set("o")).alias("os"))
     # Within one super-k-mer: runs of consecutive shared windows, from their first and last places.
     here = lambda cond: F.filter(F.transform("os", lambda o, i: F.when(cond(o, i), o)), lambda o: o.isNotNull())
     firsts = here(lambda o, i: (i == 0) | (F.get("os", i - 1) < o - 1))
     lasts = here(lambda o, i: F.coalesce(F.get("os", i + 1) > o + 1, F.lit(True)))
-    pairs = F.zip_with(firsts, lasts, lambda x, y: F.struct(x.cast("bigint").alias("o"), y.cast("bigint").alias("e")))
-    runs = in_class.select("cls", F.inline(pairs))
-    whole = classes.where("a < b").select("cls", F.lit(0).cast("bigint").alias("o"), (F.col("n") - 1).alias("e"))
-    found = packed.select("cls", "id", "start").join(runs.unionByName(whole), "cls").select("id", (F.col("start") + F.col("o")).alias("b"), (F.col("start") + F.col("e") + k).alias("e"))
-    from pyspark.sql import Window as W
-
+    runs = in_class.select("c", F.inline(F.zip_with(firsts, lasts, lambda x, y: F.struct(x.cast("bigint").alias("o"), y.cast("bigint").alias("e")))))
+    whole = classes.all.where("a < b").select("c", F.lit(0).cast("bigint").alias("o"), (F.col("n") - 1).cast("bigint").alias("e"))
+    per_class = classes.per_class(runs.unionByName(whole), F.struct("o", "e"))
+    placed = join_back(packed.select("c", "id", "start"), per_class, "c", "copies").select("id", "start", F.explode("v").alias("v"))
+    found = placed.select("id", (F.col("start") + F.col("v.o")).alias("b"), (F.col("start") + F.col("v.e") + k).alias("e"))
     w = W.partitionBy("id").orderBy("b", "e")
     far = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     numbered = found.withColumn("new", (far.isNull() | (far < F.col("b"))).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))

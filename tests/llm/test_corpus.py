@@ -131,6 +131,15 @@ def test_leaks(spark, block):
     assert leakage.leaks(docs(spark, texts).limit(0), it).count() == 0
 
 
+def test_passages_do_not_depend_on_blocks(spark):
+    """An item with two texts, and passages of several items, counted alike for any number of blocks."""
+    it = spark.createDataFrame([(1, "a b c d", 0), (1, "w x y z", 0), (2, "a b c", 0), (3, "q r s", 0)], "item_id bigint, text string, doc_id int")
+    df = docs(spark, ["a b c d, w x y z!", "A-B-C", None, "a b c q r s a b c"])
+    for block in (1, 20, 10**6):
+        got = sorted(tuple(r) for r in leakage.leaks(df, it, words=3, block_chars=block).collect())
+        assert got == [(0, 1, 4), (0, 2, 1), (1, 1, 1), (1, 2, 1), (3, 1, 1), (3, 2, 1), (3, 3, 1)]
+
+
 def brute_spans(texts, k):
     places = {}
     for i, t in enumerate(texts):
@@ -148,9 +157,11 @@ def brute_spans(texts, k):
     return pairs, cover
 
 
-@pytest.mark.parametrize("piece", [64, 1 << 20])
-def test_shared_spans(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece, large, block", [(64, spans.LARGE, spans.BLOCK), (1 << 20, 0, 2)])
+def test_shared_spans(spark, monkeypatch, piece, large, block):
+    """Small pieces of texts, all buckets large, and pairs made in blocks give the same."""
     monkeypatch.setattr(spans, "PIECE", piece)
+    monkeypatch.setattr(spans._pairs, "__defaults__", (block,))
     rng = random.Random(9)
     alphabet = "ab \n日🎉"
     text = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
@@ -159,8 +170,8 @@ def test_shared_spans(spark, monkeypatch, piece):
     texts += [None, "", "a", texts[0], texts[0] + "x", "ab" * 200, "ab" * 150, "a" * 300, shared[0] * 3, shared[1][:31], shared[1][:32], shared[1][:33]]
     pairs, cover = brute_spans(texts, 32)
     df = docs(spark, texts)
-    assert {tuple(r) for r in spans.shared_pairs(df, k=32, m=8).collect()} == pairs
-    got = spans.shared_stretches(df, k=32, m=8).groupBy("doc_id").agg(F.sum("n_chars").alias("n")).collect()
+    assert {tuple(r) for r in spans.shared_pairs(df, k=32, m=8, large=large).collect()} == pairs
+    got = spans.shared_stretches(df, k=32, m=8, large=large).groupBy("doc_id").agg(F.sum("n_chars").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in got} == cover
     assert spans.shared_pairs(df.limit(0), k=32, m=8).count() == 0
     assert spans.shared_stretches(df.limit(0), k=32, m=8).count() == 0
