@@ -4,11 +4,12 @@ Plan
 ----
 1. The words of a bounded sample of texts are counted; those seen several times, at most ``hot_words``, are folded and go
    into a literal word map of bounded size. The sample changes the plan only, not the result.
-2. Each text is cut into words once, by the tokenizer's pattern, and encoded in place as far as the word map goes: stretches of
-   ids, and the rare words between them. This is written to the shared folder.
+2. Each text is cut into words once, by the tokenizer's pattern, and encoded in place as far as the word map goes. Until the end its
+   ids are one string, each id the character of that code, with a mark in place of each rare word; strings are shuffled and
+   written several times more cheaply than arrays. They and the rare words are written to the shared folder.
 3. Each distinct rare word is folded once: its bytes become an array of token ids, and a fold merges the
    adjacent pair of lowest rank until no pair has a rank. Ranks come from a literal rank map, hashed into buckets.
-4. The rare words' ids are joined back by word, and gathered by text. A word frequent enough to be a hot key is in the
+4. The rare words' ids are joined back by word, gathered by text, and set in at the marks. A word frequent enough to be a hot key is in the
    word map, so it isn't joined.
 
 Defined results: a null text gives null ids; an empty text gives an empty array.
@@ -50,6 +51,8 @@ LONG = 512
 PIECES = (256, 4096)
 #: More than any array holds.
 ALL = 1 << 30
+#: Stands for a rare word among the characters of ids, which are below the surrogates.
+MARK, IDS_END = "\ue000", 0xD800
 
 
 def default_vocab_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -70,8 +73,8 @@ class Vocab:
     def load(cls, path: str) -> "Vocab":
         with open(path, "rb") as f:
             ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        if max(ids.values()) >= PAIR:
-            raise ValueError("ids must be below 65536")
+        if max(ids.values()) >= IDS_END:
+            raise ValueError(f"ids must be below {IDS_END}")
         merges: dict[tuple[int, int], int] = {}
         for token, rank in sorted(ids.items(), key=lambda x: x[1]):
             parts = merge(ids, merges, token)
@@ -135,9 +138,9 @@ def byte_cells(vocab: Vocab) -> tuple[Column, Column]:
     return first, _literal([(vocab.merges.get((a, b), PAIR) << RANK_BITS) + b for a in ids for b in ids], "array<bigint>")
 
 
-def word_table(words: dict[str, list[int]]) -> Column:
-    """A literal map from words to their ids, hashed into slots."""
-    return _literal(_buckets(((_slot(w), w, ids) for w, ids in words.items()), WORD_SLOTS), "array<map<string,array<int>>>")
+def word_table(words: dict[str, str]) -> Column:
+    """A literal map from words to their ids as characters, hashed into slots."""
+    return _literal(_buckets(((_slot(w), w, ids) for w, ids in words.items()), WORD_SLOTS), "array<map<string,string>>")
 
 
 def _slot(word: str) -> int:
@@ -146,7 +149,7 @@ def _slot(word: str) -> int:
 
 
 def lookup(words: Column, word: Column) -> Column:
-    """Ids of ``word`` in a word table, or null."""
+    """Ids of ``word`` in a word table, as characters, or null."""
     return F.get(words, F.pmod(F.xxhash64(word), F.lit(WORD_SLOTS)))[word]
 
 
@@ -245,8 +248,8 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def _frequent(texts: DataFrame, vocab: Vocab, sample_texts: int, hot_words: int, min_hot: int) -> dict[str, list[int]]:
-    """The frequent words of a sample of about ``sample_texts`` texts and their ids: at most ``hot_words``, each seen ``min_hot`` times or more."""
+def _frequent(texts: DataFrame, vocab: Vocab, sample_texts: int, hot_words: int, min_hot: int) -> dict[str, str]:
+    """The frequent words of a sample of about ``sample_texts`` texts and their ids as characters: at most ``hot_words``, each seen ``min_hot`` times or more."""
     share = sample_texts / max(1, texts.count())
     sample = texts.sample(share, seed=7) if share < 1 else texts
     counted = cut(sample.select(F.explode(split_words(F.col("__text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
@@ -255,7 +258,7 @@ def _frequent(texts: DataFrame, vocab: Vocab, sample_texts: int, hot_words: int,
     within = [n for (n, _), total in zip(counts, accumulate(c for _, c in counts)) if total <= hot_words]
     if not within:
         return {}
-    return {r[0]: list(r[1]) for r in counted.where(F.col("n") >= within[-1]).select("word", fold_merges(F.col("word"), vocab).alias("ids")).collect()}
+    return {r[0]: "".join(map(chr, r[1])) for r in counted.where(F.col("n") >= within[-1]).select("word", fold_merges(F.col("word"), vocab).alias("ids")).collect()}
 
 
 def encode(
@@ -278,17 +281,21 @@ def encode(
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     known = word_table(_frequent(texts, vocab, sample_texts, hot_words, min_hot))
     looked = texts.select("__id", split_words(F.col("__text")).alias("__words")).select("__id", "__words", F.transform("__words", lambda w: lookup(known, w)).alias("__known"))
-    places = looked.select("*", F.filter(F.transform("__known", lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull()).alias("__at"))
-    known_from = lambda start, end: F.flatten(F.slice("__known", start + 1, end - start))
-    segments = F.transform(F.array_insert("__at", 1, F.lit(-1)), lambda i, j: known_from(i + 1, F.coalesce(F.get("__at", j), F.size("__words"))))
-    coded = written(places.select("__id", segments.alias("__segments"), F.transform("__at", lambda i: F.get("__words", i)).alias("__rare")))
+    rare = F.filter("__words", lambda w, i: F.get("__known", i).isNull())
+    coded = written(looked.select("__id", F.array_join("__known", "", MARK).alias("__coded"), rare.alias("__rare")))
 
     spots = coded.where(F.size("__rare") > 0).select("__id", F.posexplode("__rare").alias("at", "word"))
-    words = spots.groupBy("word").agg(F.lit(0).alias("one")).select("word", fold_merges(F.col("word"), vocab).alias("word_ids"))
-    found = spots.join(words, "word").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("at", "word_ids"))).alias("__found"))
+    chars = _literal([chr(i) for i in range(max(vocab.ids.values()) + 1)], "array<string>")
+    folded = let(chars, lambda c: F.array_join(F.transform(fold_merges(F.col("word"), vocab), lambda i: F.get(c, i)), ""))
+    # Each word is in one row of ``words``, so its hash table has no skew.
+    words = spots.groupBy("word").agg(F.lit(0).alias("one")).select("word", folded.alias("word_ids")).hint("shuffle_hash")
+    found = spots.join(words, "word").groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word_ids"))), lambda x: x["word_ids"]).alias("__found"))
     # Known stretches and the rare words between them, in turn.
-    whole = F.transform("__segments", lambda s, j: F.when(j == 0, s).otherwise(F.concat(F.get("__found", j - 1)["word_ids"], s)))
-    return coded.select("__id", "__segments").join(found, "__id", "left").select(F.col("__id").alias(id_col), F.flatten(whole).alias("ids"))
+    set_in = F.array_join(F.zip_with(F.split("__coded", MARK), "__found", lambda s, w: F.concat(s, F.coalesce(w, F.lit("")))), "")
+    whole = F.when(F.col("__found").isNull(), F.col("__coded")).otherwise(set_in)
+    joined = coded.select("__id", "__coded").join(found, "__id", "left").select(F.col("__id").alias(id_col), whole.alias("__ids"))
+    ids = F.transform(F.split("__ids", ""), lambda c: F.ascii(c))
+    return joined.select(id_col, F.when(F.col("__ids") == "", F.array().cast("array<int>")).otherwise(ids).alias("ids"))
 
 
 def decode(ids: Column, vocab: Vocab) -> Column:
