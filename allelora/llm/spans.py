@@ -153,7 +153,7 @@ class _Classes:
 
     def per_class(self, rows: DataFrame, value: Column) -> DataFrame:
         """(c, copies, v): the set of ``value`` over the rows of each class; it has no more elements than the class has windows and one."""
-        return rows.groupBy("c").agg(F.collect_set(value).alias("v")).join(self.all.select("c", "copies"), "c")
+        return written(rows.groupBy("c").agg(F.collect_set(value).alias("v")).join(self.all.select("c", "copies"), "c"))
 
 
 def _shared_windows(classes: _Classes) -> DataFrame:

@@ -183,18 +183,17 @@ def _folded(codes: Column, ranks: Column, first: Column, second: Column) -> Colu
         key = left * F.lit(PAIR) + right
         return F.coalesce(F.get(ranks, (key % F.lit(PAIR_SLOTS)).cast("int"))[key], none)
 
-    def merged(cells: Column, low: Column, at: Column) -> Column:
-        # The pair's right token is at place ``at``, from 1, and goes; its left token becomes the merged one. Slices and
+    def merged(cells: Column, low: Column, left: Column) -> Column:
+        # The pair's left token, at place ``left`` from 0, becomes the merged one; its right token goes. Slices and
         # concatenations of arrays would cost several times as much as these functions.
         m = F.shiftright(low, RANK_BITS)
-        before = F.when(at > 2, rank(cell_id(F.get(cells, at - 3)), m)).otherwise(none)
-        here = lambda x: before + x.bitwiseAND(F.lit((1 << RANK_BITS) - PAIR)) + m
+        here = lambda x: F.when(left > 0, rank(cell_id(F.get(cells, left - 1)), m)).otherwise(none) + x.bitwiseAND(F.lit((1 << RANK_BITS) - PAIR)) + m
         after = lambda x: rank(m, cell_id(x)) + x.bitwiseAND(F.lit((1 << RANK_BITS) - 1))
-        changed = lambda left: F.transform(F.array_remove(cells, low), lambda x, i: F.when(i == left, here(x)).when(i == left + 1, after(x)).otherwise(x))
-        return let(at - 2, changed)
+        return F.transform(F.array_remove(cells, low), lambda x, i: F.when(i == left, here(x)).when(i == left + 1, after(x)).otherwise(x))
 
     def step(cells: Column, _: Column) -> Column:
-        return let(F.array_min(cells), lambda low: F.when(low >= none, cells).otherwise(let(F.array_position(cells, low).cast("int"), lambda at: merged(cells, low, at))))
+        left = lambda low: F.array_position(cells, low).cast("int") - 2
+        return let(F.array_min(cells), lambda low: F.when(low >= none, cells).otherwise(let(left(low), lambda at: merged(cells, low, at))))
 
     def cell(x: Column, i: Column) -> Column:
         plain = F.when(i == 0, F.get(first, x)).otherwise(F.get(second, F.get(codes, i - 1) * 256 + x))
@@ -267,8 +266,8 @@ def encode(
     text_col: str = "text",
     vocab_path: str | None = None,
     hot_words: int = 32_768,
-    min_hot: int = 3,
-    sample_texts: int = 8_000,
+    min_hot: int = 2,
+    sample_texts: int = 4_000,
 ) -> DataFrame:
     """Token ids of every text: rows (``id_col``, ids array<int>), one for each row of ``df``.
 
