@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from allelora.functions.arrays import subset
 from allelora.operators import filterlang, order, regions, stats
+from allelora.sources import bcf
 from allelora.sources import headers as header_ops
 from allelora.sources import vcf
+from allelora.sources.sniff import sniff
 
 
 @dataclass(frozen=True)
@@ -21,20 +23,43 @@ class Dataset:
     headers: DataFrame
     samples: tuple[str, ...]
     phasing: str = "unknown"
-    ploidy: int = 2
+    formats: dict[str, str] | None = None  # FORMAT IDs to element types, where they aren't those of the header
 
     @classmethod
-    def read_vcf(cls, spark: SparkSession, path: str, numeric: dict[str, str] | None = None) -> "Dataset":
+    def read_vcf(cls, spark: SparkSession, path: str, formats: dict[str, str] | None = None) -> "Dataset":
+        """A file, folder or several files of one header; ``formats`` (FORMAT ID to int, float or string) in place of the header's declarations."""
         lines = vcf.read_lines(spark, path)
         head = vcf.header_rows(lines)
-        return cls(vcf.variants(lines, numeric=numeric), head, tuple(vcf.sample_ids(lines)), vcf.phasing_of(head))
+        types = vcf.format_types(head) if formats is None else {k: t.removeprefix("array<").removesuffix(">") for k, t in formats.items()}
+        return cls(vcf.variants(lines, types), head, tuple(vcf.sample_ids(lines)), vcf.phasing_of(head), formats and types)
+
+    def format_types(self) -> dict[str, str]:
+        return vcf.format_types(self.headers) if self.formats is None else self.formats
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> "Dataset":
+        """VCF text (also compressed), BCF, or a folder that ``write_parquet`` wrote, told apart by the first bytes."""
+        kind = sniff(spark, path)
+        return {"vcf": cls.read_vcf, "parquet": cls.read_parquet, "bcf": cls.read_bcf}[kind](spark, path)
+
+    @classmethod
+    def read_bcf(cls, spark: SparkSession, path: str) -> "Dataset":
+        head, samples = bcf.header_rows(spark, path)
+        return cls(bcf.read(spark, path).drop("file"), head, samples, vcf.phasing_of(head))
+
+    def _last(self):
+        return F.col("end_pos") if "end_pos" in self.variants.columns else regions.end_pos(F.col("info"))
 
     def region(self, *texts: str, how: str = "beg") -> "Dataset":
         parsed = [regions.Region.parse(t) for t in texts]
-        last = regions.end_pos(F.col("info"))
         if len(parsed) == 1:
-            return replace(self, variants=regions.in_region(self.variants, parsed[0], how, last))
-        return replace(self, variants=regions.in_regions(self.variants, parsed, how, last))
+            return replace(self, variants=regions.in_region(self.variants, parsed[0], how, self._last()))
+        return replace(self, variants=regions.in_regions(self.variants, parsed, how, self._last()))
+
+    def regions_file(self, path: str, how: str = "beg") -> "Dataset":
+        """Sites of the regions in a file of lines ``chrom<tab>start<tab>end``, with ``region_ord``, once for each region."""
+        found = regions.join_regions(self.variants, regions.read_regions(self.variants.sparkSession, path), how, self._last())
+        return replace(self, variants=found)
 
     def slice(self, begin: int, end: int) -> "Dataset":
         return replace(self, variants=regions.slice_rows(self.variants, begin, end))
@@ -44,10 +69,13 @@ class Dataset:
 
     def subset(self, ids: set[str]) -> "Dataset":
         """Samples in ``ids`` in file order; unknown IDs are ignored."""
-        keep = [i for i, s in enumerate(self.samples) if s in ids]
-        changed = self.variants.withColumn("gt", subset(F.col("gt"), keep, self.ploidy))
-        if "ph" in changed.columns and self.ploidy > 1:
-            changed = changed.withColumn("ph", subset(F.col("ph"), keep, self.ploidy - 1))
+        keep, n = [i for i, s in enumerate(self.samples) if s in ids], max(1, len(self.samples))
+        changed = self.variants
+        for name in ["gt", "ph", *map(vcf.column_of, self.format_types())]:
+            if name in changed.columns:
+                changed = changed.withColumn(name, subset(F.col(name), keep, F.floor(F.size(name) / n).cast("int")))
+        if "undeclared" in changed.columns:
+            changed = changed.withColumn("undeclared", F.transform_values("undeclared", lambda _, v: subset(v, keep, 1)))
         return replace(self, variants=changed, samples=tuple(self.samples[i] for i in keep))
 
     def update_info(self, generate: tuple[str, ...] = (), mode: str = "compat") -> "Dataset":
@@ -59,7 +87,7 @@ class Dataset:
         return replace(self, variants=self.variants.withColumn("info", kept), headers=lines)
 
     def sites_only(self) -> "Dataset":
-        return replace(self, variants=self.variants.drop("gt", "ph", "format"), samples=())
+        return replace(self, variants=self.variants.drop("gt", "ph", "format", "undeclared", *map(vcf.column_of, self.format_types())), samples=())
 
     def drop_phase(self) -> "Dataset":
         return replace(self, variants=self.variants.drop("ph"), phasing="none")
@@ -85,14 +113,19 @@ class Dataset:
                 raise ValueError("the new header doesn't begin with the old dictionary")
         return replace(self, headers=headers if headers is not None else self.headers, samples=tuple(samples) if samples is not None else self.samples)
 
-    def write_vcf(self, path: str) -> None:
-        vcf.write(self.variants, self.headers, list(self.samples), path, self.phasing, self.ploidy)
+    def write_vcf(self, path: str, records_per_file: int = 0) -> None:
+        """VCF text parts that ``read_vcf`` reads again as a folder; the header's fileDate is today's."""
+        vcf.write(self.variants, header_ops.with_file_date(self.headers), list(self.samples), path, self.format_types(), self.phasing, records_per_file)
+
+    def write_parquet(self, path: str, records_per_file: int = 0) -> None:
+        """Variants in folders by contig, sorted by position, so that contig and position prune the scan; header and samples beside them.
 
-    def write_parquet(self, path: str) -> None:
-        """Variants in folders by contig, sorted by position, so that contig and position prune the scan; header and samples beside them."""
+        ``end_pos`` is stored, so regions by end or overlap prune too. ``records_per_file`` bounds the records of a file (0: no bound).
+        """
         spark = self.variants.sparkSession
-        ranged = self.variants.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
-        ranged.write.partitionBy("chrom").parquet(f"{path}/variants")
+        rows = self.variants.withColumn("end_pos", self._last())
+        ranged = rows.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+        ranged.write.option("maxRecordsPerFile", records_per_file).partitionBy("chrom").parquet(f"{path}/variants")
         self.headers.write.parquet(f"{path}/headers")
         spark.createDataFrame([(i, s) for i, s in enumerate(self.samples)], "sample_idx int, sample_id string").coalesce(1).write.parquet(f"{path}/samples")
 

@@ -79,8 +79,8 @@ def delta_decode(gaps: Column) -> Column:
     return F.when(gaps.isNotNull(), F.aggregate(gaps, start, step, lambda a: a["out"]))
 
 
-def subset(v: Column, keep: list[int], stride: int) -> Column:
-    """The elements of the samples ``keep`` (indices), in file order."""
+def subset(v: Column, keep: list[int], stride: int | Column) -> Column:
+    """The elements of the samples ``keep`` (indices), in file order; ``stride`` elements a sample, which may differ from row to row."""
     kept = sorted(set(keep))
     if not kept:
         return F.when(v.isNotNull(), F.slice(v, 1, 0))
@@ -199,7 +199,3 @@ def sample_stride(field: str, ploidy: int) -> int:
         return ploidy + 1
     return 1
 
-
-def hash_combine(v: Column) -> Column:
-    """An order-sensitive 64-bit checksum of a vector."""
-    return F.xxhash64(v)

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allelora.functions.arrays import EOV, let
 from allelora.operators.skew import join_back
-
-EOV = -2147483647
+from allelora.sources.vcf import info_map
 
 
 def with_errors(df: DataFrame, rules: list[tuple[str, Column]], out: str = "errors") -> DataFrame:
@@ -66,20 +66,19 @@ def vcf_rules() -> list[tuple[str, Column]]:
 
 
 def vcf_sites(valid: DataFrame) -> DataFrame:
-    """Typed sites of valid rows: info as a map of texts (flags "."), gt with two slots a sample: -1 missing, EOV unused."""
+    """Typed sites of valid rows: info as a map of texts (flags "."), gt with two slots a sample: -1 missing, EOV unused; ph 1 where a call is
+    phased; gq and dp by the line's FORMAT keys, null where it hasn't the key, null elements where a sample hasn't the number.
+    """
     cell = lambda i: F.get("cells", F.lit(i))
     listed = lambda c, sep: F.when(c == ".", F.array().cast("array<string>")).otherwise(F.split(c, sep))
-    fields = F.regexp_extract_all(cell(7), F.lit(r'(?:[^;"\\]|\\.|"(?:\\.|[^"\\])*")+'), F.lit(0))
-    pairs = F.transform(F.filter(fields, lambda p: p != "."), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(F.lit(".")).alias("v")))
-    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
     allele = lambda a: F.when(a.isNull(), F.lit(EOV)).when(a == ".", F.lit(-1)).otherwise(a.try_cast("int"))
-    gt = F.flatten(
-        F.transform(
-            F.slice("cells", F.lit(10), F.greatest(F.size("cells") - 9, F.lit(0))),
-            lambda c: F.transform(F.array(F.lit(0), F.lit(1)), lambda i: allele(F.get(F.split(F.substring_index(c, ":", 1), r"[/|]"), i))),
-        )
-    )
+    samples = F.slice("cells", F.lit(10), F.greatest(F.size("cells") - 9, F.lit(0)))
+    call = lambda c: F.substring_index(c, ":", 1)
+    gt = F.flatten(F.transform(samples, lambda c: F.transform(F.array(F.lit(0), F.lit(1)), lambda i: allele(F.get(F.split(call(c), r"[/|]"), i)))))
+    place = lambda key: F.array_position(F.split(cell(8), ":"), key).cast("int")
+    number = lambda key: F.when(place(key) > 0, let(place(key), lambda at: F.transform(samples, lambda c: F.get(F.split(c, ":"), at - 1).try_cast("int"))))
     return valid.select(
         "line_id", "file_no", cell(0).alias("chrom"), cell(1).try_cast("int").alias("pos"), cell(2).alias("id"), cell(3).alias("ref"), listed(cell(4), ",").alias("alts"),
-        F.when(cell(5) != ".", cell(5)).try_cast("float").alias("qual"), listed(cell(6), ";").alias("filters"), F.map_from_entries(first).alias("info"), gt.alias("gt"),
+        F.when(cell(5) != ".", cell(5)).try_cast("float").alias("qual"), listed(cell(6), ";").alias("filters"), info_map(cell(7)).alias("info"), gt.alias("gt"),
+        F.transform(samples, lambda c: call(c).contains("|").cast("int")).alias("ph"), number("GQ").alias("gq"), number("DP").alias("dp"),
     )

@@ -1,13 +1,13 @@
 """The annotation filter language, compiled to Spark columns.
 
-    expr    := "(" expr [("&" | "|") expr] | cmp [("&" | "|") expr]
-    cmp     := operand op operand [")"]        op := == != < > <= >= =~ !~
+    expr    := "(" expr ")" [("&" | "|") expr] | cmp [("&" | "|") expr]
+    cmp     := operand op operand        op := == != < > <= >= =~ !~
 
 Operators have one precedence and bind to the right: ``a & b | c`` is ``a & (b | c)``. ``==`` and ``!=`` compare texts, the
 four orders compare the numbers that texts begin with (0 if none), ``=~`` and ``!~`` search a regular
 expression. An operand that begins with a quote, digit or sign is a literal; FILTER and QUAL are columns; any other
 word, quoted or not on the right side alike, is an info key, and an absent key is the empty text. Flags have the text ".".
-Text after a closing parenthesis of the outermost comparison is ignored. A comparison with a missing QUAL is false.
+Text after a closing bracket that none opened is ignored, and brackets still open at the end are closed. A comparison with a missing QUAL is false.
 """
 
 from __future__ import annotations
@@ -19,88 +19,89 @@ from pyspark.sql import functions as F
 
 from allelora.functions.text import atof, g6
 
-_QUOTED = r"""(?P<q>['"])(?P<body>(?:\\.|(?!(?P=q))[^\\])*)(?P=q)\s*"""
-_LEFT = re.compile(rf"\s*(?:{_QUOTED}|(?P<word>[^=<>!]+))", re.S)
-_RIGHT = re.compile(rf"\s*(?:{_QUOTED}|(?P<word>[^)&|]+))", re.S)
-_OP = re.compile(r"[=<>!][=<>!~]*")
+_QUOTED = r"""(?P<{0}quote>['"])(?P<{0}body>(?:\\.|(?!(?P={0}quote))[^\\])*)(?P={0}quote)\s*"""
+#: One comparison with the brackets that open before it: an operand, which a comparison sign ends, the sign, and an operand that a closing
+#: bracket or a logical sign ends.
+_CLAUSE = re.compile(
+    rf"\s*(?P<opened>(?:\(\s*)*)(?:{_QUOTED.format('left_')}|(?P<left>[^=<>!]+))(?P<sign>[=<>!][=<>!~]*)\s*(?:{_QUOTED.format('right_')}|(?P<right>[^)&|]+))", re.S
+)
+_CLOSED, _LOGIC = re.compile(r"\)\s*"), re.compile(r"\s*([&|])")
 
 
 class FilterError(ValueError):
     """The expression is not in the language."""
 
 
-class _Operand:
-    def __init__(self, match: re.Match):
-        word = match["word"]
-        if word is None:
-            self.text = F.lit(re.sub(r"\\(.)", r"\1", match["body"], flags=re.S))
-            return
-        word = word.rstrip(" ")
-        if not word:
-            raise FilterError("an operand is missing")
-        if word[0] in "'\"":
-            raise FilterError(f"a quote isn't closed: {word}")
-        if word[0].isdigit() or word[0] in "+-":
-            self.text = F.lit(word)
-        elif word == "FILTER":
-            self.text = F.coalesce(F.array_join("filters", ";"), F.lit(""))
-        elif word == "QUAL":
-            self.text = F.coalesce(g6(F.col("qual")), F.lit("nan"))
-        else:
-            self.text = F.coalesce(F.col("info")[word], F.lit(""))
-
-
-def _compare(left: _Operand, op: str, right: _Operand) -> Column:
-    a, b = left.text, right.text
-    if op == "==":
-        made = a == b
-    elif op == "!=":
-        made = a != b
-    elif op in ("=~", "!~"):
-        found = F.regexp_like(a, b)
-        made = found if op == "=~" else ~found
-    else:
-        x, y = atof(a), atof(b)
-        made = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
-    return F.coalesce(made, F.lit(False))
-
-
-def _parse(text: str, at: int) -> tuple[Column, int]:
-    while at < len(text) and text[at].isspace():
-        at += 1
-    if at == len(text):
-        raise FilterError("the expression ends too early")
-    if text[at] == "(":
-        made, at = _parse(text, at + 1)
-        while at < len(text) and text[at].isspace():
-            at += 1
-        if at == len(text):
-            return made, at
-        joined = text[at]
-    else:
-        left = _LEFT.match(text, at)
-        if not left:
-            raise FilterError(f"no operand at {at}: {text}")
-        op = _OP.match(text, left.end())
-        if not op or op[0] not in ("==", "!=", "<", ">", "<=", ">=", "=~", "!~") or op.end() == len(text):
-            raise FilterError(f"no comparison at {left.end()}: {text}")
-        right = _RIGHT.match(text, op.end())
-        if not right:
-            raise FilterError(f"no operand at {op.end()}: {text}")
-        made, at = _compare(_Operand(left), op[0], _Operand(right)), right.end()
-        if at == len(text):
-            return made, at
-        if text[at] == ")":
-            return made, at + 1
-        joined = text[at]
-    if joined not in "&|":
-        raise FilterError(f"no logical operator at {at}: {text}")
-    rest, at = _parse(text, at + 1)
-    return (made & rest if joined == "&" else made | rest), at
+def _operand(clause: re.Match, side: str) -> Column:
+    """The text of a clause's left or right operand."""
+    if clause[side] is None:
+        return F.lit(re.sub(r"\\(.)", r"\1", clause[f"{side}_body"], flags=re.S))
+    word = clause[side].rstrip(" ")
+    if not word or word[0] in "'\"":
+        raise FilterError(f"an operand is missing or its quote isn't closed: {clause[0]}")
+    if word[0].isdigit() or word[0] in "+-":
+        return F.lit(word)
+    named = {"FILTER": lambda: F.array_join("filters", ";"), "QUAL": lambda: F.coalesce(g6(F.col("qual")), F.lit("nan"))}
+    return F.coalesce(named.get(word, lambda: F.col("info")[word])(), F.lit(""))
+
+
+_SIGNS = {
+    "==": lambda a, b: a == b,
+    "!=": lambda a, b: a != b,
+    "=~": F.regexp_like,
+    "!~": lambda a, b: ~F.regexp_like(a, b),
+    "<": lambda a, b: atof(a) < atof(b),
+    ">": lambda a, b: atof(a) > atof(b),
+    "<=": lambda a, b: atof(a) <= atof(b),
+    ">=": lambda a, b: atof(a) >= atof(b),
+}
+
+
+def _comparison(clause: re.Match) -> Column:
+    if clause["sign"] not in _SIGNS:
+        raise FilterError(f"no comparison: {clause[0]}")
+    return F.coalesce(_SIGNS[clause["sign"]](_operand(clause, "left"), _operand(clause, "right")), F.lit(False))
+
+
+def _folded(terms: list) -> Column:
+    """Conditions and the signs between them, folded from the right."""
+    made = terms[-1]
+    for condition, sign in zip(terms[-3::-2], terms[-2::-2]):
+        made = condition & made if sign == "&" else condition | made
+    return made
+
+
+def _condition(text: str) -> Column:
+    groups: list[list] = [[]]
+    at, more = 0, True
+    while more:
+        clause = _CLAUSE.match(text, at)
+        if not clause:
+            raise FilterError(f"no comparison at {at}: {text}")
+        groups += [[] for _ in range(clause["opened"].count("("))]
+        groups[-1].append(_comparison(clause))
+        at = clause.end()
+        while closed := _CLOSED.match(text, at):
+            if len(groups) == 1:
+                return _folded(groups[0])
+            inner = _folded(groups.pop())
+            groups[-1].append(inner)
+            at = closed.end()
+        sign = _LOGIC.match(text, at)
+        if sign:
+            groups[-1].append(sign[1])
+            at = sign.end()
+        elif text[at:].strip():
+            raise FilterError(f"no logical operator at {at}: {text}")
+        more = bool(sign)
+    while len(groups) > 1:
+        inner = _folded(groups.pop())
+        groups[-1].append(inner)
+    return _folded(groups[0])
 
 
 def compile_filter(text: str) -> Column:
     """The condition of a filter expression; an empty one is always true. Raises FilterError (a ValueError)."""
     if not text.strip():
         return F.lit(True)
-    return _parse(text, 0)[0]
+    return _condition(text)

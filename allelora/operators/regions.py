@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,13 +67,12 @@ def in_region(df: DataFrame, region: Region, how: str = "beg", last: Column | No
     return df.where(cond if not region.chrom else (F.col("chrom") == region.chrom) & cond)
 
 
-def in_regions(df: DataFrame, regions: list[Region], how: str = "beg", last: Column | None = None, bin_size: int = 1 << 20) -> DataFrame:
+def in_regions(df: DataFrame, regions: list[Region], how: str = "beg", last: Column | None = None) -> DataFrame:
     """Sites of several regions, with ``region_ord``: once for each region that a site meets, regions aren't merged.
 
     Order by (region_ord, row_idx) for the order of one scan per region. Each region is one branch of an inline
     list per row, so the scan isn't repeated and nothing is shuffled; the list has as many entries as the caller gave.
     """
-    del bin_size
     hits = F.array(*(F.when(((F.lit(r.chrom) == "") | (F.col("chrom") == r.chrom)) & matches(F.lit(r.start), F.lit(r.end), how, last), F.lit(i)) for i, r in enumerate(regions)))
     if not regions:
         return df.withColumn("region_ord", F.lit(0)).where("false")
@@ -82,18 +81,36 @@ def in_regions(df: DataFrame, regions: list[Region], how: str = "beg", last: Col
     return pruned.withColumn("region_ord", F.explode(F.filter(hits, lambda x: x.isNotNull())))
 
 
-def join_regions(df: DataFrame, regions: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
-    """Sites joined with a table of regions (region_ord, chrom, start, end) of any size, by begin of the site.
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """(region_ord, chrom, start, end) of lines ``chrom<tab>start<tab>end``, both ends inclusive and from 1; region_ord follows the lines."""
+    cells = F.split(F.regexp_replace("value", r"\r\z", ""), "\t")
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("region_ord"), cells.alias("c")).where(F.size("c") >= 3)
+    return rows.select("region_ord", F.get("c", F.lit(0)).alias("chrom"), F.get("c", F.lit(1)).cast("bigint").alias("start"), F.get("c", F.lit(2)).cast("bigint").alias("end"))
+
+
+def join_regions(df: DataFrame, regions: DataFrame, how: str = "beg", last: Column | None = None, bin_size: int = 1 << 16) -> DataFrame:
+    """Sites joined with a table of regions (region_ord, chrom, start, end) of any size, by any bounding point.
 
     Both sides meet in bins of positions, so a contig that holds most sites is spread over many keys; a region longer than
-    ``bin_size`` is laid out in its bins, and the exact condition follows. Regions with an open end are cut at the
-    contig's last site.
+    ``bin_size`` is laid out in its bins, for ``any`` a site too, and the exact condition follows. Regions with an open end are cut at the
+    contig's last position. Null contigs and positions meet nothing.
     """
-    last = df.groupBy("chrom").agg(F.max("pos").cast("bigint").alias("last"))
-    r = regions.join(F.broadcast(last), "chrom").withColumn("to", F.least("end", "last")).where("start <= to")
-    binned = r.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("to") / bin_size)))).drop("last", "to")
-    sites = df.withColumn("bin", F.floor(F.col("pos") / bin_size))
-    return sites.join(binned, ["chrom", "bin"]).where(F.col("pos").between(F.col("start"), F.col("end"))).drop("bin", "start", "end")
+    last = end_pos() if last is None else last
+    bin_of = lambda c: F.floor(c / bin_size)
+    sites = df.withColumn("__last", last)
+    span = sites.groupBy("chrom").agg(F.max(F.greatest(F.col("pos").cast("bigint"), F.col("__last"))).alias("__top"))
+    r = regions.select("*").join(span, "chrom").withColumn("__to", F.least("end", "__top")).where("start <= __to")
+    binned = r.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("__to"))))).drop("__top", "__to")
+    place = {"beg": F.array(bin_of(F.col("pos"))), "all": F.array(bin_of(F.col("pos"))), "end": F.array(bin_of(F.col("__last")))}
+    place["any"] = F.sequence(bin_of(F.col("pos")), F.greatest(bin_of(F.col("pos")), bin_of(F.col("__last"))))
+    if how not in place:
+        raise ValueError(f"no such bounding point: {how}")
+    laid = sites.where("pos IS NOT NULL AND __last IS NOT NULL").withColumn("__bin", F.explode(place[how]))
+    met = laid.join(binned, ["chrom", "__bin"]).where(matches(F.col("start"), F.col("end"), how, F.col("__last")))
+    if how == "any":
+        # An overlap shows in each bin that both are in: the first of them counts.
+        met = met.where(F.col("__bin") == F.greatest(bin_of(F.col("pos")), bin_of(F.col("start"))))
+    return met.drop("__bin", "__last", "start", "end")
 
 
 def envelope(regions: DataFrame) -> DataFrame:

@@ -149,6 +149,26 @@ def read(spark: SparkSession, path: str, batch: int = 2000) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(scan, SCHEMA)
 
 
+def header_rows(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """((seq, key, value) header lines, sample IDs) of a file, or of the first of several."""
+
+    def head(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, data in zip(frame["path"], frame["content"]):
+                stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+                if stream.read(5) != MAGIC:
+                    raise ValueError("not BCF version 2")
+                text = _exact(stream, struct.unpack("<I", _exact(stream, 4))[0]).decode("utf-8", "replace").rstrip("\0")
+                yield pd.DataFrame({"file": [name], "text": [text]})
+
+    row = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(head, "file string, text string").orderBy("file").first()
+    if row is None:
+        raise ValueError(f"there is no file at {path}")
+    lines = [x[2:].partition("=") for x in row["text"].splitlines() if x.startswith("##")]
+    frame = spark.createDataFrame([(i, k, v) for i, (k, _, v) in enumerate(lines)], "seq bigint, key string, value string")
+    return frame, tuple(Header(row["text"]).samples)
+
+
 def _put(values: list, kind: int) -> bytes:
     if kind == 7:
         body, n = values[0].encode(), len(values[0].encode())

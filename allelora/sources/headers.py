@@ -49,6 +49,21 @@ def without_subfield(value: Column, name: str) -> Column:
     return F.regexp_replace(F.regexp_replace(value, rf"<{one},?", "<"), rf",{one}", "")
 
 
+def with_file_date(headers: DataFrame) -> DataFrame:
+    """Header lines with today's fileDate, where they have one."""
+    today = F.date_format(F.current_date(), "yyyyMMdd")
+    return headers.withColumn("value", F.when(F.col("key") == "fileDate", today).otherwise(F.col("value")))
+
+
+def with_declared(headers: DataFrame, lines: dict[str, str]) -> DataFrame:
+    """Header lines with INFO declarations (ID to the whole value) added after the others, those that are missing."""
+    known = {r["id"] for r in with_attributes(headers.where("key = 'INFO'")).select("id").distinct().collect()}
+    top = headers.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    new = [(top + 1 + i, "INFO", value) for i, (key, value) in enumerate((k, v) for k, v in lines.items() if k not in known)]
+    added = headers.sparkSession.createDataFrame(new, "seq bigint, key string, value string")
+    return headers.select(F.col("seq").cast("bigint").alias("seq"), "key", "value").unionByName(added)
+
+
 def union(headers: list[DataFrame]) -> DataFrame:
     """Union of the headers of several files: declarations once for each ID (first file's), other lines once for each text."""
     all_lines = None

@@ -61,7 +61,7 @@ def test_region_is_pushed_down(spark, sites, tmp_path):
 
 def test_join_regions(spark, sites):
     r = spark.createDataFrame([(0, "c1", 0, 200000), (1, "c2", 100, 149), (2, "c9", 1, 2), (3, "c1", 121, 2**62)], "o int, chrom string, start bigint, end bigint")
-    assert sorted((x["o"], x["row_idx"]) for x in regions.join_regions(sites, r, 64).collect()) == [(0, 2), (0, 4), (1, 0)]
+    assert sorted((x["o"], x["row_idx"]) for x in regions.join_regions(sites, r, bin_size=64).collect()) == [(0, 2), (0, 4), (1, 0)]
 
 
 @pytest.mark.parametrize(

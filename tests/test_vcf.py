@@ -45,7 +45,7 @@ def test_wrong_columns_raise(spark, tmp_path):
 
 def test_render_is_read_again(data):
     lines = [r["line"] for r in vcf.render(data.variants).orderBy("row_idx").collect()]
-    assert lines[0] == 'c1\t20\trs1\tG\tA,T\t29.5\tPASS\tDB;DP=14;NOTE="a;b"\tGT\t0|1\t1/2\t./.'
+    assert lines[0] == 'c1\t20\trs1\tG\tA,T\t29.5\tPASS\tDP=14;DB;NOTE="a;b"\tGT\t0|1\t1/2\t./.'
     assert lines[1] == "c1\t30\t.\tT\t.\t.\t.\t.\tGT\t0\t0|0\t.|1"
 
 
@@ -72,12 +72,104 @@ def test_rehead(data):
         data.rehead(headers=data.headers.where("key = 'contig'"))
 
 
-def test_write(spark, data, tmp_path):
-    data.write_vcf(str(tmp_path / "v"))
-    assert spark.read.text(str(tmp_path / "v" / "records")).count() == 3
-    data.write_parquet(str(tmp_path / "p"))
-    again = Dataset.read_parquet(spark, str(tmp_path / "p"))
-    assert again.samples == data.samples and again.variants.count() == 3
+def rows_of(data):
+    return [r.asDict(recursive=True) for r in data.variants.orderBy("row_idx").collect()]
+
+
+def plain(rows):
+    """Rows without NaN, which differs from itself."""
+    return [{k: [None if x != x else x for x in v] if isinstance(v, list) else v for k, v in r.items()} for r in rows]
+
+
+WIDE = """##fileformat=VCFv4.2
+##fileDate=20010101
+##phasing=partial
+##contig=<ID=c1,length=900>
+##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">
+##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Quality">
+##FORMAT=<ID=HQ,Number=2,Type=Integer,Description="Haplotype quality">
+##FORMAT=<ID=POS,Number=.,Type=Float,Description="Named like a column">
+##FORMAT=<ID=FT,Number=1,Type=String,Description="Filter">
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\tS3
+c1\t10\t.\tA\tC,G\t29.5\tPASS\tZ=1;DP=14;DB\tGT:GQ:HQ:FT:XX\t0/1/2:48:5,6:ok:u\t1|2:.:7:.:v\t.:3:.:no:.
+c1\t12\trs\tA\t.\t.\t.\tNOTE=5" pipe;DP=1\tGT:POS\t0:0.5,1e-05\t1:.\t.:2
+c1\t12\t.\tA\tT\t3\tq10;s50\tAC=3;DP=3;DP=4\tGQ\t1\t2\t.
+"""
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("wide") / "a.vcf"
+    path.write_text(WIDE)
+    return Dataset.read(spark, str(path))
+
+
+def test_all_fields_by_header(wide):
+    one, two, three = rows_of(wide)
+    end = -2147483647
+    assert one["gt"] == [0, 1, 2, 1, 2, end, -1, end, end] and one["ph"] == [0, 0, 1, 0, 0, 0]
+    assert one["gq"] == [48, None, 3] and one["hq"] == [5, 6, 7, end, None, end] and one["ft"] == ["ok", None, "no"]
+    assert one["undeclared"] == {"XX": ["u", "v", "."]}
+    assert wide.variants.where("row_idx = 0").select(F.map_keys("info").alias("k")).first()["k"] == ["Z", "DP", "DB"]
+    assert two["gt"] == [0, 1, -1] and two["ph"] == [] and two["format_pos"][:3] == [0.5, pytest.approx(1e-5), None] and two["format_pos"][3] != two["format_pos"][3]
+    assert two["info"] == {"NOTE": '5" pipe', "DP": "1"}
+    assert three["gt"] is None and three["info"] == {"AC": "3", "DP": "3"} and [r["row_idx"] for r in (one, two, three)] == [0, 1, 2]
+
+
+def test_written_is_read_again(spark, wide, data, tmp_path):
+    for i, one in enumerate((wide, data)):
+        path = str(tmp_path / f"v{i}")
+        one.write_vcf(path, records_per_file=2)
+        again = Dataset.read(spark, path)
+        if one is data:  # its GQ and HQ aren't declared in the header
+            again = Dataset.read_vcf(spark, path, {"GQ": "int", "HQ": "int"})
+        assert plain(rows_of(again)) == plain(rows_of(one)) and again.samples == one.samples and again.phasing == one.phasing
+        assert [r["row_idx"] for r in again.slice(1, 3).variants.orderBy("row_idx").collect()] == [1, 2]
+    dates = {r["key"]: r["value"] for r in Dataset.read_vcf(spark, str(tmp_path / "v0")).head().collect()}
+    assert dates["fileDate"] > "20010101"
+    wide.subset({"S3", "S1", "nobody"}).sites_only().write_vcf(str(tmp_path / "sites"))
+    assert Dataset.read_vcf(spark, str(tmp_path / "sites")).samples == ()
+
+
+def test_parquet_keeps_the_end(spark, wide, tmp_path):
+    wide.write_parquet(str(tmp_path / "p"))
+    again = Dataset.read(spark, str(tmp_path / "p"))
+    assert again.samples == wide.samples and again.region("c1:11-11", how="any").variants.count() == 0
+    assert {r["end_pos"] for r in again.variants.collect()} == {10, 12}
+
+
+def test_wide_subset(wide):
+    got = rows_of(wide.subset({"S3", "S1", "FAKE"}))
+    assert got[0]["gt"] == [0, 1, 2, -1, -2147483647, -2147483647] and got[0]["hq"] == [5, 6, None, -2147483647] and got[0]["undeclared"] == {"XX": ["u", "."]}
+    assert got[1]["gt"] == [0, -1] and len(got) == 3
+
+
+def test_files_with_other_samples_raise(spark, tmp_path):
+    (tmp_path / "1.vcf").write_text(WIDE)
+    (tmp_path / "2.vcf").write_text(WIDE.replace("S1\tS2", "S2\tS1"))
+    with pytest.raises(ValueError, match="different samples"):
+        Dataset.read_vcf(spark, str(tmp_path / "*.vcf"))
+    (tmp_path / "2.vcf").write_text(WIDE)
+    both = Dataset.read_vcf(spark, str(tmp_path / "*.vcf"))
+    assert sorted(r["row_idx"] for r in both.variants.collect()) == list(range(6)) and both.headers.count() == 10
+
+
+def test_regions_file(spark, wide, tmp_path):
+    (tmp_path / "r.tsv").write_text("c1\t11\t12\nc1\t12\t400\nc9\t1\t5\n")
+    counted = {how: wide.regions_file(str(tmp_path / "r.tsv"), how).variants.count() for how in ("beg", "any", "all", "end")}
+    assert counted == {"beg": 4, "any": 4, "all": 4, "end": 4}
+
+
+def test_sniffing(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.vcf.gz").write_bytes(gzip.compress(WIDE.encode()))
+    (tmp_path / "b.txt").write_text("something")
+    assert Dataset.read(spark, str(tmp_path / "a.vcf.gz")).variants.count() == 3
+    for name in ("b.txt", "nothing"):
+        with pytest.raises(ValueError):
+            Dataset.read(spark, str(tmp_path / name))
 
 
 def test_header_attributes(spark):
