@@ -52,13 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, *by: str) -> DataFrame:
+def written(df: DataFrame, *by: str, codec: str = "zstd") -> DataFrame:
     """``cut`` as Parquet, which is smaller, lets later uses read single columns, and keeps plans of loops short; in folders by ``by``.
 
     It stays in the shared folder until ``clear_written``, or until the folder is cleared.
     """
     path = f"{shared_dir(df.sparkSession)}/written-{uuid4().hex}"
-    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}).partitionBy(*by).parquet(path)
+    df.write.options(**{"compression": codec, "parquet.compression.codec.zstd.level": "1"}).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.select(*[c for c in df.columns if c not in by], *by).schema).parquet(path)
 
 
