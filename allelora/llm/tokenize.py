@@ -37,9 +37,9 @@ WORDS = (
     r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+"
 )
 PAIR = 1 << 16
-#: Slots of the two literal tables (primes); a slot of the rank map holds about three entries.
+#: Slots of the two literal tables, for the rank map a prime, for words a power of two; a slot of the rank map holds about three entries.
 PAIR_SLOTS = 16_411
-WORD_SLOTS = 32_771
+WORD_SLOTS = 32_768
 #: A cell of the fold holds, from its high bits down, the rank of the pair that a token forms with the one before it, its place among the
 #: word's bytes, and its id. So cells of a word differ, and the least cell is the leftmost of the lowest rank.
 PLACE_BITS, ID_BITS = 30, 16
@@ -144,13 +144,12 @@ def word_table(words: dict[str, str]) -> Column:
 
 
 def _slot(word: str) -> int:
-    h = xxhash.xxh64_intdigest(word.encode(), seed=42)
-    return (h - (1 << 64) if h >= 1 << 63 else h) % WORD_SLOTS
+    return xxhash.xxh64_intdigest(word.encode(), seed=42) % WORD_SLOTS
 
 
 def lookup(words: Column, word: Column) -> Column:
     """Ids of ``word`` in a word table, as characters, or null."""
-    return F.get(words, F.pmod(F.xxhash64(word), F.lit(WORD_SLOTS)))[word]
+    return F.get(words, F.xxhash64(word).bitwiseAND(F.lit(WORD_SLOTS - 1)).cast("int"))[word]
 
 
 def fold_merges(word: Column, vocab: Vocab) -> Column:
@@ -281,7 +280,7 @@ def encode(
     known = word_table(_frequent(texts, vocab, sample_texts, hot_words, min_hot))
     looked = texts.select("__id", split_words(F.col("__text")).alias("__words")).select("__id", "__words", F.transform("__words", lambda w: lookup(known, w)).alias("__known"))
     rare = F.filter("__words", lambda w, i: F.get("__known", i).isNull())
-    coded = written(looked.select("__id", F.array_join("__known", "", MARK).alias("__coded"), rare.alias("__rare")))
+    coded = written(looked.select("__id", F.array_join("__known", "", MARK).alias("__coded"), rare.alias("__rare")), codec="lz4_raw")
 
     spots = coded.where(F.size("__rare") > 0).select("__id", F.posexplode("__rare").alias("at", "word"))
     chars = _literal([chr(i) for i in range(max(vocab.ids.values()) + 1)], "array<string>")
