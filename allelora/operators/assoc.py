@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelora.functions.arrays import EOV
+from allelora.functions.arrays import EOV, stride_reduce
 from allelora.functions.batches import dosage_blocks
 from allelora.functions.tdist import two_sided
 
@@ -97,14 +97,23 @@ def site_moments(df: DataFrame, y: dict[int, float], n_samples: int, keep: tuple
 
 
 def sparse_moments(s: Column, y: dict[int, float]) -> Column:
-    """``moments`` from a sparse dosage vector without missing elements: only non-zeros are touched."""
+    """``moments`` from a sparse dosage vector: only its stored elements are touched. Missing elements (null) are stored; their samples
+    are taken off the sums over all responses."""
     top = max(y, default=-1) + 1
     response = F.array(*(F.lit(float(y[i])) if i in y else F.lit(None).cast("double") for i in range(top)))
-    total, squares, n = float(sum(y.values())), float(sum(v * v for v in y.values())), float(len(y))
     pairs = F.filter(F.transform(s["offsets"], lambda o, i: F.struct(F.get(s["values"], i).cast("double").alias("x"), F.get(response, o).alias("y"))), lambda p: p["y"].isNotNull())
-    zero = F.lit(0.0)
-    fold = F.aggregate(pairs, F.struct(zero.alias("sx"), zero.alias("sxx"), zero.alias("sxy")), lambda a, p: F.struct((a["sx"] + p["x"]).alias("sx"), (a["sxx"] + p["x"] * p["x"]).alias("sxx"), (a["sxy"] + p["x"] * p["y"]).alias("sxy")))
-    return F.when(s.isNotNull(), F.struct(F.lit(n).alias("n"), fold["sx"].alias("sx"), F.lit(total).alias("sy"), fold["sxx"].alias("sxx"), fold["sxy"].alias("sxy"), F.lit(squares).alias("syy")))
+    zero = {k: F.lit(0.0) for k in ("n", "sx", "sxx", "sxy")}
+    start = {**zero, "n": F.lit(float(len(y))), "sy": F.lit(float(sum(y.values()))), "syy": F.lit(float(sum(v * v for v in y.values())))}
+    names = ("n", "sx", "sy", "sxx", "sxy", "syy")
+
+    def step(a: Column, p: Column) -> Column:
+        x, r = p["x"], p["y"]
+        gone = lambda v: F.when(x.isNull(), v).otherwise(0.0)
+        here = lambda v: F.coalesce(v, F.lit(0.0))
+        terms = {"n": -gone(F.lit(1.0)), "sx": here(x), "sy": -gone(r), "sxx": here(x * x), "sxy": here(x * r), "syy": -gone(r * r)}
+        return F.struct(*((a[k] + terms[k]).alias(k) for k in names))
+
+    return F.when(s.isNotNull(), F.aggregate(pairs, F.struct(*(start[k].alias(k) for k in names)), step))
 
 
 def regression(df: DataFrame, m: str = "m") -> DataFrame:
@@ -145,30 +154,75 @@ def associate(df: DataFrame, y: dict[int, float], n_samples: int, min_mac: float
 
 
 def regress_many(df: DataFrame, y: dict[int, float], covariates: dict[int, list[float]], n_samples: int) -> DataFrame:
-    """Least squares of y on intercept, covariates and dosage, per site: (row_idx, beta, se, t), by normal equations of a batch of sites at once.
+    """Least squares of y on intercept, covariates and dosage, per site: (row_idx, beta, se, t).
+
+    The normal equations of all sites of an Arrow batch are made by matrix products and solved together. Sites with a missing dosage
+    use the samples that have one. Sites that are singular or have no more samples than coefficients, and sites without a vector, give nulls.
+    """
+    used = sorted(i for i in set(y) & set(covariates) if i < n_samples)
+    response = np.array([y[i] for i in used], float)
+    base = np.column_stack([np.ones(len(used)), np.array([covariates[i] for i in used], float).reshape(len(used), -1)])
+    k = base.shape[1] + 1
+    products = (base[:, :, None] * base[:, None, :]).reshape(len(used), -1)
+
+    def solved(x: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(x)
+        x = np.where(known, x, 0)
+        gram = np.empty((len(x), k, k))
+        gram[:, :-1, :-1] = (known @ products).reshape(len(x), k - 1, k - 1)
+        gram[:, -1, :-1] = gram[:, :-1, -1] = x @ base
+        gram[:, -1, -1] = (x * x).sum(axis=1)
+        right = np.column_stack([known @ (base * response[:, None]), x @ response])
+        out = np.full((len(x), 3), np.nan)
+        n = known.sum(axis=1)
+        good = (n > k) & (np.linalg.matrix_rank(gram) == k)
+        if good.any():
+            inverse = np.linalg.inv(gram[good])
+            b = np.einsum("rij,rj->ri", inverse, right[good])
+            rest = known[good] @ (response * response) - (b * right[good]).sum(axis=1)
+            se = np.sqrt(np.maximum(rest, 0) / (n[good] - k) * inverse[:, -1, -1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[good] = np.column_stack([b[:, -1], se, np.where(se > 0, b[:, -1] / se, np.nan)])
+        return out
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full((batch.num_rows, 3), np.nan)
+            for rows, ds in dosage_blocks(batch.column(1), n_samples):
+                out[rows] = solved(ds[:, used])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, from_pandas=True) for c in out.T)], names=["row_idx", "beta", "se", "t"])
+
+    return df.select("row_idx", "gt").mapInArrow(solve, "row_idx bigint, beta double, se double, t double")
+
+
+def associate_sites(df: DataFrame, y: dict[int, float], covariates: dict[int, list[float]] | None = None, field: str | None = None, n_samples: int = 0, min_mac: float = 1.0, logit: bool = False) -> DataFrame:
+    """(row_idx, chrom, pos, maf, mac, beta, se, t, pval) per site, as a whole association run does it.
 
-    Sites with a missing dosage use the samples that have one. Singular sites give nulls.
+    The response is what ``covariates`` leave of y, by least squares or, with ``logit``, by a logistic regression; they aren't projected out of the
+    dosages. Dosages come from ``field``: ds, hds or gt, by default the first of these that is a column of ``df``; null or NaN elements are missing.
+    Allele counts are those of the site's AC and AN, else of its AF over all samples, else of the samples that take part. Sites without any dosage are left out.
     """
-    used = sorted(set(y) & set(covariates))
-    response, base = np.array([y[i] for i in used]), np.column_stack([np.ones(len(used)), np.array([covariates[i] for i in used])])
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row, ds in zip(pdf["row_idx"], pdf["ds"]):
-                x = np.array([np.nan if ds is None or ds[i] is None else ds[i] for i in used], float)
-                ok = ~np.isnan(x)
-                full = np.column_stack([base[ok], x[ok]])
-                n, k = full.shape
-                gram = full.T @ full
-                if n <= k or np.linalg.matrix_rank(gram) < k:
-                    out.append((row, None, None, None))
-                    continue
-                inverse = np.linalg.inv(gram)
-                b = inverse @ (full.T @ response[ok])
-                rest = response[ok] - full @ b
-                se = float(np.sqrt(rest @ rest / (n - k) * inverse[-1, -1]))
-                out.append((row, float(b[-1]), se, float(b[-1] / se) if se else None))
-            yield pd.DataFrame(out, columns=["row_idx", "beta", "se", "t"])
-
-    return df.select("row_idx", dosages(n_samples).alias("ds")).mapInPandas(solve, "row_idx bigint, beta double, se double, t double")
+    used = sorted(i for i in y if (not covariates or i in covariates) and i < n_samples)
+    if covariates:
+        left = (residuals_logit if logit else residuals)(np.array([y[i] for i in used]), np.array([covariates[i] for i in used], float))
+        y = dict(zip(used, left.tolist()))
+    columns = {c.lower() for c in df.columns}
+    field = field or next((f for f in ("ds", "hds", "gt") if f in columns), None)
+    if field not in ("ds", "hds", "gt") or field not in columns:
+        raise ValueError("there is no column ds, hds or gt")
+    keep = ("row_idx", "chrom", "pos", "info")
+    if field == "gt":
+        rows = site_moments(df, {i: y[i] for i in used}, n_samples, keep)
+    else:
+        number = lambda x: F.when(~F.isnan(x), x.cast("double"))
+        per_sample = F.transform("ds", number) if field == "ds" else stride_reduce(F.transform("hds", number), 2, F.lit(0.0), lambda a, x: a + x)
+        rows = df.select(*keep, F.coalesce(moments(per_sample, {i: y[i] for i in used}), moments(F.array().cast("array<double>"), {})).alias("m"))
+    number = lambda key: F.split(F.col("info")[key], ",")[0].try_cast("double")
+    known = number("AC").isNotNull() & number("AN").isNotNull()
+    an = F.when(known, number("AN")).when(number("AF").isNotNull(), F.lit(2.0 * n_samples)).otherwise(F.col("m.n") * 2)
+    ac = F.when(known, number("AC")).when(number("AF").isNotNull(), number("AF") * 2.0 * n_samples).otherwise(F.col("m.sx"))
+    counted = rows.withColumn("__ac", ac).withColumn("__an", an)
+    af = F.try_divide(F.col("__ac"), F.col("__an"))
+    mac = F.when(F.col("__ac") > F.floor(F.col("__an") / 2), F.col("__an") - F.col("__ac")).otherwise(F.col("__ac"))
+    sites = counted.withColumn("mac", mac).withColumn("maf", F.when(af > 0.5, 1 - af).otherwise(af)).where((F.col("mac") >= min_mac) & (F.col("m.n") > 0))
+    return with_p(regression(sites)).select("row_idx", "chrom", "pos", "maf", "mac", "beta", "se", "t", "pval")

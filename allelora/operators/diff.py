@@ -99,9 +99,11 @@ def _by_levels(rows: DataFrame, fields: list[str]) -> DataFrame:
         for kept in combinations(fields, size):
             group = F.xxhash64("k", *(F.col(f"row.{f}") for f in kept), *(F.col(f"row.{f}").isNull() for f in kept))
             laid = running(state.withColumn("g", group), "g", ["hash"], ("n_a", "n_b")).withColumnsRenamed({"before_n_a": "from_a", "before_n_b": "from_b"})
-            x = laid.where("n_a > 0").select("g", "k", F.col("hash").alias("ha"), "from_a", (F.col("from_a") + F.col("n_a")).alias("to_a"))
-            y = laid.where("n_b > 0").select(F.col("g").alias("h"), F.col("hash").alias("hb"), "from_b", (F.col("from_b") + F.col("n_b")).alias("to_b"))
-            met = x.join(y, (F.col("g") == F.col("h")) & (F.col("from_a") < F.col("to_b")) & (F.col("from_b") < F.col("to_a")))
+            same = F.struct("k", *(F.col(f"row.{f}").alias(f) for f in kept))
+            x = laid.where("n_a > 0").select("g", "k", F.col("hash").alias("ha"), same.alias("same"), "from_a", (F.col("from_a") + F.col("n_a")).alias("to_a"))
+            y = laid.where("n_b > 0").select(F.col("g").alias("h"), F.col("hash").alias("hb"), same.alias("also"), "from_b", (F.col("from_b") + F.col("n_b")).alias("to_b"))
+            # Groups are hashes: rows of two groups that share one aren't paired, and stay over for the next level.
+            met = x.join(y, (F.col("g") == F.col("h")) & F.col("same").eqNullSafe(F.col("also")) & (F.col("from_a") < F.col("to_b")) & (F.col("from_b") < F.col("to_a")))
             pairs = _kept(met.select("k", "ha", "hb", (F.least("to_a", "to_b") - F.greatest("from_a", "from_b")).alias("copies")))
             used_a = pairs.groupBy("k", F.col("ha").alias("hash")).agg(F.sum("copies").alias("ua"))
             used_b = pairs.groupBy("k", F.col("hb").alias("hash")).agg(F.sum("copies").alias("ub"))

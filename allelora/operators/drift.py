@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from allelora.operators.skew import join_shared
+from allelora.session import written
 from allelora.sources.headers import declarations
 
 #: Target types and the texts that can be cast to them, one element each; "." is missing.
@@ -40,18 +42,18 @@ def changes(headers: DataFrame, files: DataFrame) -> DataFrame:
     A new ID that has the description of a gone ID of its section is a renaming. IDs without a
     description, or with one that has no letter or digit, are never renamings.
     """
-    decl = declarations(headers).withColumn("same", same_text(F.col("description")))
-    pairs = predecessors(files)
+    decl = written(declarations(headers).withColumn("same", same_text(F.col("description"))).drop("description"))
+    pairs = written(predecessors(files))
     now = decl.join(pairs.select("file_id"), "file_id").select("file_id", "section", "id", F.struct("type", "number", "same").alias("now"))
     before = decl.withColumnRenamed("file_id", "before").join(pairs, "before").select(
         "file_id", "section", "id", F.struct("type", "number", "same").alias("was")
     )
-    both = now.join(before, ["file_id", "section", "id"], "full")
+    both = written(now.join(before, ["file_id", "section", "id"], "full"))
     gone = both.where("now IS NULL").select("file_id", "section", F.col("id").alias("old"), F.col("was.same").alias("same"), "was")
     new = both.where("was IS NULL").select("file_id", "section", "id", F.col("now.same").alias("same"), "now")
     differs = lambda a, b: ~(F.col(f"{a}.type").eqNullSafe(F.col(f"{b}.type")) & F.col(f"{a}.number").eqNullSafe(F.col(f"{b}.number")))
     on = ["file_id", "section", "same"]
-    renamed = new.where("same != ''").join(gone.where("same != ''"), on).withColumn("differs", differs("now", "was"))
+    renamed = written(new.where("same != ''").join(gone.where("same != ''"), on).select("file_id", "section", "id", "old", differs("now", "was").alias("differs")))
     key = lambda df, field, change: df.select("file_id", "section", F.col(field).alias("field"), F.lit(change).alias("change"))
     parts = [
         key(both.where("now IS NOT NULL AND was IS NOT NULL").where(differs("now", "was")), "id", "type_changed"),
@@ -66,9 +68,12 @@ def changes(headers: DataFrame, files: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def undeclared(variants: DataFrame, headers: DataFrame) -> DataFrame:
-    """Info keys of a file's rows that its header doesn't declare, in the form of ``changes``."""
-    keys = variants.select("file_id", F.explode(F.map_keys("info")).alias("field")).distinct()
+def undeclared(ingested: DataFrame, headers: DataFrame, rescue: str = "rescued") -> DataFrame:
+    """Keys of the rescue column that a row's file doesn't declare, in the form of ``changes``.
+
+    ``ingested`` is the result of ``ingest`` with ``declared_only``, so every undeclared key of a row has been rescued.
+    """
+    keys = ingested.where(F.col(rescue).isNotNull()).select("file_id", F.explode(F.json_object_keys(rescue)).alias("field")).distinct()
     known = declarations(headers, ("INFO",)).select("file_id", F.col("id").alias("field"))
     return keys.join(known, ["file_id", "field"], "left_anti").select("file_id", F.lit("INFO").alias("section"), "field", F.lit("undeclared").alias("change"))
 
@@ -99,28 +104,26 @@ def _cast(value: Column, kind: str) -> Column:
     return F.transform(F.split(value, ","), one) if kind.startswith("array<") else one(value)
 
 
-def ingest(variants: DataFrame, names: DataFrame, target: dict[str, str], rescue: str = "rescued") -> DataFrame:
+def ingest(variants: DataFrame, names: DataFrame, target: dict[str, str], rescue: str = "rescued", declared_only: bool = False) -> DataFrame:
     """``variants`` with one typed column per target field in place of ``info``, and the rescue column.
 
     ``target`` maps consistent field names to bigint, double, string, boolean (a flag) or arrays of these. What is
     unknown or doesn't fit goes to ``rescue``, a JSON object of the names and texts as the file has them (null if
     there is nothing). If two names of a row stand for one field, the smaller name that fits is taken and the
-    other rescued. A null info gives nulls. Target names must not clash with other columns of ``variants``.
+    other rescued. With ``declared_only`` fields that the row's file doesn't declare are unknown, whatever their name. A null info gives nulls. Target names must not clash with other columns of ``variants``.
     """
     clash = {c.lower() for c in variants.columns if c != "info"} & ({t.lower() for t in target} | {rescue.lower()})
     if clash:
         raise ValueError(f"columns clash with the target schema: {sorted(clash)}")
     rest = [c for c in variants.columns if c != "info"]
-    joined = variants.join(names.withColumnRenamed("names", "__names"), "file_id", "left")
-    entries = F.transform(
-        F.array_sort(F.map_entries("info")),
-        lambda e: F.struct(e["key"].alias("old"), F.coalesce(F.col("__names")[e["key"]], e["key"]).alias("new"), F.coalesce(e["value"], F.lit(".")).alias("value")),
-    )
+    joined = join_shared(variants, names.withColumnRenamed("names", "__names"), "file_id", "__names")
+    named = lambda key: F.col("__names")[key] if declared_only else F.coalesce(F.col("__names")[key], key)
+    entries = F.transform(F.array_sort(F.map_entries("info")), lambda e: F.struct(e["key"].alias("old"), named(e["key"]).alias("new"), F.coalesce(e["value"], F.lit(".")).alias("value")))
 
     def ok(x: Column) -> Column:
         known = F.lit(False)
         for kind in dict.fromkeys(target.values()):
-            known = F.when(x["new"].isin(*[t for t, k in target.items() if k == kind]), _fits(x["value"], kind)).otherwise(known)
+            known = F.when(F.coalesce(x["new"], F.lit("")).isin(*[t for t, k in target.items() if k == kind]), _fits(x["value"], kind)).otherwise(known)
         return known
 
     marked = joined.withColumn("__all", F.transform(entries, lambda x: F.struct(x.alias("e"), ok(x).alias("ok"))))
@@ -139,7 +142,7 @@ def replay(table: DataFrame, names: DataFrame, field: str, kind: str, rescue: st
     ``field`` is a consistent name; the values are found under all names that files give it.
     """
     rest = [c for c in table.columns if c != rescue]
-    joined = table.join(names.withColumnRenamed("names", "__names"), "file_id", "left")
+    joined = join_shared(table, names.withColumnRenamed("names", "__names"), "file_id", "__names")
     saved = joined.withColumn("__saved", F.from_json(rescue, "map<string,string>"))
     mine = lambda k, v: (F.coalesce(F.col("__names")[k], k) == field) & _fits(v, kind)
     first = F.array_min(F.map_keys(F.map_filter("__saved", mine)))

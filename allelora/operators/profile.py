@@ -2,7 +2,7 @@
 
 A value's mask has 9 for a run of digits, ``e`` for each letter e of either case, ``a`` for a run of other letters,
 a blank for a run of white space, and every other character as it is. Few masks cover a column, so masks can be
-counted over all rows with map-side combining; types are sets of masks; rare masks are violations; and the
+counted over all rows with map-side combining; types are sets of masks; masks outside a column's dominant ones are violations; and the
 difference between two loads is the distance of their mask distributions.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelora.functions.text import g6
+from allelora.operators.skew import join_shared, running
 from allelora.sources.headers import declarations
 
 EOV = -2147483647
@@ -45,7 +46,7 @@ def checked(variants: DataFrame, headers: DataFrame, slots: int) -> DataFrame:
 
     (row_idx, load_id, qual, bad_qual, n_info, bad_info, bad_gt, n_slots, n_missing, n_called, called). Null qual, info and gt
     are not bad; n_info is null for a null info, the gt numbers for a null or bad gt. ``slots`` is the length
-    that a gt vector must have. Vectors are reduced before the join with the files' types, so they aren't shuffled.
+    that a gt vector must have. Rows get their file's types without a shuffle while there are few different headers (``join_shared``), and vectors are reduced before.
     """
     q, n_alt = F.col("qual"), F.coalesce(F.size("alts"), F.lit(0))
     bad_qual = F.isnan(q) | (F.abs(q) == float("inf")) | (q < 0) | (q > 10000)
@@ -61,7 +62,7 @@ def checked(variants: DataFrame, headers: DataFrame, slots: int) -> DataFrame:
         size(lambda x: x != EOV).alias("n_slots"), size(lambda x: x == -1).alias("n_missing"), size(lambda x: x >= 0).alias("n_called"),
         F.aggregate(F.filter(good, lambda x: x >= 0), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("called"),
     )
-    typed = narrow.join(info_types(headers), "file_id", "left")
+    typed = join_shared(narrow, info_types(headers), "file_id", "types")
 
     def bad_entry(key: Column, value: Column) -> Column:
         kind = F.col("types")[key]
@@ -103,7 +104,7 @@ def drifted_loads(profile: DataFrame, baseline: DataFrame, null_rate: float = 0.
     """(scope = load, ref_id, field) of loads that differ from the baseline by more than the two limits."""
     base = baseline.select("field", F.col("null_rate").alias("n"), F.col("mean_value").alias("m"))
     off = (F.abs(F.col("null_rate") - F.col("n")) > null_rate) | (F.abs(F.col("mean_value") - F.col("m")) > mean * F.abs("m"))
-    return profile.join(F.broadcast(base), "field").where(off).select(F.lit("load").alias("scope"), F.col("load_id").alias("ref_id"), "field")
+    return profile.join(base, "field").where(off).select(F.lit("load").alias("scope"), F.col("load_id").alias("ref_id"), "field")
 
 
 def text_form(value: Column, kind: str) -> Column:
@@ -111,51 +112,52 @@ def text_form(value: Column, kind: str) -> Column:
     return g6(value) if kind in ("float", "double") else value.cast("string")
 
 
-def as_text(df: DataFrame) -> DataFrame:
-    """(column, value) of all values of all columns as text: maps by key, arrays by element; null columns as null values."""
-    pair = lambda name, value: F.struct(name.alias("column"), value.alias("value"))
-
-    def part(name: str, kind: str) -> Column:
-        c = F.col(f"`{name}`")
-        if kind.startswith("map"):
-            return F.transform(F.map_entries(c), lambda e: pair(F.concat(F.lit(f"{name}."), e["key"].cast("string")), e["value"].cast("string")))
-        if kind.startswith("array"):
-            return F.transform(c, lambda x: pair(F.lit(name), text_form(x, kind[6:-1])))
-        return F.array(pair(F.lit(name), text_form(c, kind)))
-
-    empty = F.array().cast("array<struct<column:string,value:string>>")
-    return df.select(F.inline(F.concat(*(F.coalesce(part(n, k), empty) for n, k in df.dtypes))))
+def _masks(name: str, kind: str) -> Column:
+    """The masks of a column's value as structs (column, mask, n): a map's values by key, an array's elements together."""
+    c = F.col(f"`{name}`")
+    entry = lambda column, mask, n=1: F.struct(column.alias("column"), mask.alias("mask"), F.lit(n).cast("bigint").alias("n") if isinstance(n, int) else n.cast("bigint").alias("n"))
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if kind in whole:
+        return F.array(entry(F.lit(name), F.when(c < 0, "-9").when(c >= 0, "9")))
+    if kind.startswith("array<") and kind[6:-1] in whole:
+        # Integers have two masks: elements are counted in the row, not laid out.
+        count = lambda cond: F.size(F.filter(c, cond))
+        return F.when(c.isNotNull(), F.array(entry(F.lit(name), F.lit("-9"), count(lambda x: x < 0)), entry(F.lit(name), F.lit("9"), count(lambda x: x >= 0))))
+    if kind.startswith("map"):
+        return F.transform(F.map_entries(c), lambda e: entry(F.concat(F.lit(f"{name}."), e["key"].cast("string")), mask(e["value"].cast("string"))))
+    if kind.startswith("array"):
+        return F.transform(c, lambda x: entry(F.lit(name), mask(text_form(x, kind[6:-1]))))
+    return F.array(entry(F.lit(name), mask(text_form(c, kind))))
 
 
 def mask_counts(df: DataFrame, by: str | None = None) -> DataFrame:
-    """(column, mask, n), or also by the values of the column ``by``: how often each mask occurs, nulls left out."""
-    if by is None:
-        return as_text(df).where("value IS NOT NULL").groupBy("column", mask(F.col("value")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
-    values = df.select(F.col(by).alias("__by"), *[c for c in df.columns if c != by])
-    parts = None
-    for name, kind in [x for x in values.dtypes if x[0] != "__by"]:
-        c = F.col(f"`{name}`")
-        if kind.startswith("map"):
-            one = values.select("__by", F.explode(c).alias("k", "value")).select("__by", F.concat(F.lit(f"{name}."), "k").alias("column"), "value")
-        elif kind.startswith("array"):
-            one = values.select("__by", F.lit(name).alias("column"), F.explode(c).alias("value")).withColumn("value", text_form(F.col("value"), kind[6:-1]))
-        else:
-            one = values.select("__by", F.lit(name).alias("column"), text_form(c, kind).alias("value"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.where("value IS NOT NULL").groupBy(F.col("__by").alias(by), "column", mask(F.col("value")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+    """(column, mask, n), or also by the values of the column ``by``: how often each mask occurs, nulls left out.
+
+    Maps count by key, as ``name.key``, arrays by element. One pass over the table; masks are counted before the shuffle.
+    """
+    empty = F.array().cast("array<struct<column:string,mask:string,n:bigint>>")
+    parts = [F.coalesce(_masks(n, k), empty) for n, k in df.dtypes if n != by]
+    keys = [] if by is None else [F.col("__by").alias(by)]
+    rows = df.select(*([] if by is None else [F.col(by).alias("__by")]), F.inline(F.concat(*parts)))
+    return rows.where("mask IS NOT NULL AND n > 0").groupBy(*keys, "column", "mask").agg(F.sum("n").alias("n"))
 
 
-def rare_masks(df: DataFrame, share: float = 0.001, min_rows: int = 1000) -> DataFrame:
-    """(column, mask, n, total) of masks below ``share`` of their column, in columns of at least ``min_rows`` values."""
+def _mined(df: DataFrame, coverage: float) -> DataFrame:
+    """(column, mask, n, total, before): ``before`` is the number of values with more frequent masks, or as frequent and smaller ones."""
     counts = mask_counts(df)
     total = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    return counts.join(total, "column").where((F.col("total") >= min_rows) & (F.col("n") < share * F.col("total")))
+    placed = running(counts.withColumn("__down", -F.col("n")), "column", ["__down", "mask"], ("n",))
+    return placed.join(total, "column").select("column", "mask", "n", "total", (F.col("before_n") < coverage * F.col("total")).alias("dominant"))
+
+
+def dominant_masks(df: DataFrame, coverage: float = 0.95) -> DataFrame:
+    """(column, mask, n, total): the dominant masks of each column, its most frequent ones until they cover ``coverage`` of its values."""
+    return _mined(df, coverage).where("dominant").drop("dominant")
 
 
-def dominant_masks(df: DataFrame) -> DataFrame:
-    """(column, mask, n): the most frequent mask of each column, the smallest of those equally frequent."""
-    best = F.min(F.struct((-F.col("n")).alias("n"), "mask")).alias("b")
-    return mask_counts(df).groupBy("column").agg(best).select("column", F.col("b.mask").alias("mask"), (-F.col("b.n")).alias("n"))
+def rare_masks(df: DataFrame, coverage: float = 0.95) -> DataFrame:
+    """(column, mask, n, total): the pattern violations of each column, of any size: all masks that aren't among its dominant ones."""
+    return _mined(df, coverage).where("NOT dominant").drop("dominant")
 
 
 def mask_divergence(df: DataFrame, by: str) -> DataFrame:

@@ -95,7 +95,7 @@ def join_regions(df: DataFrame, regions: DataFrame, how: str = "beg", last: Colu
     ``bin_size`` is laid out in its bins, for ``any`` a site too, and the exact condition follows. Regions with an open end are cut at the
     contig's last position. Null contigs and positions meet nothing.
     """
-    last = end_pos() if last is None else last
+    last = (F.col("pos").cast("bigint") if how == "beg" else end_pos()) if last is None else last
     bin_of = lambda c: F.floor(c / bin_size)
     sites = df.withColumn("__last", last)
     span = sites.groupBy("chrom").agg(F.max(F.greatest(F.col("pos").cast("bigint"), F.col("__last"))).alias("__top"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelora.session import cut
+from allelora.session import cut, written
 
 
 def range_partitioned(df: DataFrame, key: str, order: list[str], partitions: int | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
@@ -112,3 +112,22 @@ def join_back(rows: DataFrame, per_key: DataFrame, key: str, count: str, heavy:
     )
     both = one.join(cold, "__cold", "left").withColumn("__v", F.coalesce("__h", "__c"))
     return both.select(*rows.columns, *(F.col("__v")[c].alias(c) for c in rest))
+
+
+def join_shared(rows: DataFrame, per_key: DataFrame, key: str, value: str, max_keys: int = 200_000, max_values: int = 1_000) -> DataFrame:
+    """Left join of ``rows`` with ``per_key`` (one row per non-null ``key``), where many keys have the same ``value``, a map.
+
+    Up to ``max_keys`` keys and ``max_values`` different maps, counted first, both are broadcast, a key with its map's hash and each map once, so ``rows``
+    aren't shuffled; beyond that they are joined by ``join_back``. The result is the same.
+    """
+    text = F.to_json(F.array_sort(F.map_entries(value)))
+    known = written(per_key.select(F.col(key).alias("__key"), F.col(value).alias("__value"), F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(7), text).alias("y")).alias("__hash")))
+    keys, values = known.agg(F.count(F.lit(1)), F.count_distinct("__hash")).first()
+    if keys <= max_keys and values <= max_values:
+        maps = known.groupBy("__hash").agg(F.first("__value").alias(value))
+        hashes = known.select("__key", F.col("__hash").alias("__of"))
+        named = rows.join(F.broadcast(hashes), F.col(key) == F.col("__key"), "left")
+        return named.join(F.broadcast(maps), F.col("__of") == F.col("__hash"), "left").select(*rows.columns, value)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    counted = counts.join(known.select(F.col("__key").alias(key), F.col("__value").alias(value)), key)
+    return join_back(rows, counted, key, "__n").drop("__n")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from allelora.functions.arrays import allele_counts, to_sparse
 from allelora.functions.batches import dosage_blocks
+from allelora.functions.text import g6
 from allelora.operators.regions import end_pos
 
 #: Effects that change the protein, and those that don't (fixed values: labels of the annotation format, in natural order).
@@ -48,9 +49,9 @@ def update_info(df: DataFrame, generate: tuple[str, ...] = (), mode: str = "comp
     text = {
         "AC": F.array_join(F.transform("ac", lambda c: c.cast("string")), ","),
         "AN": F.col("an").cast("string"),
-        "AF": F.array_join(F.transform("af", lambda c: c.cast("float").cast("string")), ","),
+        "AF": F.array_join(F.transform("af", lambda c: g6(c.cast("float"))), ","),
         "MAC": F.col("mac").cast("string"),
-        "MAF": F.col("maf").cast("float").cast("string"),
+        "MAF": g6(F.col("maf").cast("float")),
     }
     info = F.col("info")
     old = F.coalesce(info, F.create_map().cast("map<string,string>"))

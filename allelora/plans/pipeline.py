@@ -17,7 +17,9 @@ SLOTS_PER_SAMPLE = 2
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     headers = table(spark, d, "headers")
     found = drift.changes(headers, table(spark, d, "callset_files"))
-    return found.unionByName(drift.undeclared(table(spark, d, "variants"), headers))
+    rows = table(spark, d, "variants").select("file_id", "info")
+    ingested = drift.ingest(rows, drift.consistent_names(headers), TARGET, declared_only=True)
+    return found.unionByName(drift.undeclared(ingested, headers))
 
 
 def p1_sites(spark: SparkSession, d: str) -> DataFrame:
@@ -71,19 +73,19 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_masks(spark: SparkSession, d: str) -> DataFrame:
-    return profile.mask_counts(table(spark, d, "variants").select("chrom", "id", "ref", "qual", "info", "gt"))
+    return profile.mask_counts(table(spark, d, "variants"))
 
 
 def p3_rare(spark: SparkSession, d: str) -> DataFrame:
-    return profile.rare_masks(table(spark, d, "variants").select("chrom", "id", "ref", "qual", "info", "gt"))
+    return profile.rare_masks(table(spark, d, "variants"))
 
 
 def p3_dominant(spark: SparkSession, d: str) -> DataFrame:
-    return profile.dominant_masks(table(spark, d, "variants").select("chrom", "id", "ref", "qual", "info", "gt"))
+    return profile.dominant_masks(table(spark, d, "variants"))
 
 
 def p3_divergence(spark: SparkSession, d: str) -> DataFrame:
-    return profile.mask_divergence(table(spark, d, "variants").select("load_id", "qual", "info", "gt"), "load_id")
+    return profile.mask_divergence(table(spark, d, "variants"), "load_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +95,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_sites(spark: SparkSession, d: str) -> DataFrame:
     valid, _ = badrows.split(badrows.vcf_rows(table(spark, d, "vcf_lines")), badrows.vcf_rules())
-    return badrows.vcf_sites(valid).drop("qual", "info", "filters")
+    return badrows.vcf_sites(valid)
 
 
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -112,11 +114,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where(~F.col("field").isin("extra_in_a", "extra_in_b")).select("site_id", "field")
 
 
+def p5_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """The panels' different rows under a coarser key of two sites each: pairs, and differing fields, of the pairing of least cost."""
+    side = lambda name: table(spark, d, name).select(F.floor(F.col("site_id") / 2).alias("k"), *PANEL_FIELDS).distinct()
+    pairs = diff.paired(side("panel_a"), side("panel_b"), "k", PANEL_FIELDS).where("a IS NOT NULL AND b IS NOT NULL")
+    cost = F.size(F.filter(F.array(*(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in PANEL_FIELDS)), lambda x: x))
+    return pairs.groupBy("k").agg(F.sum("copies").alias("pairs"), F.sum(F.col("copies") * cost).alias("cost"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_sites, p1_promoted, p2_found, p2_contigs, p2_ranks, p3_found, p3_loads, p3_profile, p3_masks, p3_rare, p3_dominant,
-        p3_divergence, p4_found, p4_sites, p4_reasons, p5_found, p5_differences,
+        p3_divergence, p4_found, p4_sites, p4_reasons, p5_found, p5_differences, p5_assigned,
     )
 }
 
@@ -156,15 +166,20 @@ prof AS (
 loads AS (SELECT load_id, 'qual' AS field, qn AS null_rate, qm AS mean_value FROM prof UNION ALL SELECT load_id, 'info', fn, fm FROM prof UNION ALL SELECT load_id, 'gt', gn, gm FROM prof)
 """
 _MASK = r"regexp_replace(translate(regexp_replace(regexp_replace(v, '[0-9]+', '9', 'g'), '[a-df-zA-DF-Z]+', 'a', 'g'), 'E', 'e'), '\s+', ' ', 'g')"
-_VALUES = """
-SELECT load_id, 'gt' AS "column", CAST(x AS VARCHAR) AS v FROM (SELECT load_id, unnest(gt) AS x FROM variants)
-UNION ALL SELECT load_id, 'info.' || k, v FROM (SELECT load_id, unnest(map_keys(info)) AS k, unnest(map_values(info)) AS v FROM variants)
-"""
+_TEXT = "CASE WHEN isnan({0}) THEN 'nan' WHEN {0} = 'inf' THEN 'inf' WHEN {0} = '-inf' THEN '-inf' ELSE printf('%.6g', CAST({0} AS DOUBLE)) END"
+_PLAIN = {c: f"CAST({c} AS VARCHAR)" for c in ("row_idx", "file_id", "load_id", "chrom", "pos", "id", "ref")} | {"qual": _TEXT.format("qual")}
+_PLAIN |= {c: f"CAST(CAST({c} AS TIMESTAMP) AS VARCHAR)" for c in ("called_at", "loaded_at")}
+_VALUES = " UNION ALL ".join(
+    [f"SELECT load_id, '{c}' AS \"column\", {text} AS v FROM variants" for c, text in _PLAIN.items()]
+    + [f"SELECT load_id, '{c}', CAST(x AS VARCHAR) FROM (SELECT load_id, unnest({c}) AS x FROM variants)" for c in ("alts", "filters", "gt", "ph", "gq", "dp")]
+    + [f"SELECT load_id, 'hds', {_TEXT.format('x')} FROM (SELECT load_id, unnest(hds) AS x FROM variants)"]
+    + ["SELECT load_id, 'info.' || k, v FROM (SELECT load_id, unnest(map_keys(info)) AS k, unnest(map_values(info)) AS v FROM variants)"]
+)
 _MASKS = f"""
-WITH v AS ({_VALUES} UNION ALL SELECT load_id, 'chrom', chrom FROM variants UNION ALL SELECT load_id, 'id', id FROM variants
-  UNION ALL SELECT load_id, 'ref', ref FROM variants UNION ALL SELECT load_id, 'qual', CASE WHEN isnan(qual) THEN 'nan' WHEN qual = 'inf' THEN 'inf' WHEN qual = '-inf' THEN '-inf' ELSE printf('%.6g', CAST(qual AS DOUBLE)) END FROM variants),
-m AS (SELECT "column", {_MASK} AS mask, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL)
+WITH v AS ({_VALUES}), m AS (SELECT "column", {_MASK} AS mask, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL)
 """
+_MINED = _MASKS + """SELECT "column", mask, n, CAST(total AS BIGINT) AS total FROM (SELECT *, sum(n) OVER (PARTITION BY "column") AS total, sum(n) OVER (PARTITION BY "column" ORDER BY n DESC, mask ROWS UNBOUNDED PRECEDING) - n AS before FROM m)
+WHERE before {0} 0.95 * total"""
 _LINES = r"""
 WITH clean AS (SELECT line_id, file_no, line_no, regexp_replace(line, '\r$', '') AS line FROM vcf_lines),
 heads AS (SELECT file_no, arg_min(len(string_split(line, chr(9))), line_no) AS width FROM clean WHERE line LIKE '#CHROM%' GROUP BY file_no),
@@ -250,21 +265,35 @@ UNION ALL SELECT 'row', row_idx, 'gt' FROM checked WHERE bad_gt UNION ALL SELECT
 WHERE abs(l.null_rate - b.null_rate) > 0.1 OR abs(l.mean_value - b.mean_value) > 0.25 * abs(b.mean_value)""",
     "p3_loads": _CHECKED + "SELECT load_id, field, round(null_rate, 6) AS null_rate, round(mean_value, 4) AS mean_value FROM loads",
     "p3_masks": _MASKS + 'SELECT "column", mask, n FROM m',
-    "p3_rare": _MASKS + 'SELECT "column", mask, n, CAST(total AS BIGINT) AS total FROM (SELECT *, sum(n) OVER (PARTITION BY "column") AS total FROM m) WHERE total >= 1000 AND n < 0.001 * total',
-    "p3_dominant": _MASKS + 'SELECT "column", mask, n FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, mask) AS r FROM m) WHERE r = 1',
+    "p3_rare": _MINED.format(">="),
+    "p3_dominant": _MINED.format("<"),
     "p3_divergence": f"""
-WITH v AS ({_VALUES} UNION ALL SELECT load_id, 'qual', CASE WHEN isnan(qual) THEN 'nan' WHEN qual = 'inf' THEN 'inf' WHEN qual = '-inf' THEN '-inf' ELSE printf('%.6g', CAST(qual AS DOUBLE)) END FROM variants),
+WITH v AS (SELECT * FROM ({_VALUES}) WHERE "column" <> 'load_id'),
 m AS (SELECT load_id, "column", {_MASK} AS mask, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL),
 s AS (SELECT load_id, "column", n / sum(n) OVER (PARTITION BY load_id, "column") AS p, sum(n) OVER (PARTITION BY "column", mask) / sum(n) OVER (PARTITION BY "column") AS q, n FROM m)
 SELECT load_id, "column", CAST(sum(n) AS BIGINT) AS n, round((sum(abs(p - q)) + 1 - sum(q)) / 2, 6) AS divergence FROM s GROUP BY load_id, "column"
 """,
     "p4_found": _LINES + "SELECT line_id, CASE WHEN e[1] THEN 'column_count' WHEN e[2] THEN 'quoting' WHEN e[3] THEN 'bad_pos' ELSE 'bad_gt' END AS reason FROM errs WHERE e[1] OR e[2] OR e[3] OR e[4]",
     "p4_sites": _LINES
-    + """SELECT line_id, file_no, f[1] AS chrom, CAST(f[2] AS INTEGER) AS pos, f[3] AS id, f[4] AS ref, CASE WHEN f[5] = '.' THEN [] ELSE string_split(f[5], ',') END AS alts,
-flatten(list_transform(f[10:], lambda c: [CASE WHEN a = '.' THEN -1 WHEN a = '' THEN -2147483647 ELSE CAST(a AS INTEGER) END FOR a IN [split_part(translate(split_part(c, ':', 1), '|', '/'), '/', 1), split_part(translate(split_part(c, ':', 1), '|', '/'), '/', 2)]])) AS gt
-FROM errs WHERE NOT (e[1] OR e[2] OR e[3] OR e[4])""",
+    + r""", parts AS (SELECT *, string_split(f[9], ':') AS format, list_filter(regexp_extract_all(f[8], '([^;"\\]|\\.|"(\\.|[^"\\])*")+'), lambda p: p <> '.') AS entries FROM errs WHERE NOT (e[1] OR e[2] OR e[3] OR e[4])),
+named AS (SELECT *, list_transform(entries, lambda p: split_part(p, '=', 1)) AS names FROM parts)
+SELECT line_id, file_no, f[1] AS chrom, CAST(f[2] AS INTEGER) AS pos, f[3] AS id, f[4] AS ref, CASE WHEN f[5] = '.' THEN [] ELSE string_split(f[5], ',') END AS alts,
+TRY_CAST(nullif(f[6], '.') AS FLOAT) AS qual, CASE WHEN f[7] = '.' THEN [] ELSE string_split(f[7], ';') END AS filters,
+map_from_entries(list_transform(list_filter(range(1, len(names) + 1), lambda i: list_position(names, names[i]) = i), lambda i: {'k': names[i], 'v': CASE WHEN contains(entries[i], '=') THEN substr(entries[i], instr(entries[i], '=') + 1) ELSE '.' END})) AS info,
+flatten(list_transform(f[10:], lambda c: [CASE WHEN a = '.' THEN -1 WHEN a = '' THEN -2147483647 ELSE CAST(a AS INTEGER) END FOR a IN [split_part(translate(split_part(c, ':', 1), '|', '/'), '/', 1), split_part(translate(split_part(c, ':', 1), '|', '/'), '/', 2)]])) AS gt,
+list_transform(f[10:], lambda c: CASE WHEN contains(split_part(c, ':', 1), '|') THEN 1 ELSE 0 END) AS ph,
+CASE WHEN list_contains(format, 'GQ') THEN list_transform(f[10:], lambda c: TRY_CAST(string_split(c, ':')[list_position(format, 'GQ')] AS INTEGER)) END AS gq,
+CASE WHEN list_contains(format, 'DP') THEN list_transform(f[10:], lambda c: TRY_CAST(string_split(c, ':')[list_position(format, 'DP')] AS INTEGER)) END AS dp
+FROM named""",
     "p4_reasons": _LINES + "SELECT reason, count(*) AS n FROM (SELECT unnest(['column_count', 'quoting', 'bad_pos', 'bad_gt']) AS reason, unnest(e) AS x FROM errs) WHERE x GROUP BY reason",
     "p5_found": _panels(PANEL_FIELDS),
+    "p5_assigned": f"""WITH a AS (SELECT DISTINCT site_id // 2 AS k, {', '.join(PANEL_FIELDS)} FROM panel_a), b AS (SELECT DISTINCT site_id // 2 AS k, {', '.join(PANEL_FIELDS)} FROM panel_b),
+x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos, ref, alts, qual, gt) AS i FROM (FROM a EXCEPT FROM b)), y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos, ref, alts, qual, gt) AS j FROM (FROM b EXCEPT FROM a)),
+c AS (SELECT x.k, i, j, {' + '.join(f'CAST(x.{f} IS DISTINCT FROM y.{f} AS INTEGER)' for f in PANEL_FIELDS)} AS cost FROM x JOIN y ON x.k = y.k),
+n AS (SELECT k, max(i) AS na, max(j) AS nb FROM c GROUP BY k),
+one AS (SELECT k, 1 AS pairs, min(cost) AS cost FROM c JOIN n USING (k) WHERE least(na, nb) = 1 GROUP BY k),
+two AS (SELECT p.k, 2 AS pairs, min(p.cost + q.cost) AS cost FROM c p JOIN c q ON p.k = q.k AND p.i < q.i AND p.j <> q.j GROUP BY p.k)
+SELECT k, CAST(pairs AS BIGINT) AS pairs, CAST(cost AS BIGINT) AS cost FROM (FROM one UNION ALL FROM two)""",
     "p5_differences": _copies(["chrom", *PANEL_FIELDS]),
     "p1_sites": _SITES
     + "SELECT row_idx, file_id, chrom, pos, "

@@ -11,7 +11,6 @@ from allelora.session import table
 from allelora.sources import headers as H
 from allelora.sources import vcf
 
-SAMPLES = 24
 REGION = regions.Region.parse("chr6:50000000-90000000")
 LIST = [regions.Region.parse(t) for t in ("chr1:1000000-30000000", "chr6:50000000-", "chr1:20000000-40000000", "chr19")]
 ADJACENT = [("chr1", 10, 20), ("chr1", 5, 12), ("chr2", 7, 9), ("chr1", 40, 50), ("chr1", 45, 47), ("chrX", 1, 2)]
@@ -21,6 +20,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def _samples(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "sample_list").count()
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -36,8 +39,18 @@ _END = f"(pos + {_LEN} - 1)"
 _IN = "chrom = 'chr6' AND"
 
 
+#: A third of the sites reach as far as an END in their info says, so that the four bounding points differ.
+_LAST = f"CASE WHEN pos % 3 = 0 THEN pos + pos % 3000000 ELSE {_END} END"
+
+
+def _reaching(spark: SparkSession, d: str) -> DataFrame:
+    rest = F.map_filter(F.coalesce("info", F.create_map().cast("map<string,string>")), lambda k, _: k != "END")
+    end = F.map_from_arrays(F.array(F.lit("END")), F.array((F.col("pos") + F.col("pos") % 3_000_000).cast("string")))
+    return table(spark, d, "variants").withColumn("info", F.when(F.col("pos") % 3 == 0, F.map_concat(rest, end)).otherwise(rest))
+
+
 def _region(spark: SparkSession, d: str, how: str) -> DataFrame:
-    return regions.in_region(table(spark, d, "variants"), REGION, how).select("row_idx", "chrom", "pos")
+    return regions.in_region(_reaching(spark, d), REGION, how, regions.end_pos(F.col("info"))).select("row_idx", "chrom", "pos")
 
 
 @query(f"SELECT row_idx, chrom, pos FROM variants WHERE {_IN} pos BETWEEN 50000000 AND 90000000")
@@ -45,17 +58,17 @@ def region_beg(spark, d):
     return _region(spark, d, "beg")
 
 
-@query(f"SELECT row_idx, chrom, pos FROM variants WHERE {_IN} pos <= 90000000 AND {_END} >= 50000000")
+@query(f"SELECT row_idx, chrom, pos FROM variants WHERE {_IN} pos <= 90000000 AND {_LAST} >= 50000000")
 def region_any(spark, d):
     return _region(spark, d, "any")
 
 
-@query(f"SELECT row_idx, chrom, pos FROM variants WHERE {_IN} pos >= 50000000 AND {_END} <= 90000000")
+@query(f"SELECT row_idx, chrom, pos FROM variants WHERE {_IN} pos >= 50000000 AND {_LAST} <= 90000000")
 def region_all(spark, d):
     return _region(spark, d, "all")
 
 
-@query(f"SELECT row_idx, chrom, pos FROM variants WHERE {_IN} {_END} BETWEEN 50000000 AND 90000000")
+@query(f"SELECT row_idx, chrom, pos FROM variants WHERE {_IN} {_LAST} BETWEEN 50000000 AND 90000000")
 def region_end(spark, d):
     return _region(spark, d, "end")
 
@@ -72,6 +85,23 @@ def region_join(spark, d):
     return regions.join_regions(table(spark, d, "variants").select("row_idx", "chrom", "pos"), r).select("row_idx", "site_id")
 
 
+def _point_join(how: str, condition: str) -> None:
+    """Regions of a table, joined by a bounding point."""
+
+    @query(f"SELECT v.row_idx, p.site_id FROM (SELECT row_idx, chrom, pos, {_LAST} AS last FROM variants) v JOIN (SELECT site_id, chrom, pos AS b, pos + 300000 AS e FROM panel_a) p ON v.chrom = p.chrom AND {condition}")
+    def join(spark, d):
+        r = table(spark, d, "panel_a").select("site_id", "chrom", F.col("pos").cast("bigint").alias("start"), (F.col("pos") + 300_000).cast("bigint").alias("end"))
+        sites = _reaching(spark, d).select("row_idx", "chrom", "pos", regions.end_pos(F.col("info")).alias("last"))
+        return regions.join_regions(sites, r, how, F.col("last")).select("row_idx", "site_id")
+
+    QUERIES[f"region_join_{how}"], SQL[f"region_join_{how}"] = QUERIES.pop("join"), SQL.pop("join")
+
+
+_point_join("any", "v.pos <= p.e AND v.last >= p.b")
+_point_join("all", "v.pos >= p.b AND v.last <= p.e")
+_point_join("end", "v.pos <= p.e AND v.last BETWEEN p.b AND p.e")
+
+
 @query('SELECT chrom, min(pos) AS start, max(pos + 100) AS "end" FROM panel_a GROUP BY chrom')
 def region_envelope(spark, d):
     return regions.envelope(table(spark, d, "panel_a").select("chrom", F.col("pos").alias("start"), (F.col("pos") + 100).alias("end")))
@@ -171,7 +201,7 @@ def pbwt_roundtrip(spark, d):
 @query(f"SELECT row_idx, list_filter({_OFF}, lambda o: o // 2 IN (2, 4, 10, 11, 23)) AS kept FROM variants")
 def sparse_subset(spark, d):
     """Offsets of the kept samples' non-zeros, before moving: the subset's offsets moved back."""
-    s = A.sparse_subset(A.to_sparse(F.col("gt")), KEEP, 2, SAMPLES)
+    s = A.sparse_subset(A.to_sparse(F.col("gt")), KEEP, 2, _samples(spark, d))
     back = F.array(*map(F.lit, KEEP))
     return table(spark, d, "variants").select("row_idx", F.transform(s["offsets"], lambda o: F.get(back, F.floor(o / 2).cast("int")) * 2 + o % 2).alias("kept"))
 
@@ -246,23 +276,32 @@ g AS (SELECT row_idx, snp, i, CASE WHEN len(list_filter(h, lambda x: x < 0)) = 0
 """
 
 
-@query(_LONG + """SELECT i AS sample_idx, count(*) FILTER (WHERE g = 1) AS n_het, count(*) FILTER (WHERE g > 1) AS n_hom, CAST(sum(CASE WHEN snp AND g > 0 THEN g ELSE 0 END) AS BIGINT) AS n_snp,
-CAST(sum(CASE WHEN NOT snp AND g > 0 THEN g ELSE 0 END) AS BIGINT) AS n_indel, 0 AS n_syn, 0 AS n_nonsyn FROM g GROUP BY i""")
+_ANN = "CASE pos % 5 WHEN 0 THEN 'C|missense|x,G|synonymous|y' WHEN 1 THEN 'C|intron&stop_retained|x' WHEN 2 THEN 'C|synonymous|a,T|intron&stop_gained|b' WHEN 3 THEN 'C' END"
+_EFFECT = "CASE pos % 5 WHEN 0 THEN 'nonsyn' WHEN 1 THEN 'syn' WHEN 2 THEN 'nonsyn' END"
+
+
+def _annotated(spark, d):
+    """The sites with an annotation in their info, made from their position."""
+    rest = F.map_filter(F.coalesce("info", F.create_map().cast("map<string,string>")), lambda k, _: k != "ANN")
+    return table(spark, d, "variants").withColumn("info", F.map_concat(rest, F.map_from_arrays(F.array(F.lit("ANN")), F.array(F.expr(_ANN)))))
+
+
+@query(_LONG + f"""SELECT i AS sample_idx, count(*) FILTER (WHERE g = 1) AS n_het, count(*) FILTER (WHERE g > 1) AS n_hom, CAST(sum(CASE WHEN snp AND g > 0 THEN g ELSE 0 END) AS BIGINT) AS n_snp,
+CAST(sum(CASE WHEN NOT snp AND g > 0 THEN g ELSE 0 END) AS BIGINT) AS n_indel,
+CAST(sum(CASE WHEN effect = 'syn' AND g > 0 THEN g ELSE 0 END) AS BIGINT) AS n_syn, CAST(sum(CASE WHEN effect = 'nonsyn' AND g > 0 THEN g ELSE 0 END) AS BIGINT) AS n_nonsyn
+FROM g JOIN (SELECT row_idx, {_EFFECT} AS effect FROM variants) USING (row_idx) GROUP BY i""")
 def stat_per_sample(spark, d):
-    return stats.per_sample(table(spark, d, "variants"), SAMPLES)
+    return stats.per_sample(_annotated(spark, d), _samples(spark, d))
 
 
-@query(f"""WITH v AS (SELECT TRY_CAST(split_part(info['AC'], ',', 1) AS INTEGER) AS ac, TRY_CAST(info['AN'] AS INTEGER) AS an, {_SNP} AS snp FROM variants WHERE regexp_full_match(split_part(info['AC'], ',', 1), '[0-9]+') AND regexp_full_match(info['AN'], '[0-9]+')),
+@query(f"""WITH v AS (SELECT CASE WHEN gt IS NULL OR len({_AC}) = 0 THEN TRY_CAST(split_part(info['AC'], ',', 1) AS INTEGER) ELSE ({_AC})[1] END AS ac, CASE WHEN gt IS NULL THEN TRY_CAST(info['AN'] AS INTEGER) ELSE {_AN} END AS an, {_SNP} AS snp, {_EFFECT} AS effect FROM variants),
 k AS (SELECT * FROM v WHERE ac BETWEEN 0 AND an), b AS (SELECT unnest(range(max(an) + 1)) AS ac FROM k)
-SELECT CAST(b.ac AS INTEGER) AS ac, count(*) FILTER (WHERE snp) AS n_snp, count(*) FILTER (WHERE NOT snp) AS n_indel, 0 AS n_syn, 0 AS n_nonsyn FROM b LEFT JOIN k ON k.ac = b.ac GROUP BY b.ac""")
+SELECT CAST(b.ac AS INTEGER) AS ac, count(*) FILTER (WHERE snp) AS n_snp, count(*) FILTER (WHERE NOT snp) AS n_indel, count(*) FILTER (WHERE effect = 'syn') AS n_syn, count(*) FILTER (WHERE effect = 'nonsyn') AS n_nonsyn FROM b LEFT JOIN k ON k.ac = b.ac GROUP BY b.ac""")
 def stat_per_ac(spark, d):
-    return stats.per_allele_count(table(spark, d, "variants"))
-
-
-_ANN = "CASE pos % 5 WHEN 0 THEN 'C|missense|x,G|synonymous|y' WHEN 1 THEN 'C|intron&stop_retained|x' WHEN 2 THEN 'C|synonymous|a,T|intron&stop_gained|b' WHEN 3 THEN 'C' END"
+    return stats.per_allele_count(stats.update_info(_annotated(spark, d), ("AC", "AN"), "strict"))
 
 
-@query("SELECT row_idx, CASE pos % 5 WHEN 0 THEN 'nonsyn' WHEN 1 THEN 'syn' WHEN 2 THEN 'nonsyn' END AS effect FROM variants")
+@query(f"SELECT row_idx, {_EFFECT} AS effect FROM variants")
 def stat_ann_class(spark, d):
     return table(spark, d, "variants").select("row_idx", F.expr(_ANN).alias("ann")).select("row_idx", stats.effect_class(F.col("ann")).alias("effect"))
 
@@ -311,7 +350,7 @@ def sort_desc(spark, d):
 @query("SELECT row_idx, 0 AS file_ord, pos FROM variants UNION ALL SELECT row_idx + (SELECT count(*) FROM variants), 1, pos FROM variants")
 def concat(spark, d):
     rows = table(spark, d, "variants").select("row_idx", "pos")
-    return order.concat([rows, rows], [SAMPLES, SAMPLES]).select("row_idx", "file_ord", "pos")
+    return order.concat([rows, rows], [_samples(spark, d)] * 2).select("row_idx", "file_ord", "pos")
 
 
 @query("SELECT sample_idx, sample_id, y FROM sample_list WHERE y IS NOT NULL AND NOT isnan(y)")
@@ -334,32 +373,70 @@ _NEAR = lambda c, name: (F.round(c, 7) + F.lit(0.0)).alias(name)
 
 @query(_REG + "SELECT row_idx, mac, round(beta, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se, 7) + 0.0 END AS se FROM e WHERE mac >= 1")
 def assoc_linreg(spark, d):
-    found = assoc.associate(table(spark, d, "variants"), _responses(spark, d), SAMPLES)
+    found = assoc.associate(table(spark, d, "variants"), _responses(spark, d), _samples(spark, d))
     return found.select("row_idx", "mac", _NEAR("beta", "beta"), _NEAR("se", "se"))
 
 
-@query()
+#: Two-sided p of t at a whole number nu of degrees of freedom, as a finite sum.
+_TERM = "list_product(list_transform(range(1, k + 1), lambda j: CAST(2 * j - {0} AS DOUBLE) / (2 * j + 1 - {0})))"
+_PVALUE = f"""CASE WHEN nu % 2 = 0 THEN 1 - sin(th) * (1 + coalesce(list_sum(list_transform(range(1, nu // 2), lambda k: {_TERM.format(1)} * power(cos(th), 2 * k))), 0))
+ELSE 1 - 2 / pi() * (th + CASE WHEN nu > 1 THEN sin(th) * cos(th) * (1 + coalesce(list_sum(list_transform(range(1, (nu - 1) // 2), lambda k: {_TERM.format(0)} * power(cos(th), 2 * k))), 0)) ELSE 0 END) END"""
+_P = f"SELECT row_idx, round(t, 6) + 0.0 AS t, CASE WHEN t IS NOT NULL THEN round({_PVALUE}, 7) + 0.0 END AS pval FROM (SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM (SELECT row_idx, mac, CAST(n - 2 AS BIGINT) AS nu, beta / nullif(se, 0) AS t FROM {{0}}))"
+_T = lambda c, name: (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+@query(_REG + _P.format("e WHERE mac >= 1"))
 def assoc_pvalue(spark, d):
-    return assoc.associate(table(spark, d, "variants"), _responses(spark, d), SAMPLES).select("row_idx", "t", "pval")
+    found = assoc.associate(table(spark, d, "variants"), _responses(spark, d), _samples(spark, d))
+    return found.select("row_idx", _T("t", "t"), _NEAR("pval", "pval"))
+
 
+_COVARIED = _LONG + """, r AS (SELECT row_idx, CAST(g AS DOUBLE) AS x, y, CAST(sex AS DOUBLE) AS z FROM g JOIN sample_list l ON l.sample_idx = g.i WHERE g IS NOT NULL AND y IS NOT NULL AND NOT isnan(y) AND sex IS NOT NULL),
+m AS (SELECT row_idx, count(*) AS n, sum(x * x) - sum(x) * sum(x) / count(*) AS xx, sum(z * z) - sum(z) * sum(z) / count(*) AS zz, sum(y * y) - sum(y) * sum(y) / count(*) AS yy,
+  sum(x * z) - sum(x) * sum(z) / count(*) AS xz, sum(x * y) - sum(x) * sum(y) / count(*) AS xy, sum(z * y) - sum(z) * sum(y) / count(*) AS zy FROM r GROUP BY row_idx),
+c AS (SELECT row_idx, n, xx - xz * xz / zz AS xx, xy - xz * zy / zz AS xy, yy - zy * zy / zz AS yy FROM m WHERE n > 3 AND zz > 1e-9),
+b AS (SELECT row_idx, n, xy / xx AS beta, sqrt(greatest((yy - xy * xy / xx) / (n - 3), 0) / xx) AS se FROM c WHERE xx > 1e-9)
+SELECT row_idx, round(beta, 8) + 0.0 AS beta, round(se, 8) + 0.0 AS se FROM variants LEFT JOIN b USING (row_idx)"""
 
-@query()
+
+def _sex(spark, d) -> dict[int, list[float]]:
+    return {r["sample_idx"]: [float(r["sex"])] for r in table(spark, d, "sample_list").where("sex IS NOT NULL").select("sample_idx", "sex").collect()}
+
+
+@query(_COVARIED)
 def assoc_covariates(spark, d):
-    sex = {r["sample_idx"]: [float(r["sex"])] for r in table(spark, d, "sample_list").select("sample_idx", "sex").collect()}
-    return assoc.regress_many(table(spark, d, "variants"), _responses(spark, d), sex, SAMPLES)
+    found = assoc.regress_many(table(spark, d, "variants"), _responses(spark, d), _sex(spark, d), _samples(spark, d))
+    near = lambda c: (F.round(c, 8) + F.lit(0.0)).alias(c)
+    return found.select("row_idx", near("beta"), near("se"))
+
+
+_FIRST = "TRY_CAST(string_split(info['{0}'], ',')[1] AS DOUBLE)"
+_RUN = (
+    _REG.replace("SELECT row_idx, CAST(g AS DOUBLE) AS x, y FROM g JOIN sample_list l", "SELECT row_idx, CAST(g AS DOUBLE) AS x, y FROM g JOIN (SELECT sample_idx, y - (regr_intercept(y, sex) OVER () + regr_slope(y, sex) OVER () * sex) AS y FROM sample_list WHERE y IS NOT NULL AND NOT isnan(y) AND sex IS NOT NULL) l")
+    + f""", k AS (SELECT e.row_idx, beta, se, CAST(n - 2 AS BIGINT) AS nu, CASE WHEN has THEN ac WHEN af IS NOT NULL THEN af * 48 ELSE sx END AS ac, CASE WHEN has THEN an WHEN af IS NOT NULL THEN 48 ELSE 2 * n END AS an
+  FROM e JOIN (SELECT row_idx, {_FIRST.format('AC')} AS ac, {_FIRST.format('AN')} AS an, {_FIRST.format('AF')} AS af, {_FIRST.format('AC')} IS NOT NULL AND {_FIRST.format('AN')} IS NOT NULL AS has FROM variants) USING (row_idx)),
+f AS (SELECT *, CASE WHEN ac > floor(an / 2) THEN an - ac ELSE ac END AS mac, CASE WHEN ac / nullif(an, 0) > 0.5 THEN 1 - ac / nullif(an, 0) ELSE ac / nullif(an, 0) END AS maf FROM k)
+SELECT row_idx, round(maf, 6) AS maf, round(mac, 6) AS mac, round(beta, 8) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se, 8) + 0.0 END AS se FROM f WHERE mac >= 1"""
+)
+
+
+@query(_RUN)
+def assoc_run(spark, d):
+    """A whole association run: the response less what sex explains, allele counts by the sites' info."""
+    found = assoc.associate_sites(table(spark, d, "variants"), _responses(spark, d), _sex(spark, d), "gt", _samples(spark, d))
+    return found.select("row_idx", F.round("maf", 6).alias("maf"), F.round("mac", 6).alias("mac"), (F.round("beta", 8) + F.lit(0.0)).alias("beta"), (F.round("se", 8) + F.lit(0.0)).alias("se"))
 
 
-@query(_REG + ", w AS (SELECT row_idx FROM g GROUP BY row_idx HAVING count(g) = 24) SELECT row_idx, round(beta, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se, 7) + 0.0 END AS se FROM e SEMI JOIN w USING (row_idx)")
+@query(_REG + "SELECT row_idx, round(beta, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se, 7) + 0.0 END AS se FROM e")
 def assoc_sparse(spark, d):
-    ds = table(spark, d, "variants").select("row_idx", assoc.dosages(SAMPLES).alias("ds"))
-    full = ds.select("row_idx", F.when(~F.exists("ds", lambda x: x.isNull()), F.col("ds")).alias("ds"))
-    rows = full.select("row_idx", assoc.sparse_moments(A.to_sparse(F.col("ds")), _responses(spark, d)).alias("m"))
-    return assoc.regression(rows).where("m IS NOT NULL").select("row_idx", _NEAR("beta", "beta"), _NEAR("se", "se"))
+    ds = table(spark, d, "variants").select("row_idx", assoc.dosages(_samples(spark, d)).alias("ds"))
+    rows = ds.select("row_idx", assoc.sparse_moments(A.to_sparse(F.col("ds")), _responses(spark, d)).alias("m"))
+    return assoc.regression(rows).where("m.n > 0").select("row_idx", _NEAR("beta", "beta"), _NEAR("se", "se"))
 
 
 @query(_REG + "SELECT row_idx, round((sy - beta * sx) / n, 7) + 0.0 AS intercept, round((n * sxy - sx * sy) * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0), 7) + 0.0 AS r2 FROM e")
 def regr_r2(spark, d):
-    rows = assoc.site_moments(table(spark, d, "variants"), _responses(spark, d), SAMPLES, ("row_idx",)).where("m.n > 0")
+    rows = assoc.site_moments(table(spark, d, "variants"), _responses(spark, d), _samples(spark, d), ("row_idx",)).where("m.n > 0")
     return assoc.regression(rows).select("row_idx", _NEAR("intercept", "intercept"), _NEAR("r2", "r2"))
 
 
@@ -382,13 +459,15 @@ def hds_to_gt(spark, d):
     return table(spark, d, "variants").select("row_idx", A.hds_to_gt(F.col("hds")).alias("gt"))
 
 
-@query(rf"""WITH t AS (SELECT line_id, regexp_replace(split_part(split_part(line, chr(9), 10), ':', 1), '\r$', '') AS g FROM vcf_lines), k AS (SELECT * FROM t WHERE regexp_full_match(g, '(\.|[0-9]{{1,6}})([/|](\.|[0-9]{{1,6}}))?')),
-s AS (SELECT line_id, g, string_split(translate(g, '|', '/'), '/') AS p FROM k)
-SELECT line_id, [CASE WHEN p[1] = '.' THEN -1 ELSE CAST(p[1] AS INTEGER) END, CASE WHEN len(p) < 2 THEN -2147483647 WHEN p[2] = '.' THEN -1 ELSE CAST(p[2] AS INTEGER) END] AS gt, CASE WHEN len(p) < 2 THEN [] WHEN contains(g, '|') THEN [1] ELSE [0] END AS ph FROM s""")
+@query(r"""WITH c AS (SELECT line_id, string_split(regexp_replace(line, '\r$', ''), chr(9)) AS f FROM vcf_lines), t AS (SELECT line_id, CAST(i - 10 AS INTEGER) AS sample_idx, split_part(f[i], ':', 1) AS g FROM (SELECT line_id, f, unnest(range(10, len(f) + 1)) AS i FROM c)),
+k AS (SELECT * FROM t WHERE regexp_full_match(g, '(\.|[0-9]{1,6})([/|](\.|[0-9]{1,6}))?')), s AS (SELECT line_id, sample_idx, g, string_split(translate(g, '|', '/'), '/') AS p FROM k)
+SELECT line_id, sample_idx, [CASE WHEN p[1] = '.' THEN -1 ELSE CAST(p[1] AS INTEGER) END, CASE WHEN len(p) < 2 THEN -2147483647 WHEN p[2] = '.' THEN -1 ELSE CAST(p[2] AS INTEGER) END] AS gt, CASE WHEN len(p) < 2 THEN [] WHEN contains(g, '|') THEN [1] ELSE [0] END AS ph FROM s""")
 def gt_phase_parse(spark, d):
-    cell = F.substring_index(F.regexp_replace(F.get(F.split("line", "\t"), F.lit(9)), r"\r\z", ""), ":", 1)
-    rows = table(spark, d, "vcf_lines").select("line_id", cell.alias("g")).where(F.col("g").rlike(r"\A(\.|[0-9]{1,6})([/|](\.|[0-9]{1,6}))?\z"))
-    return rows.select("line_id", A.gt_alleles(F.col("g")).alias("gt"), A.gt_phases(F.col("g")).alias("ph"))
+    """The calls of all samples of all lines."""
+    cells = F.split(F.regexp_replace("line", r"\r\z", ""), "\t")
+    calls = F.transform(F.slice(cells, F.lit(10), F.greatest(F.size(cells) - 9, F.lit(0))), lambda c: F.substring_index(c, ":", 1))
+    rows = table(spark, d, "vcf_lines").select("line_id", F.posexplode(calls).alias("sample_idx", "g")).where(F.col("g").rlike(r"\A(\.|[0-9]{1,6})([/|](\.|[0-9]{1,6}))?\z"))
+    return rows.select("line_id", "sample_idx", A.gt_alleles(F.col("g")).alias("gt"), A.gt_phases(F.col("g")).alias("ph"))
 
 
 @query("SELECT row_idx, list_transform(gt, lambda x, i: CASE WHEN x = -2147483647 THEN x ELSE (x + 1) * 2 + CASE WHEN i % 2 = 0 THEN coalesce(ph[(i + 1) // 2], 0) ELSE 0 END END) AS codes, gt AS back FROM variants")
@@ -401,7 +480,7 @@ _CALLS = """array_to_string(list_transform(range(len(gt) // 2), lambda i:
   CASE WHEN gt[2 * i + 1] = -2147483647 THEN '' WHEN gt[2 * i + 1] = -1 THEN '.' ELSE CAST(gt[2 * i + 1] AS VARCHAR) END ||
   CASE WHEN gt[2 * i + 2] = -2147483647 THEN '' ELSE CASE WHEN gt[2 * i + 1] = -2147483647 THEN '' WHEN ph[i + 1] = 1 THEN '|' ELSE '/' END || CASE WHEN gt[2 * i + 2] = -1 THEN '.' ELSE CAST(gt[2 * i + 2] AS VARCHAR) END END), chr(9))"""
 _DOT = "coalesce(nullif({0}, ''), '.')"
-_INFO = "array_to_string(list_transform(list_sort(map_keys(info)), lambda k: CASE WHEN info[k] = '.' THEN k ELSE k || '=' || info[k] END), ';')"
+_INFO = "array_to_string(list_transform(map_keys(info), lambda k: CASE WHEN info[k] = '.' THEN k ELSE k || '=' || info[k] END), ';')"
 
 
 @query(f"""SELECT row_idx, concat_ws(chr(9), {_DOT.format('chrom')}, CAST(pos AS VARCHAR), {_DOT.format('id')}, {_DOT.format('ref')}, {_DOT.format("array_to_string(alts, ',')")},
@@ -442,13 +521,13 @@ def group_semi_join(spark, d):
 
 @query(_LONG + f"SELECT \"group\", i AS sample_idx, CAST(sum(g) AS DOUBLE) AS burden FROM {_GROUPED} JOIN g USING (row_idx) GROUP BY ALL")
 def group_burden(spark, d):
-    sites = merge.group_sites(table(spark, d, "variants").select("row_idx", "chrom", "pos", "ref", "alts", "gt").where(F.size("gt") >= SAMPLES), _members(spark, d))
-    return merge.burden(sites, assoc.dosages(SAMPLES))
+    sites = merge.group_sites(table(spark, d, "variants").select("row_idx", "chrom", "pos", "ref", "alts", "gt").where(F.size("gt") >= _samples(spark, d)), _members(spark, d))
+    return merge.burden(sites, assoc.dosages(_samples(spark, d)))
 
 
 @query(_LONG + "SELECT i AS sample_idx, row_number() OVER (ORDER BY n DESC, i) - 1 AS place FROM (SELECT i, sum(len(list_filter(h, lambda x: x > 0))) AS n FROM h GROUP BY i)")
 def sample_sort(spark, d):
-    found = order.sample_order(table(spark, d, "variants"), SAMPLES)
+    found = order.sample_order(table(spark, d, "variants"), _samples(spark, d))
     return spark.createDataFrame([(s, i) for i, s in enumerate(found)], "sample_idx int, place int")
 
 
