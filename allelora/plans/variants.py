@@ -368,10 +368,12 @@ m AS (SELECT row_idx, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS s
 b AS (SELECT *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS beta, CASE WHEN sx > (2 * n) // 2 THEN 2 * n - sx ELSE sx END AS mac FROM m),
 e AS (SELECT *, CASE WHEN n > 2 THEN sqrt(greatest((n * syy - sy * sy - beta * beta * (n * sxx - sx * sx)) / nullif((n - 2) * (n * sxx - sx * sx), 0), 0)) END AS se FROM b)
 """
-_NEAR = lambda c, name: (F.round(c, 7) + F.lit(0.0)).alias(name)
+#: Added before rounding: many results are short fractions, which rounding would find halfway between two decimals.
+_OFF_TIES = 1.23456e-9
+_NEAR = lambda c, name: (F.round(F.col(c) + _OFF_TIES, 7) + F.lit(0.0)).alias(name)
 
 
-@query(_REG + "SELECT row_idx, mac, round(beta, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se, 7) + 0.0 END AS se FROM e WHERE mac >= 1")
+@query(_REG + "SELECT row_idx, mac, round(beta + 1.23456e-9, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se + 1.23456e-9, 7) + 0.0 END AS se FROM e WHERE mac >= 1")
 def assoc_linreg(spark, d):
     found = assoc.associate(table(spark, d, "variants"), _responses(spark, d), _samples(spark, d))
     return found.select("row_idx", "mac", _NEAR("beta", "beta"), _NEAR("se", "se"))
@@ -381,14 +383,13 @@ def assoc_linreg(spark, d):
 _TERM = "list_product(list_transform(range(1, k + 1), lambda j: CAST(2 * j - {0} AS DOUBLE) / (2 * j + 1 - {0})))"
 _PVALUE = f"""CASE WHEN nu % 2 = 0 THEN 1 - sin(th) * (1 + coalesce(list_sum(list_transform(range(1, nu // 2), lambda k: {_TERM.format(1)} * power(cos(th), 2 * k))), 0))
 ELSE 1 - 2 / pi() * (th + CASE WHEN nu > 1 THEN sin(th) * cos(th) * (1 + coalesce(list_sum(list_transform(range(1, (nu - 1) // 2), lambda k: {_TERM.format(0)} * power(cos(th), 2 * k))), 0)) ELSE 0 END) END"""
-_P = f"SELECT row_idx, round(t, 6) + 0.0 AS t, CASE WHEN t IS NOT NULL THEN round({_PVALUE}, 7) + 0.0 END AS pval FROM (SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM (SELECT row_idx, mac, CAST(n - 2 AS BIGINT) AS nu, beta / nullif(se, 0) AS t FROM {{0}}))"
-_T = lambda c, name: (F.round(c, 6) + F.lit(0.0)).alias(name)
+_P = f"SELECT row_idx, round(t + 1.23456e-9, 7) + 0.0 AS t, CASE WHEN t IS NOT NULL THEN round({_PVALUE} + 1.23456e-9, 7) + 0.0 END AS pval FROM (SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM (SELECT row_idx, mac, CAST(n - 2 AS BIGINT) AS nu, beta / nullif(se, 0) AS t FROM {{0}}))"
 
 
 @query(_REG + _P.format("e WHERE mac >= 1"))
 def assoc_pvalue(spark, d):
     found = assoc.associate(table(spark, d, "variants"), _responses(spark, d), _samples(spark, d))
-    return found.select("row_idx", _T("t", "t"), _NEAR("pval", "pval"))
+    return found.select("row_idx", _NEAR("t", "t"), _NEAR("pval", "pval"))
 
 
 _COVARIED = _LONG + """, r AS (SELECT row_idx, CAST(g AS DOUBLE) AS x, y, CAST(sex AS DOUBLE) AS z FROM g JOIN sample_list l ON l.sample_idx = g.i WHERE g IS NOT NULL AND y IS NOT NULL AND NOT isnan(y) AND sex IS NOT NULL),
@@ -396,7 +397,7 @@ m AS (SELECT row_idx, count(*) AS n, sum(x * x) - sum(x) * sum(x) / count(*) AS
   sum(x * z) - sum(x) * sum(z) / count(*) AS xz, sum(x * y) - sum(x) * sum(y) / count(*) AS xy, sum(z * y) - sum(z) * sum(y) / count(*) AS zy FROM r GROUP BY row_idx),
 c AS (SELECT row_idx, n, xx - xz * xz / zz AS xx, xy - xz * zy / zz AS xy, yy - zy * zy / zz AS yy FROM m WHERE n > 3 AND zz > 1e-9),
 b AS (SELECT row_idx, n, xy / xx AS beta, sqrt(greatest((yy - xy * xy / xx) / (n - 3), 0) / xx) AS se FROM c WHERE xx > 1e-9)
-SELECT row_idx, round(beta, 8) + 0.0 AS beta, round(se, 8) + 0.0 AS se FROM variants LEFT JOIN b USING (row_idx)"""
+SELECT row_idx, round(beta + 1.23456e-9, 7) + 0.0 AS beta, round(se + 1.23456e-9, 7) + 0.0 AS se FROM variants LEFT JOIN b USING (row_idx)"""
 
 
 def _sex(spark, d) -> dict[int, list[float]]:
@@ -406,8 +407,7 @@ def _sex(spark, d) -> dict[int, list[float]]:
 @query(_COVARIED)
 def assoc_covariates(spark, d):
     found = assoc.regress_many(table(spark, d, "variants"), _responses(spark, d), _sex(spark, d), _samples(spark, d))
-    near = lambda c: (F.round(c, 8) + F.lit(0.0)).alias(c)
-    return found.select("row_idx", near("beta"), near("se"))
+    return found.select("row_idx", _NEAR("beta", "beta"), _NEAR("se", "se"))
 
 
 _FIRST = "TRY_CAST(string_split(info['{0}'], ',')[1] AS DOUBLE)"
@@ -416,7 +416,7 @@ _RUN = (
     + f""", k AS (SELECT e.row_idx, beta, se, CAST(n - 2 AS BIGINT) AS nu, CASE WHEN has THEN ac WHEN af IS NOT NULL THEN af * 48 ELSE sx END AS ac, CASE WHEN has THEN an WHEN af IS NOT NULL THEN 48 ELSE 2 * n END AS an
   FROM e JOIN (SELECT row_idx, {_FIRST.format('AC')} AS ac, {_FIRST.format('AN')} AS an, {_FIRST.format('AF')} AS af, {_FIRST.format('AC')} IS NOT NULL AND {_FIRST.format('AN')} IS NOT NULL AS has FROM variants) USING (row_idx)),
 f AS (SELECT *, CASE WHEN ac > floor(an / 2) THEN an - ac ELSE ac END AS mac, CASE WHEN ac / nullif(an, 0) > 0.5 THEN 1 - ac / nullif(an, 0) ELSE ac / nullif(an, 0) END AS maf FROM k)
-SELECT row_idx, round(maf, 6) AS maf, round(mac, 6) AS mac, round(beta, 8) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se, 8) + 0.0 END AS se FROM f WHERE mac >= 1"""
+SELECT row_idx, round(maf, 6) AS maf, round(mac, 6) AS mac, round(beta + 1.23456e-9, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se + 1.23456e-9, 7) + 0.0 END AS se FROM f WHERE mac >= 1"""
 )
 
 
@@ -424,17 +424,17 @@ SELECT row_idx, round(maf, 6) AS maf, round(mac, 6) AS mac, round(beta, 8) + 0.0
 def assoc_run(spark, d):
     """A whole association run: the response less what sex explains, allele counts by the sites' info."""
     found = assoc.associate_sites(table(spark, d, "variants"), _responses(spark, d), _sex(spark, d), "gt", _samples(spark, d))
-    return found.select("row_idx", F.round("maf", 6).alias("maf"), F.round("mac", 6).alias("mac"), (F.round("beta", 8) + F.lit(0.0)).alias("beta"), (F.round("se", 8) + F.lit(0.0)).alias("se"))
+    return found.select("row_idx", F.round("maf", 6).alias("maf"), F.round("mac", 6).alias("mac"), _NEAR("beta", "beta"), _NEAR("se", "se"))
 
 
-@query(_REG + "SELECT row_idx, round(beta, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se, 7) + 0.0 END AS se FROM e")
+@query(_REG + "SELECT row_idx, round(beta + 1.23456e-9, 7) + 0.0 AS beta, CASE WHEN beta IS NOT NULL THEN round(se + 1.23456e-9, 7) + 0.0 END AS se FROM e")
 def assoc_sparse(spark, d):
     ds = table(spark, d, "variants").select("row_idx", assoc.dosages(_samples(spark, d)).alias("ds"))
     rows = ds.select("row_idx", assoc.sparse_moments(A.to_sparse(F.col("ds")), _responses(spark, d)).alias("m"))
     return assoc.regression(rows).where("m.n > 0").select("row_idx", _NEAR("beta", "beta"), _NEAR("se", "se"))
 
 
-@query(_REG + "SELECT row_idx, round((sy - beta * sx) / n, 7) + 0.0 AS intercept, round((n * sxy - sx * sy) * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0), 7) + 0.0 AS r2 FROM e")
+@query(_REG + "SELECT row_idx, round((sy - beta * sx) / n + 1.23456e-9, 7) + 0.0 AS intercept, round((n * sxy - sx * sy) * (n * sxy - sx * sy) / nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0) + 1.23456e-9, 7) + 0.0 AS r2 FROM e")
 def regr_r2(spark, d):
     rows = assoc.site_moments(table(spark, d, "variants"), _responses(spark, d), _samples(spark, d), ("row_idx",)).where("m.n > 0")
     return assoc.regression(rows).select("row_idx", _NEAR("intercept", "intercept"), _NEAR("r2", "r2"))
