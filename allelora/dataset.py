@@ -14,6 +14,9 @@ from allelora.sources import headers as header_ops
 from allelora.sources import vcf
 from allelora.sources.sniff import sniff
 
+#: Statistics that ``update_info`` can write, with their descriptions.
+INFO_STATISTICS = {"AC": "Alternate allele counts", "AN": "Number of alleles", "AF": "Alternate allele frequencies", "MAC": "Least allele count", "MAF": "Least allele frequency"}
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -45,7 +48,7 @@ class Dataset:
     @classmethod
     def read_bcf(cls, spark: SparkSession, path: str) -> "Dataset":
         head, samples = bcf.header_rows(spark, path)
-        return cls(bcf.read(spark, path).drop("file"), head, samples, vcf.phasing_of(head))
+        return cls(vcf.with_formats(bcf.read(spark, path).drop("file"), vcf.format_types(head)), head, samples, vcf.phasing_of(head))
 
     def _last(self):
         return F.col("end_pos") if "end_pos" in self.variants.columns else regions.end_pos(F.col("info"))
@@ -89,6 +92,27 @@ class Dataset:
     def sites_only(self) -> "Dataset":
         return replace(self, variants=self.variants.drop("gt", "ph", "format", "undeclared", *map(vcf.column_of, self.format_types())), samples=())
 
+    def declare_info(self, keys: tuple[str, ...]) -> "Dataset":
+        """Header lines for statistics that are to be in info, where they are missing."""
+        number = {"AC": "A", "AF": "A"}
+        kind = {"AF": "Float", "MAF": "Float"}
+        lines = {k: f'<ID={k},Number={number.get(k, "1")},Type={kind.get(k, "Integer")},Description="{what}">' for k, what in INFO_STATISTICS.items() if k in keys}
+        return replace(self, headers=header_ops.with_declared(self.headers, lines)) if lines else self
+
+    def with_phasing(self, phasing: str) -> "Dataset":
+        """The same calls under another phasing: phase bits are kept for ``partial`` only."""
+        kept = self.headers.where("key != 'phasing'").select(F.col("seq").cast("bigint").alias("seq"), "key", "value")
+        line = self.headers.sparkSession.createDataFrame([(-1, "phasing", phasing)], "seq bigint, key string, value string")
+        # After the first line, which names the format.
+        first = kept.withColumn("seq", F.when(F.col("key") == "fileformat", -2).otherwise(F.col("seq")))
+        variants = self.variants if phasing == "partial" or "ph" not in self.variants.columns else self.variants.withColumn("ph", F.transform("ph", lambda x: F.lit(int(phasing == "full"))))
+        return replace(self, variants=variants, headers=first.unionByName(line), phasing=phasing)
+
+    def sorted_rows(self, point: str = "beg", descending: bool = False) -> "Dataset":
+        """``sort`` with row_idx renumbered, so that writing keeps the order."""
+        ranked = order.ranked(self.variants, self.contigs(), point, descending)
+        return replace(self, variants=ranked.withColumn("row_idx", F.col("rank") - 1).drop("rank"))
+
     def drop_phase(self) -> "Dataset":
         return replace(self, variants=self.variants.drop("ph"), phasing="none")
 

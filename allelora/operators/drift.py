@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from allelora.functions.arrays import let
 from allelora.operators.skew import join_shared
 from allelora.session import written
 from allelora.sources.headers import declarations
@@ -73,7 +74,8 @@ def undeclared(ingested: DataFrame, headers: DataFrame, rescue: str = "rescued")
 
     ``ingested`` is the result of ``ingest`` with ``declared_only``, so every undeclared key of a row has been rescued.
     """
-    keys = ingested.where(F.col(rescue).isNotNull()).select("file_id", F.explode(F.json_object_keys(rescue)).alias("field")).distinct()
+    # The outer form, and no condition before it: Spark would evaluate the rescue column once more for each inferred condition.
+    keys = ingested.select("file_id", F.explode_outer(F.json_object_keys(rescue)).alias("field")).distinct().where("field IS NOT NULL")
     known = declarations(headers, ("INFO",)).select("file_id", F.col("id").alias("field"))
     return keys.join(known, ["file_id", "field"], "left_anti").select("file_id", F.lit("INFO").alias("section"), "field", F.lit("undeclared").alias("change"))
 
@@ -118,7 +120,7 @@ def ingest(variants: DataFrame, names: DataFrame, target: dict[str, str], rescue
     rest = [c for c in variants.columns if c != "info"]
     joined = join_shared(variants, names.withColumnRenamed("names", "__names"), "file_id", "__names")
     named = lambda key: F.col("__names")[key] if declared_only else F.coalesce(F.col("__names")[key], key)
-    entries = F.transform(F.array_sort(F.map_entries("info")), lambda e: F.struct(e["key"].alias("old"), named(e["key"]).alias("new"), F.coalesce(e["value"], F.lit(".")).alias("value")))
+    entries = F.transform(F.sort_array(F.map_entries("info")), lambda e: F.struct(e["key"].alias("old"), named(e["key"]).alias("new"), F.coalesce(e["value"], F.lit(".")).alias("value")))
 
     def ok(x: Column) -> Column:
         known = F.lit(False)
@@ -133,7 +135,7 @@ def ingest(variants: DataFrame, names: DataFrame, target: dict[str, str], rescue
     several = F.size(F.array_distinct(F.transform("__fit", lambda x: x["new"]))) < F.size("__fit")
     left = F.concat(F.transform(F.filter("__all", lambda x: ~x["ok"]), lambda x: x["e"]), F.when(several, twice).otherwise(F.slice("__fit", F.lit(1), F.lit(0))))
     saved = F.map_from_entries(F.transform(left, lambda x: F.struct(x["old"], x["value"])))
-    return marked.select(*rest, *(_cast(at(t)["value"], k).alias(t) for t, k in target.items()), F.when(F.size(saved) > 0, F.to_json(saved)).alias(rescue))
+    return marked.select(*rest, *(_cast(at(t)["value"], k).alias(t) for t, k in target.items()), let(saved, lambda m: F.when(F.size(m) > 0, F.to_json(m))).alias(rescue))
 
 
 def replay(table: DataFrame, names: DataFrame, field: str, kind: str, rescue: str = "rescued") -> DataFrame:

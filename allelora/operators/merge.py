@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SITE = ["chrom", "pos", "ref", "alt"]
@@ -27,6 +28,38 @@ def merge_sites(a: DataFrame, b: DataFrame, n_a: int, n_b: int) -> DataFrame:
     return x.join(y, SITE, "full").select(*SITE, F.concat(F.coalesce("gt_a", zeros(n_a)), F.coalesce("gt_b", zeros(n_b))).alias("gt"))
 
 
+def merge_files(files: list[DataFrame], slots: list[int], mode: str = "compat") -> DataFrame:
+    """k files merged by (chrom, pos, ref, alts): rows (chrom, pos, ref, alts, info, gt), gt vectors side by side in the files' order.
+
+    Each file has row_idx, chrom, pos, ref, alts, info and gt, vectors of ``slots`` elements; a file without the site, or with a null vector, gives
+    zeros. Of an info key in several files the last file's value counts; AC, AN, AF and MAF are recomputed by ``mode``. A site that a file has several
+    times meets the other files' by its number among them. Null keys are equal to each other. One shuffle for all files, whatever their number.
+    """
+    from allelora.operators.stats import update_info
+
+    keys = ["chrom", "pos", "ref", "alts"]
+    rows = None
+    for i, one in enumerate(files):
+        nth = F.row_number().over(W.partitionBy(*keys).orderBy("row_idx")) if "row_idx" in one.columns else F.lit(1)
+        part = one.select(*keys, nth.alias("__nth"), F.struct(F.lit(i).alias("file"), "gt", "info").alias("__own"))
+        rows = part if rows is None else rows.unionByName(part)
+    # A group has at most one row of each file.
+    merged = rows.groupBy(*keys, "__nth").agg(F.collect_list("__own").alias("__files"))
+    vector = lambda i: F.coalesce(F.get(F.filter("__files", lambda f: f["file"] == i), F.lit(0))["gt"], F.array_repeat(F.lit(0), slots[i]))
+    none = F.create_map().cast("map<string,string>")
+    info = none
+    for i in range(len(files)):
+        new = F.coalesce(F.get(F.filter("__files", lambda f, i=i: f["file"] == i), F.lit(0))["info"], none)
+        info = _overwritten(info, new)
+    sites = merged.select(*keys, info.alias("info"), F.concat(*(vector(i) for i in range(len(files)))).alias("gt"))
+    return update_info(sites, ("AC", "AN", "AF", "MAF"), mode)
+
+
+def _overwritten(old: Column, new: Column) -> Column:
+    """Entries of both maps, those of ``new`` where a key is in both."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
 def group_members(groups: DataFrame) -> DataFrame:
     """(group, chrom, pos, ref, alt) of lines ``group<tab>CHROM:POS_REF/ALT<tab>...``; ids that don't parse are left out."""
     cells = F.split("line", "\t")
@@ -52,4 +85,4 @@ def group_matrix(sites: DataFrame, dosage: Column, group: str = "group", rows: i
     from allelora.operators.skew import running
 
     placed = running(sites.select(group, "row_idx", dosage.alias("ds")), group, ["row_idx"])
-    return placed.groupBy(group, F.floor(F.col("rank") / rows).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ds"))), lambda x: x["ds"]).alias("matrix"))
+    return placed.groupBy(group, F.floor(F.col("rank") / rows).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "ds"))), lambda x: x["ds"]).alias("matrix"))

@@ -199,7 +199,7 @@ def value_profile(df: DataFrame) -> DataFrame:
             names.append((name, _kind(kind), None, None, 0))
             continue
         size = None if kind.startswith("struct") else F.when(c.isNotNull(), F.size(c))
-        ordered = F.array_sort(F.map_entries(c)) if kind.startswith("map") else c
+        ordered = F.sort_array(F.map_entries(c)) if kind.startswith("map") else c
         parts.append(F.array(entry(F.lit(name), "whole", F.when(c.isNotNull(), F.sha2(F.to_json(F.struct(ordered.alias("v"))), 256)), size)))
         names.append((name, "whole", None, None, 0))
         if kind.startswith("map"):

@@ -120,7 +120,7 @@ def join_shared(rows: DataFrame, per_key: DataFrame, key: str, value: str, max_k
     Up to ``max_keys`` keys and ``max_values`` different maps, counted first, both are broadcast, a key with its map's hash and each map once, so ``rows``
     aren't shuffled; beyond that they are joined by ``join_back``. The result is the same.
     """
-    text = F.to_json(F.array_sort(F.map_entries(value)))
+    text = F.to_json(F.sort_array(F.map_entries(value)))
     known = written(per_key.select(F.col(key).alias("__key"), F.col(value).alias("__value"), F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(7), text).alias("y")).alias("__hash")))
     keys, values = known.agg(F.count(F.lit(1)), F.count_distinct("__hash")).first()
     if keys <= max_keys and values <= max_values:
@@ -129,5 +129,5 @@ def join_shared(rows: DataFrame, per_key: DataFrame, key: str, value: str, max_k
         named = rows.join(F.broadcast(hashes), F.col(key) == F.col("__key"), "left")
         return named.join(F.broadcast(maps), F.col("__of") == F.col("__hash"), "left").select(*rows.columns, value)
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    counted = counts.join(known.select(F.col("__key").alias(key), F.col("__value").alias(value)), key)
+    counted = written(counts.join(known.select(F.col("__key").alias(key), F.col("__value").alias(value)), key))
     return join_back(rows, counted, key, "__n").drop("__n")

@@ -239,6 +239,29 @@ left_over AS (SELECT row_idx, k, name, val FROM numbered WHERE r IS DISTINCT FRO
 saved AS (SELECT row_idx, '{{' || string_agg(to_json(k) || ':' || to_json(val), ',' ORDER BY k) || '}}' AS json FROM left_over GROUP BY row_idx)
 """
 
+_WHOLE = "count(*) AS n_rows, count(*) - count({0}) AS n_null"
+_PLAIN_PROFILE = "SELECT '{1}' AS \"column\", " + _WHOLE + ", 0 AS n_nan, 0 AS n_infinite, count(DISTINCT {0}) AS n_distinct, CAST(min({0}) AS VARCHAR) AS least, CAST(max({0}) AS VARCHAR) AS greatest FROM {2}"
+_FLOAT_PROFILE = (
+    "SELECT '{1}', " + _WHOLE + ", count(*) FILTER (WHERE isnan({0})), count(*) FILTER (WHERE isinf({0})), count(DISTINCT {0}), CAST(min({0}) FILTER (WHERE isfinite({0})) AS VARCHAR), CAST(max({0}) FILTER (WHERE isfinite({0})) AS VARCHAR) FROM {2}"
+)
+_SIZE_PROFILE = "SELECT '{0}', " + _WHOLE + ", 0, 0, count(DISTINCT {0}), CAST(min(len({0})) AS VARCHAR), CAST(max(len({0})) AS VARCHAR) FROM variants"
+_LISTS = ("alts", "filters", "gt", "ph", "gq", "dp")
+_PROFILE = " UNION ALL ".join(
+    [_PLAIN_PROFILE.format(c, c, "variants") for c in ("row_idx", "file_id", "load_id", "chrom", "pos", "id", "ref")]
+    + [_PLAIN_PROFILE.format(c, c, f"(SELECT CAST({c} AS TIMESTAMP) AS {c} FROM variants)") for c in ("called_at", "loaded_at")]
+    + [_FLOAT_PROFILE.format("qual", "qual", "variants"), _FLOAT_PROFILE.format("x", "hds[]", "(SELECT unnest(hds) AS x FROM variants)")]
+    + [_SIZE_PROFILE.format(c) for c in (*_LISTS, "hds")]
+    + [_PLAIN_PROFILE.format("x", f"{c}[]", f"(SELECT unnest({c}) AS x FROM variants)") for c in _LISTS]
+    + [
+        "SELECT 'info', " + _WHOLE.format("info") + ", 0, 0, count(DISTINCT list_sort(map_entries(info))), CAST(min(cardinality(info)) AS VARCHAR), CAST(max(cardinality(info)) AS VARCHAR) FROM variants",
+        r"""SELECT 'info.' || k, (SELECT count(*) FROM variants), (SELECT count(*) FROM variants) - sum(CASE WHEN v IS NOT NULL THEN n ELSE 0 END), sum(CASE WHEN isnan(x) THEN n ELSE 0 END), sum(CASE WHEN isinf(x) THEN n ELSE 0 END), count(v),
+  CASE WHEN bool_and(v IS NULL OR v = '.' OR x IS NOT NULL) AND count(x) > 0 THEN first(v ORDER BY x, coalesce(TRY_CAST(v AS DECIMAL(38, 0)), 0), v) FILTER (WHERE isfinite(x)) ELSE min(v) END,
+  CASE WHEN bool_and(v IS NULL OR v = '.' OR x IS NOT NULL) AND count(x) > 0 THEN first(v ORDER BY x DESC, coalesce(TRY_CAST(v AS DECIMAL(38, 0)), 0) DESC, v DESC) FILTER (WHERE isfinite(x)) ELSE max(v) END
+FROM (SELECT k, v, count(*) AS n, CASE WHEN regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') OR lower(v) IN ('nan', 'inf', '+inf', '-inf', 'infinity', '-infinity') THEN TRY_CAST(v AS DOUBLE) END AS x
+  FROM (SELECT unnest(map_keys(info)) AS k, unnest(map_values(info)) AS v FROM variants) GROUP BY k, v) GROUP BY k""".replace("\\\\", "\\"),
+    ]
+)
+
 SQL = {
     "p1_found": f"""
 WITH {_DECL},
@@ -264,6 +287,7 @@ UNION ALL SELECT DISTINCT file_id, 'INFO', k, 'undeclared' FROM (SELECT file_id,
 UNION ALL SELECT 'row', row_idx, 'gt' FROM checked WHERE bad_gt UNION ALL SELECT 'load', load_id, field FROM loads l JOIN load_baseline b USING (field)
 WHERE abs(l.null_rate - b.null_rate) > 0.1 OR abs(l.mean_value - b.mean_value) > 0.25 * abs(b.mean_value)""",
     "p3_loads": _CHECKED + "SELECT load_id, field, round(null_rate, 6) AS null_rate, round(mean_value, 4) AS mean_value FROM loads",
+    "p3_profile": f'SELECT "column", n_rows, CAST(n_null AS BIGINT) AS n_null, CAST(n_nan AS BIGINT) AS n_nan, CAST(n_infinite AS BIGINT) AS n_infinite, n_distinct, least, greatest FROM ({_PROFILE})',
     "p3_masks": _MASKS + 'SELECT "column", mask, n FROM m',
     "p3_rare": _MINED.format(">="),
     "p3_dominant": _MINED.format("<"),

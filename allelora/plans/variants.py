@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from allelora.functions import arrays as A
@@ -504,6 +505,27 @@ def merge_outer(spark, d):
     return merge.merge_sites(side("panel_a"), side("panel_b"), 16, 16)
 
 
+_FILE = "(SELECT chrom, pos, ref, alts, gt, qual, row_number() OVER (PARTITION BY chrom, pos, ref, alts ORDER BY site_id, qual NULLS FIRST, gt) AS nth FROM {0})"
+_JOINED = "{0}.chrom IS NOT DISTINCT FROM {1}.chrom AND {0}.pos IS NOT DISTINCT FROM {1}.pos AND {0}.ref IS NOT DISTINCT FROM {1}.ref AND {0}.alts IS NOT DISTINCT FROM {1}.alts AND {0}.nth = {1}.nth"
+_THREE = f"""WITH a AS {_FILE.format('panel_a')}, b AS {_FILE.format('panel_b')}, z AS (SELECT [0 FOR x IN range(16)] AS zero),
+ab AS (SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, coalesce(a.ref, b.ref) AS ref, coalesce(a.alts, b.alts) AS alts, a.nth IS NOT NULL AS in_a, b.nth IS NOT NULL AS in_b, a.gt AS ga, b.gt AS gb
+  FROM a FULL JOIN b ON {_JOINED.format('a', 'b')}),
+m AS (SELECT chrom, pos, ref, alts, coalesce(ga, zero) || coalesce(gb, zero) || coalesce(ga, zero) AS gt, CASE WHEN in_a THEN 'third' ELSE 'second' END AS src FROM ab, z)
+SELECT chrom, pos, ref, alts, gt, src, CAST(len(gt) AS VARCHAR) AS an, nullif(array_to_string(list_transform(alts, lambda a, i: len(list_filter(gt, lambda x: x = i))), ','), '') AS ac FROM m"""
+
+
+@query(_THREE)
+def merge_three(spark, d):
+    """Three files in one merge: info of the last one that has the site, counts recomputed."""
+    def file(name, src):
+        rows = table(spark, d, name).select("site_id", "chrom", "pos", "ref", "alts", "gt", "qual")
+        ranked = rows.withColumn("row_idx", F.row_number().over(W.partitionBy("chrom", "pos", "ref", "alts").orderBy("site_id", F.col("qual").asc_nulls_first(), "gt")))
+        return ranked.withColumn("info", F.map_from_arrays(F.array(F.lit("SRC")), F.array(F.lit(src))))
+
+    done = merge.merge_files([file("panel_a", "first"), file("panel_b", "second"), file("panel_a", "third")], [16, 16, 16])
+    return done.select("chrom", "pos", "ref", "alts", "gt", F.col("info")["SRC"].alias("src"), F.col("info")["AN"].alias("an"), F.col("info")["AC"].alias("ac"))
+
+
 def _members(spark, d):
     """Groups of variants: every site of the table, by position, written as lines of a group file."""
     sites = table(spark, d, "variants").where(F.size("alts") > 0).select(F.concat(F.lit("g"), F.col("pos") % 10, F.lit("\t"), "chrom", F.lit(":"), "pos", F.lit("_"), "ref", F.lit("/"), F.get("alts", F.lit(0))).alias("line"))

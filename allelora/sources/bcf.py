@@ -9,6 +9,7 @@ import gzip
 import io
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ MAGIC = b"BCF\x02\x02"
 EOV, MISSING = -2147483647, -1
 SCHEMA = (
     "file string, row_idx bigint, chrom string, pos int, id string, ref string, alts array<string>, qual float, filters array<string>, "
-    "info map<string,string>, gt array<int>, ph array<int>"
+    "info map<string,string>, format array<string>, gt array<int>, ph array<int>, undeclared map<string,array<string>>"
 )
 _INTS = {1: (np.dtype("<i1"), -128), 2: (np.dtype("<i2"), -32768), 3: (np.dtype("<i4"), -2147483648)}
 _MISSING_FLOAT, _END_FLOAT = 0x7F800001, 0x7F800002
@@ -87,7 +88,7 @@ def record(shared: bytes, indiv: bytes, header: Header) -> tuple:
     """A record's fields in the order of SCHEMA, from chrom on."""
     chrom, pos, _, qual_bits, counts, sizes = struct.unpack_from("<iiiIII", shared)
     qual = None if qual_bits == _MISSING_FLOAT else struct.unpack_from("<f", shared, 12)[0]
-    name, at = _values(shared, 24)
+    names, at = _values(shared, 24)
     alleles = []
     for _ in range(counts >> 16):
         allele, at = _values(shared, at)
@@ -99,15 +100,33 @@ def record(shared: bytes, indiv: bytes, header: Header) -> tuple:
         value, at = _values(shared, at)
         info.setdefault(header.strings[key], _text(value))
     gt = ph = None
+    keys, texts = [], {}
     n_samples, at = sizes & 0xFFFFFF, 0
     for _ in range(sizes >> 24):
         (key,), at = _values(indiv, at)
         kind, per, at = _typed(indiv, at)
         width = _INTS[kind][0].itemsize if kind in _INTS else 4 if kind == 5 else 1
-        if header.strings[key] == "GT" and kind in _INTS:
+        name = header.strings[key]
+        keys.append(name)
+        if name == "GT" and kind in _INTS:
             gt, ph = _genotypes(indiv, kind, per, n_samples, at)
+        else:
+            texts[name] = _sample_texts(indiv, kind, per, n_samples, at)
         at += width * per * n_samples
-    return header.contigs[chrom], pos + 1, (name or ["."])[0] or ".", alleles[0] if alleles else None, alleles[1:], qual, [header.strings[f] for f in filters], info, gt, ph
+    return header.contigs[chrom], pos + 1, (names or ["."])[0] or ".", alleles[0] if alleles else None, alleles[1:], qual, [header.strings[f] for f in filters], info, keys, gt, ph, texts or None
+
+
+def _sample_texts(data: bytes, kind: int, per: int, n: int, at: int) -> list[str]:
+    """Each sample's text of a field, as VCF has it."""
+    if kind == 7:
+        return [data[at + i * per : at + (i + 1) * per].decode("utf-8", "replace").rstrip("\0") or "." for i in range(n)]
+    if kind == 5:
+        bits = np.frombuffer(data, "<u4", per * n, at).reshape(n, per).tolist()
+        values = np.frombuffer(data, "<f4", per * n, at).reshape(n, per).tolist()
+        return [_text([None if b == _MISSING_FLOAT else float(v) for b, v in zip(bs, vs) if b != _END_FLOAT]) for bs, vs in zip(bits, values)]
+    dtype, low = _INTS[kind]
+    raw = np.frombuffer(data, dtype, per * n, at).astype(np.int64).reshape(n, per).tolist()
+    return [_text([None if v == low else v for v in row if v != low + 1]) for row in raw]
 
 
 def _exact(stream: io.BufferedIOBase, n: int) -> bytes:
@@ -132,7 +151,7 @@ def decode(data: bytes) -> Iterator[tuple]:
 
 def read(spark: SparkSession, path: str, batch: int = 2000) -> DataFrame:
     """Records of BCF files, with file and row_idx (from 0 in each file)."""
-    names = [c.split()[0] for c in re.split(r",\s+", SCHEMA)]
+    names = [c.split()[0] for c in re.split(r",\s+", SCHEMA)]  # no comma with a blank stands within a type
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -214,4 +233,16 @@ def encode(text: str, rows: list[dict], ploidy: int = 2) -> bytes:
         fixed = struct.pack("<iii", contigs[r["chrom"]], r["pos"] - 1, rlen) + qual + struct.pack("<II", len(alleles) << 16 | len(info), (1 if indiv else 0) << 24 | len(header.samples))
         shared = fixed + b"".join(body)
         out += [struct.pack("<II", len(shared), len(indiv)), shared, indiv]
-    return gzip.compress(b"".join(out))
+    return _blocks(b"".join(out))
+
+
+def _blocks(data: bytes, size: int = 65_280) -> bytes:
+    """``data`` as gzip members of at most 64 KiB that tell their length, and the empty one that ends such a file, so that readers can find blocks."""
+    out = []
+    for at in [*range(0, len(data), size), None]:
+        piece = b"" if at is None else data[at : at + size]
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(piece) + packer.flush()
+        head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+        out.append(head + body + struct.pack("<II", zlib.crc32(piece), len(piece)))
+    return b"".join(out)

@@ -157,6 +157,13 @@ def _typed(texts: Column, kind: str) -> Column:
     return let(lists, lambda x: let(most(x), lambda n: padded(x, n)))
 
 
+def with_formats(df: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """Records whose ``undeclared`` holds all fields' texts, with the columns of ``formats`` taken out of it, typed."""
+    out = df.withColumns({column_of(name): _typed(F.col("undeclared")[name], kind) for name, kind in formats.items()})
+    rest = F.map_filter("undeclared", lambda k, _: ~k.isin(*formats)) if formats else F.col("undeclared")
+    return out.withColumn("undeclared", F.when(F.size(rest) > 0, rest))
+
+
 def gt_texts(gt: Column, ph: Column, ploidy: int | Column = 2, phasing: str = "partial") -> Column:
     """GT cells of a record: ``|`` everywhere if the file is phased, ``/`` if not, else by the phase bits; end-of-vector elements left out."""
     n = F.lit(ploidy) if isinstance(ploidy, int) else ploidy

@@ -65,6 +65,30 @@ def test_ingest_and_replay(spark, headers):
         drift.ingest(sites.withColumn("dp", F.lit(1)), names, {"DP": "bigint"})
 
 
+def test_undeclared_fields_are_rescued(spark, headers):
+    rows = [(1, 7, {"DP": "5", "TD": "1"}), (2, 3, {"DP": "5", "AF": "bad", "TD": "x"}), (3, 3, None), (4, 99, {"DP": "1"}), (5, None, {"Q": "1"}), (6, 3, {"DP": None})]
+    sites = spark.createDataFrame(rows, "row_idx bigint, file_id bigint, info map<string,string>")
+    names = drift.consistent_names(headers)
+    for keys in (200_000, 0):
+        skew.join_shared.__defaults__, old = (keys, 1_000), skew.join_shared.__defaults__
+        table = drift.ingest(sites, names, {"DP": "bigint"}, declared_only=True)
+        assert {r["row_idx"]: r["DP"] for r in table.collect()} == {1: 5, 2: None, 3: None, 4: None, 5: None, 6: None}
+        got = {tuple(r) for r in drift.undeclared(table, headers).collect()}
+        skew.join_shared.__defaults__ = old
+        assert got == {(7, "INFO", "TD", "undeclared"), (3, "INFO", "DP", "undeclared"), (99, "INFO", "DP", "undeclared"), (None, "INFO", "Q", "undeclared")}
+
+
+def test_join_shared(spark):
+    """A hot key, keys without a map and null keys, joined by broadcast and by shuffle alike; other columns of clashing names stay."""
+    rows = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("n"), F.lit("x").alias("value"))
+    maps = spark.createDataFrame([(7, {"a": "1"}), (8, {"a": "1"}), (10, {"b": "2", "a": "1"}), (999, {})], "k bigint, m map<string,string>")
+    expected = sorted((r["n"], {7: "1", 8: "1", 10: "1"}.get(r["k"])) for r in rows.collect())
+    for keys in (100, 1):
+        got = skew.join_shared(rows, maps, "k", "m", max_keys=keys)
+        assert got.columns == ["k", "n", "value", "m"] and sorted((r["n"], r["m"] and r["m"]["a"]) for r in got.collect()) == expected
+        assert skew.join_shared(rows.limit(0), maps.limit(0), "k", "m", max_keys=keys).count() == 0
+
+
 def test_two_names_of_one_field(spark):
     h = spark.createDataFrame(decl(1, '<ID=A,Number=1,Type=Integer,Description="d">', '<ID=B,Number=1,Type=Integer,Description="D!">'), HEADERS)
     sites = spark.createDataFrame([(1, 1, {"B": "2", "A": "1"})], "row_idx bigint, file_id bigint, info map<string,string>")
@@ -157,6 +181,18 @@ def test_profile_and_divergence(spark):
     assert {(r["column"], r["mask"]): r["n"] for r in profile.mask_counts(df.drop("load")).collect()} == {("s", "a9"): 2, ("s", "9"): 1, ("m.x", "9"): 1, ("m.x", "a"): 1, ("a", "9"): 2}
 
 
+def test_violations_in_columns_of_any_size(spark):
+    """Masks beyond those that cover most of a column, in a small column and beside several dominant ones."""
+    rows = [("a1",)] * 12 + [("2b",)] * 7 + [("?",)]
+    df = spark.createDataFrame(rows, "s string").withColumn("t", F.when(F.col("s") == "?", 1.5)).withColumn("b", F.lit(None).cast("array<float>"))
+    assert {tuple(r) for r in profile.dominant_masks(df).collect()} == {("s", "a9", 12, 20), ("s", "9a", 7, 20), ("t", "9.9", 1, 1)}
+    assert {tuple(r) for r in profile.rare_masks(df).collect()} == {("s", "?", 1, 20)}
+    assert profile.rare_masks(df.limit(0)).count() == 0 and profile.dominant_masks(df.limit(0)).count() == 0
+    wide = spark.createDataFrame([(1, [1.5, float("nan"), None], ["x", None], [3, -1, None], True)], "n int, f array<float>, s array<string>, i array<int>, b boolean")
+    got = {(r["column"], r["mask"]): r["n"] for r in profile.mask_counts(wide).collect()}
+    assert got == {("n", "9"): 1, ("f", "9.9"): 1, ("f", "a"): 1, ("s", "a"): 1, ("i", "9"): 1, ("i", "-9"): 1, ("b", "ae"): 1}
+
+
 LINES = "line_id bigint, file_no bigint, line_no int, line string, width int"
 
 
@@ -179,6 +215,10 @@ def test_bad_rows(spark):
     assert set(sites) == {i + 1 for i, (_, reason) in enumerate(cases) if not reason}
     assert sites[1]["gt"] == [0, 1, 2, -1] and sites[3]["gt"][:2] == [1, badrows.EOV] and sites[4]["info"] == {"A": '"x;\\"y"'}
     assert sites[len(cases)]["alts"] == []
+    assert sites[1]["ph"] == [1, 0] and sites[1]["gq"] is None and sites[1]["dp"] is None and sites[1]["qual"] is None and sites[1]["filters"] == []
+    more = "c\t5\t.\tA\tC\t7.5\tq;r\tX=1;X=2;F\tGT:DP:GQ\t0|1:12:.\t1:x"
+    row = badrows.vcf_sites(badrows.split(badrows.vcf_rows(spark.createDataFrame([(0, 1, 1, head, 9), (1, 1, 2, more, 9)], LINES)), badrows.vcf_rules())[0]).first()
+    assert (row["dp"], row["gq"], row["qual"], row["filters"], row["info"]) == ([12, None], [None, None], 7.5, ["q", "r"], {"X": "1", "F": "."})
     valid, failed = badrows.split(badrows.vcf_rows(df.limit(0)), badrows.vcf_rules())
     assert valid.count() == 0 and failed.count() == 0
 

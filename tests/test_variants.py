@@ -64,6 +64,19 @@ def test_join_regions(spark, sites):
     assert sorted((x["o"], x["row_idx"]) for x in regions.join_regions(sites, r, bin_size=64).collect()) == [(0, 2), (0, 4), (1, 0)]
 
 
+@pytest.mark.parametrize("bins", [16, 1 << 16])
+def test_join_regions_by_all_points(spark, sites, bins):
+    listed = [Region("c1", 119, 120), Region("c2", 151, 152), Region("c2", 1, 153), Region("c2", 100, 1000), Region("zz", 5, 7), Region("c9", 1, 5)]
+    table = spark.createDataFrame([(i, r.chrom, r.start, r.end) for i, r in enumerate(listed)], "region_ord int, chrom string, start bigint, end bigint")
+    for how in ("beg", "any", "all", "end"):
+        expected = sorted((r["region_ord"], r["row_idx"]) for r in regions.in_regions(sites, listed, how).collect())
+        got = regions.join_regions(sites, table, how, bin_size=bins)
+        assert sorted((r["region_ord"], r["row_idx"]) for r in got.collect()) == expected
+    assert regions.join_regions(sites, table.limit(0), "any").count() == 0 and regions.join_regions(sites.limit(0), table, "any").count() == 0
+    with pytest.raises(ValueError):
+        regions.join_regions(sites, table, "middle")
+
+
 @pytest.mark.parametrize(
     "text,expected",
     [
@@ -86,13 +99,17 @@ def test_join_regions(spark, sites):
         ("(AC==3)&DP==20", []),
         ("AC==3) & DP==20", [4]),  # what follows a parenthesis too many is ignored
         ("POS>1", []),  # not addressable
+        ("((DP==20)&(AF==0.5))|(AC==3)", [0, 4]),
+        ("(DP==20", [0]),  # a bracket left open
+        ("DP==20|AC==3&AF==9", [0]),  # a | (b & c)
+        ("PASS==\"PASS\" & 'x'!='y'", [4]),
     ],
 )
 def test_filters(sites, text, expected):
     assert ids(sites.where(compile_filter(text))) == expected
 
 
-@pytest.mark.parametrize("text", ["DP", "DP=5", "DP>", "DP>5&", "'x>5", "DP>'5", "DP=>5", "(DP>5) x", ">5"])
+@pytest.mark.parametrize("text", ["DP", "DP=5", "DP>", "DP>5&", "'x>5", "DP>'5", "DP=>5", "(DP>5) x", ">5", "()", "AA=='x' y", "(DP>5)(AC>1)"])
 def test_bad_filters(text):
     with pytest.raises(FilterError):
         compile_filter(text)
@@ -176,6 +193,35 @@ def test_regressions(spark):
     assert np.allclose([other["beta"], other["se"]], [got["beta"], got["se"]])
 
 
+def test_sparse_regression_with_missing_dosages(spark):
+    from allelora.functions.arrays import to_sparse
+
+    df = spark.createDataFrame([([0.0, None, 2.0, 1.0, 0.0, None],), ([None] * 6,), (None,), ([1.0] * 6,)], "x array<double>")
+    y = {0: 1.0, 1: 5.0, 2: 4.0, 3: 2.0, 5: 7.0}
+    dense = [r["m"] for r in df.select(assoc.moments(F.col("x"), y).alias("m")).collect()]
+    sparse = [r["m"] for r in df.select(assoc.sparse_moments(to_sparse(F.col("x")), y).alias("m")).collect()]
+    for a, b in zip(dense, sparse):
+        assert (a is None) == (b is None) and (a is None or np.allclose([a[k] for k in a.asDict()], [b[k] for k in a.asDict()]))
+
+
+def test_whole_association_run(spark):
+    rng = np.random.default_rng(8)
+    hds = rng.random((3, 20)).round(2)
+    y, c = rng.normal(size=10), rng.normal(size=10)
+    info = [{"AC": "3,1", "AN": "20"}, {"AF": "0.9"}, None]
+    df = spark.createDataFrame([(i, "c", i, info[i], h.tolist(), [0] * 20) for i, h in enumerate(hds)] + [(9, "c", 9, {"AC": "5", "AN": "20"}, None, None)], "row_idx bigint, chrom string, pos int, info map<string,string>, hds array<float>, gt array<int>")
+    responses, covariates = dict(enumerate(y.tolist())), {i: [v] for i, v in enumerate(c.tolist())}
+    got = {r["row_idx"]: r for r in assoc.associate_sites(df, responses, covariates, n_samples=10, min_mac=0.5).collect()}
+    left = assoc.residuals(y, c[:, None])
+    assert set(got) == {0, 1, 2}
+    for i in range(3):
+        assert np.isclose(got[i]["beta"], np.polyfit(hds[i].reshape(10, 2).sum(axis=1), left, 1)[0], atol=1e-6)
+    assert (got[0]["mac"], got[0]["maf"]) == (3, 0.15) and np.isclose(got[1]["mac"], 2) and np.isclose(got[1]["maf"], 0.1)
+    assert assoc.associate_sites(df, responses, field="gt", n_samples=10).where("row_idx < 2").select("beta").distinct().collect()[0][0] is None
+    with pytest.raises(ValueError):
+        assoc.associate_sites(df.drop("hds", "gt"), responses, n_samples=10)
+
+
 def test_residuals():
     rng = np.random.default_rng(5)
     c = rng.normal(size=(40, 2))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,36 @@ def test_regions_file(spark, wide, tmp_path):
     assert counted == {"beg": 4, "any": 4, "all": 4, "end": 4}
 
 
+def test_command_line(spark, tmp_path):
+    from allelora.__main__ import run
+
+    (tmp_path / "a.vcf").write_text(TEXT)
+    path, out = str(tmp_path / "a.vcf"), lambda name: str(tmp_path / name)
+    say = lambda *argv: list(run(spark, list(argv)))
+    assert say("head", "-i", path) == ["S1", "S2", "S3"] and say("head", path)[1] == "phasing\tpartial" and say("head", "-O", "vcf", path)[0] == "##fileformat=VCFv4.2"
+    assert say("stat", path) == ["n_records\tn_variants\tn_multi", "3\t4\t1"]
+    assert say("stat", "-f", "DP>1", "--per-sample", path)[2:] == ["id\tn_het\tn_hom\tn_snp\tn_indel\tn_syn\tn_nonsyn", "S1\t1\t0\t1\t0\t0\t0", "S2\t0\t1\t3\t0\t0\t0", "S3\t0\t0\t0\t0\t0\t0"]
+    assert say("stat-index", path)[1:] == ["c1\t1\t2\t20\t30", "c2\t1\t1\t25\t26"]
+    assert say("export", "-i", "S2,S1", "-r", "c1", "--generate-info", "AC,AN", "--phasing", "none", path, out("e")) == []
+    got = Dataset.read(spark, out("e"))
+    rows = rows_of(got)
+    assert got.samples == ("S1", "S2") and got.phasing == "none" and [r["info"]["AN"] for r in rows] == ["4", "4"] and rows[0]["gt"] == [0, 1, 1, 2] and rows[0]["ph"] == [0, 0]
+    assert got.head().where("value LIKE '<ID=AN,%'").count() == 1 and got.head().first()["key"] == "fileformat"
+    say("import", "-c", "1:3", "-m", "DP", path, out("p"))
+    assert Dataset.read(spark, out("p")).variants.count() == 2
+    with pytest.raises(ValueError):
+        say("export", "-c", "1:3", "-r", "c1", path, out("x"))
+    say("sort", "-d", "desc", path, out("s"))
+    assert [r["pos"] for r in rows_of(Dataset.read(spark, out("s")))] == [30, 20, 25]
+    say("concat", path, path, out("c"))
+    assert [r["pos"] for r in rows_of(Dataset.read(spark, out("c")))] == [20, 30, 25, 20, 30, 25]
+    (tmp_path / "ids").write_text("x\ny\nz\n")
+    say("rehead", "-I", out("ids"), path, out("h"))
+    assert Dataset.read(spark, out("h")).samples == ("x", "y", "z")
+    (tmp_path / "t.tsv").write_text("id\tn\nS1\t3\nS2\t4\n")
+    assert say("stat-merge", out("t.tsv"), out("t.tsv")) == ["id\tn", "S1\t6", "S2\t8"]
+
+
 def test_sniffing(spark, tmp_path):
     import gzip
 
@@ -215,6 +246,11 @@ def test_bcf_round_trip(spark, data, tmp_path):
     for a, b in zip(got, rows):
         assert all(a[k] == b[k] for k in ("chrom", "pos", "id", "ref", "alts", "qual", "filters", "info", "gt", "ph"))
     assert len(got) == 3
+    whole_set = Dataset.read(spark, str(tmp_path / "a.bcf"))
+    assert whole_set.samples == ("S1", "S2", "S3") and whole_set.variants.count() == 3
+    assert bcf._sample_texts(np.array([5, -128, 7, -127], "i1").tobytes(), 1, 2, 2, 0) == ["5,.", "7"]
+    assert bcf._sample_texts(b"abc\0\0\0", 7, 3, 2, 0) == ["abc", "."]
+    assert bcf._sample_texts(np.array([1.5], "<f4").tobytes() + np.array([0x7F800001], "<u4").tobytes(), 5, 1, 2, 0) == ["1.5", "."]
     whole = bcf.encode(text, rows)
     import gzip
 
