@@ -38,7 +38,7 @@ def pair_set(c: Column) -> Column:
         F.split(c, PAIR_ENDS),
         lambda p: F.concat(plain(F.substring_index(p, "=", 1)), F.when(p.contains("="), F.concat(F.lit("="), value(F.substring(p, F.instr(p, "=") + 1, F.length(p))))).otherwise("")),
     )
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(pairs, lambda p: p != ""))), ";")
+    return F.array_join(F.sort_array(F.array_distinct(F.filter(pairs, lambda p: p != ""))), ";")
 
 
 FORMS = {"plain": plain, "alleles": alleles, "pairs": pair_set}

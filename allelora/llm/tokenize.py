@@ -287,7 +287,7 @@ def encode(
     folded = let(chars, lambda c: F.array_join(F.transform(fold_merges(F.col("word"), vocab), lambda i: F.get(c, i)), ""))
     # Each word is in one row of ``words``, so its hash table has no skew.
     words = spots.groupBy("word").agg(F.lit(0).alias("one")).select("word", folded.alias("word_ids")).hint("shuffle_hash")
-    found = spots.join(words, "word").groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word_ids"))), lambda x: x["word_ids"]).alias("__found"))
+    found = spots.join(words, "word").groupBy("__id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word_ids"))), lambda x: x["word_ids"]).alias("__found"))
     # Known stretches and the rare words between them, in turn.
     set_in = F.array_join(F.zip_with(F.split("__coded", MARK), "__found", lambda s, w: F.concat(s, F.coalesce(w, F.lit("")))), "")
     whole = F.when(F.col("__found").isNull(), F.col("__coded")).otherwise(set_in)
