@@ -45,13 +45,12 @@ def merge_files(files: list[DataFrame], slots: list[int], mode: str = "compat")
         rows = part if rows is None else rows.unionByName(part)
     # A group has at most one row of each file.
     merged = rows.groupBy(*keys, "__nth").agg(F.collect_list("__own").alias("__files"))
-    vector = lambda i: F.coalesce(F.get(F.filter("__files", lambda f: f["file"] == i), F.lit(0))["gt"], F.array_repeat(F.lit(0), slots[i]))
+    own = lambda i: F.get(F.filter("__files", lambda f: f["file"] == i), F.lit(0))
     none = F.create_map().cast("map<string,string>")
     info = none
     for i in range(len(files)):
-        new = F.coalesce(F.get(F.filter("__files", lambda f, i=i: f["file"] == i), F.lit(0))["info"], none)
-        info = _overwritten(info, new)
-    sites = merged.select(*keys, info.alias("info"), F.concat(*(vector(i) for i in range(len(files)))).alias("gt"))
+        info = _overwritten(info, F.coalesce(own(i)["info"], none))
+    sites = merged.select(*keys, info.alias("info"), F.concat(*(F.coalesce(own(i)["gt"], F.array_repeat(F.lit(0), n)) for i, n in enumerate(slots))).alias("gt"))
     return update_info(sites, ("AC", "AN", "AF", "MAF"), mode)
 
 

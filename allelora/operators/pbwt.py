@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Elements of a block at most, so that one fits a worker however long vectors are.
+CELLS = 1 << 24
+
 
 def _walk(vectors: list, back: bool) -> list:
     orders: dict[int, np.ndarray] = {}
@@ -34,6 +37,8 @@ def _walk(vectors: list, back: bool) -> list:
 
 
 def _apply(df: DataFrame, field: str, block: int, back: bool) -> DataFrame:
+    longest = df.agg(F.max(F.size(field))).first()[0] or 1
+    block = max(1, min(block, CELLS // max(1, longest)))
     rows = df.select("row_idx", field, F.floor(F.col("row_idx") / block).alias("__block"))
     kind = df.schema[field].dataType.simpleString()
 

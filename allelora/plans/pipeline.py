@@ -241,9 +241,12 @@ saved AS (SELECT row_idx, '{{' || string_agg(to_json(k) || ':' || to_json(val),
 
 _WHOLE = "count(*) AS n_rows, count(*) - count({0}) AS n_null"
 _PLAIN_PROFILE = "SELECT '{1}' AS \"column\", " + _WHOLE + ", 0 AS n_nan, 0 AS n_infinite, count(DISTINCT {0}) AS n_distinct, CAST(min({0}) AS VARCHAR) AS least, CAST(max({0}) AS VARCHAR) AS greatest FROM {2}"
+#: A number as Java writes it: from 1e7 on, and below 1e-3, with an exponent.
+_JAVA = "CASE WHEN abs({0}) >= 1e7 OR (abs({0}) < 1e-3 AND {0} <> 0) THEN CAST(CAST({0} / power(10, floor(log10(abs({0})))) AS FLOAT) AS VARCHAR) || 'E' || CAST(CAST(floor(log10(abs({0}))) AS INTEGER) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
 _FLOAT_PROFILE = (
-    "SELECT '{1}', " + _WHOLE + ", count(*) FILTER (WHERE isnan({0})), count(*) FILTER (WHERE isinf({0})), count(DISTINCT {0}), CAST(min({0}) FILTER (WHERE isfinite({0})) AS VARCHAR), CAST(max({0}) FILTER (WHERE isfinite({0})) AS VARCHAR) FROM {2}"
-)
+    "SELECT '{1}', n_rows, n_null, n_nan, n_infinite, n_distinct, " + _JAVA.format("low") + ", " + _JAVA.format("high")
+    + " FROM (SELECT " + _WHOLE + ", count(*) FILTER (WHERE isnan({0})) AS n_nan, count(*) FILTER (WHERE isinf({0})) AS n_infinite, count(DISTINCT {0}) AS n_distinct, min({0}) FILTER (WHERE isfinite({0})) AS low, max({0}) FILTER (WHERE isfinite({0})) AS high FROM {2})"
+)
 _SIZE_PROFILE = "SELECT '{0}', " + _WHOLE + ", 0, 0, count(DISTINCT {0}), CAST(min(len({0})) AS VARCHAR), CAST(max(len({0})) AS VARCHAR) FROM variants"
 _LISTS = ("alts", "filters", "gt", "ph", "gq", "dp")
 _PROFILE = " UNION ALL ".join(

@@ -511,7 +511,7 @@ _THREE = f"""WITH a AS {_FILE.format('panel_a')}, b AS {_FILE.format('panel_b')}
 ab AS (SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, coalesce(a.ref, b.ref) AS ref, coalesce(a.alts, b.alts) AS alts, a.nth IS NOT NULL AS in_a, b.nth IS NOT NULL AS in_b, a.gt AS ga, b.gt AS gb
   FROM a FULL JOIN b ON {_JOINED.format('a', 'b')}),
 m AS (SELECT chrom, pos, ref, alts, coalesce(ga, zero) || coalesce(gb, zero) || coalesce(ga, zero) AS gt, CASE WHEN in_a THEN 'third' ELSE 'second' END AS src FROM ab, z)
-SELECT chrom, pos, ref, alts, gt, src, CAST(len(gt) AS VARCHAR) AS an, nullif(array_to_string(list_transform(alts, lambda a, i: len(list_filter(gt, lambda x: x = i))), ','), '') AS ac FROM m"""
+SELECT chrom, pos, ref, alts, gt, src, CAST(len(list_filter(gt, lambda x: x >= 0)) AS VARCHAR) AS an, nullif(array_to_string(list_transform(alts, lambda a, i: len(list_filter(gt, lambda x: x = i))), ','), '') AS ac FROM m"""
 
 
 @query(_THREE)
@@ -522,7 +522,7 @@ def merge_three(spark, d):
         ranked = rows.withColumn("row_idx", F.row_number().over(W.partitionBy("chrom", "pos", "ref", "alts").orderBy("site_id", F.col("qual").asc_nulls_first(), "gt")))
         return ranked.withColumn("info", F.map_from_arrays(F.array(F.lit("SRC")), F.array(F.lit(src))))
 
-    done = merge.merge_files([file("panel_a", "first"), file("panel_b", "second"), file("panel_a", "third")], [16, 16, 16])
+    done = merge.merge_files([file("panel_a", "first"), file("panel_b", "second"), file("panel_a", "third")], [16, 16, 16], "strict")
     return done.select("chrom", "pos", "ref", "alts", "gt", F.col("info")["SRC"].alias("src"), F.col("info")["AN"].alias("an"), F.col("info")["AC"].alias("ac"))
 
 

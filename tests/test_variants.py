@@ -167,6 +167,22 @@ def test_split_and_merge(spark, sites):
     assert sorted((r["pos"], r["gt"]) for r in got.collect()) == [(1, [1, 0, 0, 0, 0]), (2, [1, 1, 0, 1, 1])]
 
 
+def test_merge_of_three_files(spark):
+    """The last file's info counts, sites that a file has twice meet in order, null keys and vectors are kept, counts are recomputed."""
+    cols = "row_idx bigint, chrom string, pos int, ref string, alts array<string>, info map<string,string>, gt array<int>, ac int"
+    a = spark.createDataFrame([(0, "c", 1, "A", ["C"], {"X": "a", "AN": "9"}, [1, 0], 7), (1, "c", 1, "A", ["C"], None, [1, 1], 7), (2, None, None, "A", None, {"X": "n"}, None, 7)], cols)
+    b = spark.createDataFrame([(0, "c", 1, "A", ["C"], {"X": "b", "Y": "1"}, [0, 1, 1], 7), (1, "c", 1, "A", ["C", "G"], {}, [2, 0, 0], 7)], cols)
+    got = sorted(((r["alts"], r["gt"], r["info"]) for r in merge.merge_files([a, b, a], [2, 3, 2]).collect()), key=str)
+    new = lambda ac, an, af, mac, maf: {"AC": ac, "AN": an, "AF": af, "MAF": maf}
+    assert got == sorted([
+        (["C"], [1, 0, 0, 1, 1, 1, 0], {"X": "a", "Y": "1", **new("4", "7", "0.571429", 4, "0.571429")}),
+        (["C"], [1, 1, 0, 0, 0, 1, 1], new("4", "7", "0.571429", 4, "0.571429")),
+        (["C", "G"], [0, 0, 2, 0, 0, 0, 0], new("0,1", "7", "0,0.142857", 0, "0")),
+        (None, [0] * 7, {"X": "n", "AN": "7"}),
+    ], key=str)
+    assert merge.merge_files([a.limit(0), b.limit(0)], [2, 3]).count() == 0
+
+
 def test_groups(spark, sites):
     lines = spark.createDataFrame([("g1\tc2:150_AAAA/G\tc2:100_A/C\tbad",), ("g2\tc2:150_AAAA/T",), ("g3",)], "line string")
     found = merge.group_sites(sites, merge.group_members(lines))
