@@ -189,9 +189,21 @@ def _exchanged(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 def paired(a: DataFrame, b: DataFrame, key: str, fields: list[str], block: int = 200) -> DataFrame:
     """(key, a, b, copies, in_a, in_b): leftover rows of both copies, paired within each key at minimum cost.
 
-    ``fields`` must be of orderable types (no maps). ``a`` and ``b`` are structs of ``fields``; one of them is null for a row without a partner. Equal rows of both
+    ``fields`` must be of orderable types (no maps), of any names. ``a`` and ``b`` are structs of ``fields``; one of them is null for a row without a partner. Equal rows of both
     copies don't appear. A null key pairs with null keys. Other columns of the two tables are ignored.
     """
+    rows = _paired(*_plain(a, b, key, fields), block)
+    named = lambda side: F.when(F.col(side).isNotNull(), F.struct(*(F.col(f"{side}.f{i}").alias(f) for i, f in enumerate(fields)))).alias(side)
+    return rows.select(F.col("__id").alias(key), named("a"), named("b"), "copies", "in_a", "in_b")
+
+
+def _plain(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame, str, list[str]]:
+    """Both tables with columns of names that clash with none here, and these names."""
+    one = lambda df: df.select(F.col(key).alias("__id"), *(F.col(f).alias(f"f{i}") for i, f in enumerate(fields)))
+    return one(a), one(b), "__id", [f"f{i}" for i in range(len(fields))]
+
+
+def _paired(a: DataFrame, b: DataFrame, key: str, fields: list[str], block: int) -> DataFrame:
     rest = cut(leftovers(a, b, key, fields))
     keys = rest.groupBy(key).agg(
         F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"), F.sum(F.when(F.col("n_a") > 0, 1).otherwise(0)).alias("rows_a"), F.sum(F.when(F.col("n_b") > 0, 1).otherwise(0)).alias("rows_b")
@@ -257,12 +269,15 @@ def differences(a: DataFrame, b: DataFrame, key: str, fields: list[str], block:
     """(key, field, copies): ``missing_in_b`` or ``missing_in_a`` once for a key in one copy only; each field in which paired
     rows differ, ``copies`` the number of pairs; ``extra_in_a`` or ``extra_in_b`` for rows without a partner, of a key in both.
     """
-    rows = paired(a, b, key, fields, block)
+    plain = _plain(a, b, key, fields)
+    rows = _paired(*plain, block)
+    names = F.array(*map(F.lit, fields))
     kinds = (
         F.when(~F.col("in_b"), F.array(F.lit("missing_in_b")))
         .when(~F.col("in_a"), F.array(F.lit("missing_in_a")))
         .when(F.col("b").isNull(), F.array(F.lit("extra_in_a")))
         .when(F.col("a").isNull(), F.array(F.lit("extra_in_b")))
-        .otherwise(_differing(fields))
+        .otherwise(F.transform(_differing(plain[3]), lambda f: F.get(names, F.substring(f, 2, 9).cast("int"))))
     )
-    return rows.select(key, F.explode(kinds).alias("field"), "copies").groupBy(key, "field").agg(F.sum("copies").alias("copies"))
+    counted = rows.select("__id", F.explode(kinds).alias("field"), "copies").groupBy("__id", "field").agg(F.sum("copies").alias("copies"))
+    return counted.select(F.col("__id").alias(key), "field", "copies")

@@ -19,9 +19,9 @@ from allelora.session import cut, written
 
 
 def range_partitioned(df: DataFrame, key: str, order: list[str], partitions: int | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``df`` in range partitions of (key, order...), sorted, with the partition's number ``part``, the row's number
-    ``at`` among the rows of its key in that partition, from 0, and for each of ``sums`` (bigint columns without
-    nulls) ``at_<name>``, its sum over the rows of its key before it in that partition.
+    """Rows of ``df`` in range partitions of (key, order...), sorted, with the partition's number ``__part``, the row's number
+    ``__at`` among the rows of its key in that partition, from 0, and for each of ``sums`` (bigint columns without
+    nulls) ``__at_<name>``, its sum over the rows of its key before it in that partition.
 
     The bounds are quantiles of a sample that Spark draws from the composite key, so a heavy key gets as many
     partitions as its share of rows. ``order`` should end with a unique column; else equal keys stay together.
@@ -30,8 +30,8 @@ def range_partitioned(df: DataFrame, key: str, order: list[str], partitions: int
     n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
     place, places = ranged.columns.index(key), [ranged.columns.index(s) for s in sums]
-    added = ["at", *(f"at_{s}" for s in sums)]
-    schema = ranged.select("*", F.lit(0).alias("part"), *(F.lit(0).cast("bigint").alias(a) for a in added)).schema
+    added = ["__at", *(f"__at_{s}" for s in sums)]
+    schema = ranged.select("*", F.lit(0).alias("__part"), *(F.lit(0).cast("bigint").alias(a) for a in added)).schema
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -58,14 +58,14 @@ def range_partitioned(df: DataFrame, key: str, order: list[str], partitions: int
             continues = len(keys) == 1 and not first and keys[0] == last
             carried = totals - np.array([b[start] for b in before]) + (carried if continues else 0)
             first, last = False, keys[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), *out], names=[*batch.schema.names, "part", *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), *out], names=[*batch.schema.names, "__part", *added])
 
     return cut(ranged.mapInArrow(number, schema))
 
 
 def states(ranged: DataFrame, key: str, **values: Column) -> DataFrame:
     """Partial states of the result of ``range_partitioned``: one row for each partition and key in it."""
-    return ranged.groupBy("part", key).agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in values.items()))
+    return ranged.groupBy("__part", key).agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in values.items()))
 
 
 def running(df: DataFrame, key: str, order: list[str], sums: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
@@ -78,12 +78,12 @@ def running(df: DataFrame, key: str, order: list[str], sums: tuple[str, ...] = (
     ranged = range_partitioned(df, key, order, partitions, sums)
     names = ["n", *(f"s_{s}" for s in sums)]
     parts = states(ranged, key, **{f"s_{s}": F.sum(s) for s in sums})
-    crossing = parts.groupBy(key).agg(F.collect_list(F.struct("part", *names)).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    crossing = parts.groupBy(key).agg(F.collect_list(F.struct(F.col("__part").alias("part"), *names)).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1")
     total = lambda x, name: F.aggregate(F.filter("s", lambda y: y["part"] < x["part"]), F.lit(0).cast("bigint"), lambda a, y: a + y[name]).alias(name)
     before = F.transform("s", lambda x: F.struct(x["part"].alias("part"), *(total(x, name) for name in names)))
     offsets = crossing.select(F.col(key).alias("__key"), F.explode(before).alias("__o"))
-    joined = ranged.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__o.part")), "left")
-    stitched = {"rank": F.col("at") + F.coalesce("__o.n", F.lit(0))} | {f"before_{s}": F.col(f"at_{s}") + F.coalesce(f"__o.s_{s}", F.lit(0)) for s in sums}
+    joined = ranged.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__o.part")), "left")
+    stitched = {"rank": F.col("__at") + F.coalesce("__o.n", F.lit(0))} | {f"before_{s}": F.col(f"__at_{s}") + F.coalesce(f"__o.s_{s}", F.lit(0)) for s in sums}
     return joined.withColumns(stitched).select(*df.columns, *stitched)
 
 

@@ -105,7 +105,7 @@ def test_running_splits_and_stitches(spark):
     rows = skewed()
     df = spark.createDataFrame(rows, "id bigint, k string, p int, w bigint").repartition(5).withColumn("part_of", F.lit(1))
     ranged = skew.range_partitioned(df, "k", ["p", "id"], 6)
-    assert ranged.where("k = 'hot'").select("part").distinct().count() >= 4
+    assert ranged.where("k = 'hot'").select("__part").distinct().count() >= 4
     got = {r["id"]: (r["rank"], r["before_w"]) for r in skew.running(df, "k", ["p", "id"], ("w",), 6).collect()}
     low = lambda x: (x is not None, x or 0)
     for key in (None, "a", "hot"):
@@ -223,6 +223,18 @@ def test_bad_rows(spark):
     assert valid.count() == 0 and failed.count() == 0
 
 
+def test_clashing_names(spark):
+    """Fields named like the operators' own columns, and a key named like an output column."""
+    cols = "copies int, x int, row int, hash string, k int, n_a int"
+    a = spark.createDataFrame([(1, 1, 1, "p", 1, 1), (2, 5, 5, "q", 5, 5), (3, 1, 1, "r", 1, 1)], cols)
+    b = spark.createDataFrame([(1, 2, 1, "p", 1, 3), (2, 5, 5, "q", 5, 5)], cols)
+    got = sorted(tuple(r) for r in diff.differences(a, b, "copies", ["x", "row", "hash", "k", "n_a"], block=0).collect())
+    assert got == [(1, "n_a", 1), (1, "x", 1), (3, "missing_in_b", 1)]
+    df = spark.createDataFrame([("u", 2, 7, 1), ("u", 1, 8, 1), (None, 3, 9, 1)], "part string, at int, n int, c int")
+    assert sorted((r["n"], r["rank"]) for r in skew.running(df, "part", ["at"], ("n",), 2).collect()) == [(7, 1), (8, 0), (9, 0)]
+    assert {r["part"]: r["sum_n"] for r in skew.key_summary(df, "part", ["at"], 2, sum_n=F.sum("n")).collect()} == {"u": 15, None: 9}
+
+
 def brute_cost(costs, supply, demand):
     rows, cols = np.repeat(np.arange(len(supply)), supply), np.repeat(np.arange(len(demand)), demand)
     c = costs[np.ix_(rows, cols)]
