@@ -75,6 +75,11 @@ def test_encoding(spark, tokenizer, hot):
     assert got == {i: None if t is None else tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
 
 
+def test_encoding_does_not_depend_on_the_sample(spark, tokenizer):
+    got = {r["doc_id"]: r["ids"] for r in tokenize.encode(docs(spark, TEXTS), min_hot=1, sample_texts=4).collect()}
+    assert got == {i: None if t is None else tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
+
+
 def test_long_words(spark, tokenizer):
     """Words folded in pieces, among them such whose pieces have no token in common."""
     rnd = random.Random(4)
