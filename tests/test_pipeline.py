@@ -83,8 +83,8 @@ def test_join_shared(spark):
     rows = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("n"), F.lit("x").alias("value"))
     maps = spark.createDataFrame([(7, {"a": "1"}), (8, {"a": "1"}), (10, {"b": "2", "a": "1"}), (999, {})], "k bigint, m map<string,string>")
     expected = sorted((r["n"], {7: "1", 8: "1", 10: "1"}.get(r["k"])) for r in rows.collect())
-    for keys in (100, 1):
-        got = skew.join_shared(rows, maps, "k", "m", max_keys=keys)
+    for keys, values in ((100, 100), (1, 100), (100, 1)):
+        got = skew.join_shared(rows, maps, "k", "m", max_keys=keys, max_values=values)
         assert got.columns == ["k", "n", "value", "m"] and sorted((r["n"], r["m"] and r["m"]["a"]) for r in got.collect()) == expected
         assert skew.join_shared(rows.limit(0), maps.limit(0), "k", "m", max_keys=keys).count() == 0
 
