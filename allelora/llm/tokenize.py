@@ -4,12 +4,14 @@ Plan
 ----
 1. The words of a bounded sample of texts are counted; those seen several times, at most ``hot_words``, are folded and go
    into a literal word map of bounded size. The sample changes the plan only, not the result.
-2. Each text is cut into words once, by the tokenizer's pattern, and encoded in place as far as the word map goes. Until the end its
-   ids are one string, each id the character of that code, with a mark in place of each rare word; strings are shuffled and
-   written several times more cheaply than arrays. They and the rare words are written to the shared folder.
+2. Each text is cut into words once, by the tokenizer's pattern, words of letters also before capitals where no token of the
+   vocabulary can lie across (``pieces``), so that fewer and shorter ones are left to fold, and encoded in place as far as the word
+   map goes. Until the end its ids are one string, each id the character of that code, with each rare word between two marks; strings
+   are shuffled and written several times more cheaply than arrays. The strings are written to the shared folder. Arrays of words
+   don't leave the expression that makes them, as a column of them is a copy of each word.
 3. Each distinct rare word is folded once: its bytes become an array of token ids, and a fold merges the
    adjacent pair of lowest rank until no pair has a rank. Ranks come from a literal rank map, hashed into buckets.
-4. The rare words' ids are joined back by word, gathered by text, and set in at the marks. A word frequent enough to be a hot key is in the
+4. The rare words' ids are joined back by word, gathered by text, and set in between the marks. A word frequent enough to be a hot key is in the
    word map, so it isn't joined.
 
 Defined results: a null text gives null ids; an empty text gives an empty array.
@@ -19,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
@@ -31,9 +35,10 @@ from allelora.session import cut, written
 
 #: Unicode White_Space, the class that ``\s`` means in the tokenizers' regex engines (fixed values).
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: The published pre-tokenization pattern of the vocabulary, for Java's regex engine (fixed values).
+#: The published pre-tokenization pattern of the vocabulary, for Java's regex engine (fixed values), and its part for letters.
+LETTERS = r"\p{L}++"
 WORDS = (
-    r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^" + SPACE + r"\p{L}\p{N}]++"
+    r"'(?:[stmd]|re|ve|ll)| ?" + LETTERS + r"| ?\p{N}++| ?[^" + SPACE + r"\p{L}\p{N}]++"
     r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+"
 )
 PAIR = 1 << 16
@@ -51,8 +56,11 @@ LONG = 512
 PIECES = (256, 4096)
 #: More than any array holds.
 ALL = 1 << 30
-#: Stands for a rare word among the characters of ids, which are below the surrogates.
+#: Stands before and after a rare word among the characters of ids, which are below the surrogates.
 MARK, IDS_END = "\ue000", 0xD800
+#: What stands in a text for the mark itself, and for the character that makes that possible. The tokenizer's pattern has all of them in
+#: one class, so the text is cut at the same places.
+ESCAPES = (("\ue001", "\ue001\ue003"), (MARK, "\ue001\ue002"))
 
 
 def default_vocab_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -241,22 +249,50 @@ def _stitched(codes: Column, fold, sizes: Column, piece: int) -> Column:
     return let(pieces, joined)
 
 
-def split_words(text: Column) -> Column:
-    """The words of a text by the tokenizer's pattern; joined again they give the text."""
-    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+def pieces(vocab: Vocab) -> str:
+    """The tokenizer's pattern, with words of letters cut between a small and a capital ASCII letter too, except inside of what may be a token.
+
+    A merge makes a token, so where no token has the letters on both sides as they stand there no merge goes across, and the ids of a word
+    are those of its pieces. Of a token's letters around such a place only ASCII ones next to it are compared, and after a place that isn't
+    cut the rest of the word stays whole, so at most too few places are cut.
+    """
+    spans = {(a[0], b[0]) for t in vocab.ids for i in range(1, len(t)) if (a := re.search(rb"[A-Za-z]*[a-z]\Z", t[:i])) and (b := re.match(rb"[A-Z][A-Za-z]*", t[i:]))}
+    across = defaultdict(list)
+    for a, b in sorted(spans):
+        if not any((a[-i:], b[:j]) in spans for i in range(1, len(a) + 1) for j in range(1, len(b) + 1) if (i, j) != (len(a), len(b))):
+            across[b[:1].decode()].append(f"(?<={a.decode()}{b[:1].decode()}){b[1:].decode()}")
+    within = "".join(f"(?!{c}(?:{'|'.join(x)}))" for c, x in across.items())
+    return WORDS.replace(LETTERS, rf"(?:[A-Z]?+[a-z]++(?:(?=[A-Z]){within}|\p{{L}}*+)|{LETTERS})")
+
+
+def split_words(text: Column, vocab: Vocab) -> Column:
+    """The words of a text by the tokenizer's pattern, or ``pieces`` of them; joined again they give the text."""
+    return F.regexp_extract_all(text, F.lit(pieces(vocab)), F.lit(0))
+
+
+def escaped(text: Column) -> Column:
+    for plain, stand_in in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(stand_in))
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    for plain, stand_in in reversed(ESCAPES):
+        text = F.replace(text, F.lit(stand_in), F.lit(plain))
+    return text
 
 
 def _frequent(texts: DataFrame, vocab: Vocab, sample_texts: int, hot_words: int, min_hot: int) -> dict[str, str]:
-    """The frequent words of a sample of about ``sample_texts`` texts and their ids as characters: at most ``hot_words``, each seen ``min_hot`` times or more."""
+    """The frequent words of a sample of about ``sample_texts`` escaped texts and their ids as characters: at most ``hot_words``, each seen ``min_hot`` times or more."""
     share = sample_texts / max(1, texts.count())
     sample = texts.sample(share, seed=7) if share < 1 else texts
-    counted = cut(sample.select(F.explode(split_words(F.col("__text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    counted = cut(sample.select(F.explode(split_words(F.col("__text"), vocab)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     # How often a count occurs: as many rows as there are different counts. The least count that keeps within the bound.
     counts = sorted((r for r in counted.where(F.col("n") >= min_hot).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
     within = [n for (n, _), total in zip(counts, accumulate(c for _, c in counts)) if total <= hot_words]
     if not within:
         return {}
-    return {r[0]: "".join(map(chr, r[1])) for r in counted.where(F.col("n") >= within[-1]).select("word", fold_merges(F.col("word"), vocab).alias("ids")).collect()}
+    return {r[0]: "".join(map(chr, r[1])) for r in counted.where(F.col("n") >= within[-1]).select("word", fold_merges(unescaped(F.col("word")), vocab).alias("ids")).collect()}
 
 
 def encode(
@@ -276,13 +312,13 @@ def encode(
     Other columns of ``df`` are ignored.
     """
     vocab = Vocab.load(vocab_path or default_vocab_path())
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    texts = df.select(F.col(id_col).alias("__id"), escaped(F.col(text_col)).alias("__text"))
     known = word_table(_frequent(texts, vocab, sample_texts, hot_words, min_hot))
-    looked = texts.select("__id", split_words(F.col("__text")).alias("__words")).select("__id", "__words", F.transform("__words", lambda w: lookup(known, w)).alias("__known"))
-    rare = F.filter("__words", lambda w, i: F.get("__known", i).isNull())
-    coded = written(looked.select("__id", F.array_join("__known", "", MARK).alias("__coded"), rare.alias("__rare")), codec="lz4_raw")
+    marked = F.transform(split_words(F.col("__text"), vocab), lambda w: F.coalesce(lookup(known, w), F.concat(F.lit(MARK), w, F.lit(MARK))))
+    coded = written(texts.select("__id", F.array_join(marked, "").alias("__coded")), codec="snappy")
 
-    spots = coded.where(F.size("__rare") > 0).select("__id", F.posexplode("__rare").alias("at", "word"))
+    # Of the parts between marks, those at odd places are rare words.
+    spots = coded.where(F.contains("__coded", F.lit(MARK))).select("__id", F.posexplode(F.split("__coded", MARK)).alias("at", "word")).where(F.col("at").bitwiseAND(F.lit(1)) == 1).withColumn("word", unescaped(F.col("word")))
     chars = _literal([chr(i) for i in range(max(vocab.ids.values()) + 1)], "array<string>")
     folded = let(chars, lambda c: F.array_join(F.transform(fold_merges(F.col("word"), vocab), lambda i: F.get(c, i)), ""))
     # Each word is in one row of ``words``, so its hash table has no skew.
@@ -291,7 +327,8 @@ def encode(
     # Known stretches and the rare words between them, in turn.
     set_in = F.array_join(F.zip_with(F.split("__coded", MARK), "__found", lambda s, w: F.concat(s, F.coalesce(w, F.lit("")))), "")
     whole = F.when(F.col("__found").isNull(), F.col("__coded")).otherwise(set_in)
-    joined = coded.select("__id", "__coded").join(found, "__id", "left").select(F.col("__id").alias(id_col), whole.alias("__ids"))
+    known_only = F.regexp_replace("__coded", f"{MARK}[^{MARK}]*+{MARK}", MARK)
+    joined = coded.select("__id", known_only.alias("__coded")).join(found, "__id", "left").select(F.col("__id").alias(id_col), whole.alias("__ids"))
     ids = F.transform(F.split("__ids", ""), lambda c: F.ascii(c))
     return joined.select(id_col, F.when(F.col("__ids") == "", F.array().cast("array<int>")).otherwise(ids).alias("ids"))
 

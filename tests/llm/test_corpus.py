@@ -90,6 +90,39 @@ def test_long_words(spark, tokenizer):
     assert [i for i, w in enumerate(words) if got[i] != tokenizer.encode(w, add_special_tokens=False).ids] == []
 
 
+def test_words_are_cut_where_no_token_lies(spark, tokenizer):
+    """Words of letters are cut before capitals, so that fewer distinct ones are folded, but never inside of what may be a token."""
+    vocab = tokenize.Vocab.load(tokenize.default_vocab_path())
+    texts = [" segmentQuotaIndex LinkedIn", "realDonaldTrumpQuota", "ÄbQuota xÉquotaIndex HTTPServer"]
+    got = [r[0] for r in docs(spark, texts).orderBy("doc_id").select(tokenize.split_words(F.col("text"), vocab)).collect()]
+    assert got == [[" segment", "Quota", "Index", " LinkedIn"], ["realDonaldTrumpQuota"], ["ÄbQuota", " xÉquotaIndex", " HTTPServer"]]
+    rnd = random.Random(5)
+    inner = sorted(t.decode() for t in vocab.ids if t.isascii() and any(a.islower() and b.isupper() for a, b in zip(t.decode(), t.decode()[1:])))
+    parts = [*inner, *(t[:n] for t in inner for n in (1, 2, 3)), *(t[-n:] for t in inner for n in (1, 2, 3)), *"azAZ", "quota", "Index", "É", "ß", "7", "'s", " "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 8))) for _ in range(3000)] + inner
+    for hot in (0, 32768):
+        got = {r["doc_id"]: r["ids"] for r in tokenize.encode(docs(spark, texts), hot_words=hot, min_hot=1).collect()}
+        assert [t for i, t in enumerate(texts) if got[i] != tokenizer.encode(t, add_special_tokens=False).ids] == []
+
+
+@pytest.mark.parametrize("hot", [0, 32768])
+def test_texts_with_marks(spark, tokenizer, hot):
+    """Texts with the characters that mark rare words, and with those that stand for them."""
+    rnd = random.Random(6)
+    texts = ["\ue000", "\ue001", "a\ue000b\ue000", "\ue001\ue002", "\ue000\ue003 \ue001\ue001\ue003"] + ["".join(rnd.choice("\ue000\ue001\ue002\ue003ab' s\n") for _ in range(30)) for _ in range(60)]
+    got = {r["doc_id"]: r["ids"] for r in tokenize.encode(docs(spark, texts), hot_words=hot, min_hot=1).collect()}
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_only_strings_are_written(spark, monkeypatch):
+    """No array of a text's words is made into a column, which would copy each word; the frame between the steps has one string a text."""
+    pytest.importorskip("public_tokenizers")
+    kinds, real = [], tokenize.written
+    monkeypatch.setattr(tokenize, "written", lambda df, **x: kinds.append([kind for _, kind in df.dtypes]) or real(df, **x))
+    tokenize.encode(docs(spark, TEXTS))
+    assert kinds == [["bigint", "string"]]
+
+
 def test_frequent_words_are_bounded(spark, tokenizer):
     vocab = tokenize.Vocab.load(tokenize.default_vocab_path())
     texts = docs(spark, ["aaa bbb aaa", "aaa bbb ccc", "ccc ddd"]).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
